@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from corpuscle.llm import exact_dedup
+from corpuscle.llm import exact_dedup, licenses, secrets, transport_stream
 
 QUERIES = {
+    "op1_secret_scan": secrets.op1,
     "op4_exact_dedup": exact_dedup.op4,
+    "op6_license_scan": licenses.op6,
+    "op8_transport_stream": transport_stream.op8,
 }
 ORACLE_SQL = {
     "op4_exact_dedup": exact_dedup.ORACLE,
+    "op6_license_scan": licenses.ORACLE,
 }
