@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from corpuscle.llm import exact_dedup, licenses, secrets, transport_stream
+from corpuscle.llm import bpe, exact_dedup, licenses, secrets, token_file, transport_stream
 
 QUERIES = {
     "op1_secret_scan": secrets.op1,
     "op4_exact_dedup": exact_dedup.op4,
     "op6_license_scan": licenses.op6,
     "op8_transport_stream": transport_stream.op8,
+    "op9_addressable_token_file": token_file.op9,
+    "op10_bpe_chunk_reuse": bpe.op10,
 }
 ORACLE_SQL = {
     "op4_exact_dedup": exact_dedup.ORACLE,
