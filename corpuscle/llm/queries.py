@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from corpuscle.llm import bpe, exact_dedup, languages, licenses, quality, secrets, token_file, transport_stream
+from corpuscle.llm import bpe, exact_dedup, languages, licenses, mixing, quality, secrets, token_file, transport_stream
 
 QUERIES = {
     "op1_secret_scan": secrets.op1,
     "op3_language_profiles": languages.op3,
     "op4_exact_dedup": exact_dedup.op4,
+    "op5_pivotal_mixing": mixing.op5,
     "op6_license_scan": licenses.op6,
     "op7_compression_quality": quality.op7,
     "op8_transport_stream": transport_stream.op8,
