@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from corpuscle.llm import bpe, exact_dedup, languages, licenses, mixing, quality, secrets, token_file, transport_stream
+from corpuscle.llm import bpe, exact_dedup, languages, licenses, mixing, near_dedup, quality, secrets, token_file, transport_stream
 
 QUERIES = {
     "op1_secret_scan": secrets.op1,
+    "op2_minhash_near_dedup": near_dedup.op2,
     "op3_language_profiles": languages.op3,
     "op4_exact_dedup": exact_dedup.op4,
     "op5_pivotal_mixing": mixing.op5,
