@@ -184,3 +184,18 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = learn(docs, _base.table(spark, sf_dir, "labels"))
     scored = score_quality(docs, model)
     return scored.select("doc_id", (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows that score at least `threshold`, with all their columns; only the text goes through Python."""
+    told = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of DICTIONARY bytes
+
+    def run(parts):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        own = Scorer(told.value)
+        for part in parts:
+            yield pd.Series([own.score(t) for t in part], dtype="float64")
+
+    score = F.pandas_udf(run, "double", F.PandasUDFType.SCALAR_ITER)
+    return docs.where(score(F.col("text").cast("string")) >= threshold)
