@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -32,12 +33,13 @@ from corpuscle.llm import _base
 #: Mean bytes between cuts, least bytes of a chunk.
 CHUNK, LEAST = 1024, 256
 #: Entries of a generation of units, of chunks.
-UNITS, CHUNKS = 300_000, 12_000
+UNITS, CHUNKS = 400_000, 12_000
 
 SAFE = re.compile(r" (?=\S)")
 #: White space other than the space and the four common ones, as Python sees it.
 ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
-PLAIN = re.compile("[A-Za-z]+")
+#: Signs that are a pre-token of their own after a word.
+SIGNS = frozenset(".,;:!?|")
 FAR = re.compile("[^\x00-ɏ]")
 
 
@@ -87,6 +89,7 @@ class Encoder:
         self.model = self.tok.model
         size = self.tok.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.units = Units(self)
@@ -94,28 +97,34 @@ class Encoder:
         self.chunks: dict[bytes, tuple[str, bytes, str] | None] = {}
         self.older: dict[bytes, tuple[str, bytes, str] | None] = {}
         visible = _visible()
-        self.shown = {b: v for b, v in visible.items()}
+        self.shown, self.space = visible, visible[32]
         self.hidden = {v: b for b, v in visible.items()}
         self.size = size
 
     # encoding
 
     def pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        return array(self.code, ids).tobytes()
 
     def library(self, text: str) -> bytes:
         return self.pack(self.tok.encode(text, add_special_tokens=False).ids)
 
     def _word(self, part: str) -> bytes:
         """One pre-token."""
-        shown = part.encode().decode("latin-1").translate(self.shown)
-        return self.pack([t.id for t in self.model.tokenize(shown)])
+        if part.isascii() and part[1:].isalpha() and part[0] == " ":
+            shown = self.space + part[1:]
+        else:
+            shown = part.encode().decode("latin-1").translate(self.shown)
+        return array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def unit(self, unit: str) -> bytes:
-        if PLAIN.fullmatch(unit):
-            return self._word(" " + unit)
-        if FAR.search(unit):
+        """A word, a word with one sign, or else what the tokenizer's pattern makes of it."""
+        if not unit.isascii() and FAR.search(unit):
             return self.library(" " + unit)
+        if unit.isalpha():
+            return self._word(" " + unit)
+        if unit[-1:] in SIGNS and unit[:-1].isalpha():
+            return self.units[unit[:-1]] + self.bare(unit[-1])
         parts = self.split(" " + unit)
         if len(parts) == 1:
             return self._word(parts[0])
