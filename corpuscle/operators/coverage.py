@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscle.functions.text import address
+from corpuscle.operators.distribution import global_index
 
 OPT_LEVELS = ["O0", "O1", "O2", "O3"]
 REPRESENTATIONS = ["asm", "hlil", "llil", "mlil"]
@@ -74,10 +75,11 @@ def recompile_inputs(candidates: DataFrame, metadata: DataFrame) -> DataFrame:
 
 def by_integer_id(objects: DataFrame, corpus: DataFrame) -> DataFrame:
     """Objects with corpus rows by id as a number ("007" is "7"). If any corpus row lacks an id, the place of a row stands in."""
-    placed = corpus.withColumn("_place", (F.row_number().over(Window.orderBy("line_num")) - 1).cast("long"))
-    lacking = F.max(F.col("id").isNull()).over(Window.partitionBy())
-    keyed = placed.withColumn("_key", F.when(lacking, F.col("_place")).otherwise(F.col("id").cast("long")))
-    out = objects.withColumn("_key", F.col("id").cast("long")).join(keyed.drop("id", "_place", "line_num"), "_key", "left")
+    if corpus.where("id is null").isEmpty():
+        keyed = corpus.withColumn("_key", F.col("id").cast("long"))
+    else:
+        keyed = global_index(corpus, "line_num").withColumnRenamed("index", "_key")
+    out = objects.withColumn("_key", F.col("id").cast("long")).join(keyed.drop("id", "line_num"), "_key", "left")
     return out.drop("_key")
 
 

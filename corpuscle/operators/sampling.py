@@ -7,6 +7,8 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuscle.operators.distribution import global_index
+
 CAP, SEED = 25, 42
 
 
@@ -27,15 +29,15 @@ def exact_sample(rows: DataFrame, bucket: str, order: str, cap: int = CAP, seed:
     the buckets' sizes only, so the driver needs these (one row a bucket) and nothing else; the places that it draws, at most
     `cap` a bucket, come back as a broadcast table."""
     sizes = {r[bucket]: r["n"] for r in rows.groupBy(bucket).agg(F.count("*").alias("n")).collect()}
-    generator, drawn = random.Random(seed), []
+    generator, drawn, before = random.Random(seed), [], 0
     for b in sorted(sizes):
         n = sizes[b]
         places = range(n) if n < cap else generator.sample(range(n), cap)
-        drawn += [(b, p, i) for i, p in enumerate(places)]
-    kind = dict(rows.dtypes)[bucket]
-    picks = rows.sparkSession.createDataFrame(drawn, f"{bucket} {kind}, position long, output_order long")
-    placed = rows.withColumn("position", (F.row_number().over(Window.partitionBy(bucket).orderBy(order)) - 1).cast("long"))
-    return placed.join(F.broadcast(picks), [bucket, "position"])  # at most cap rows a bucket
+        drawn += [(before + p, p, i) for i, p in enumerate(places)]
+        before += n
+    picks = rows.sparkSession.createDataFrame(drawn, "index long, position long, output_order long")
+    # places over all buckets in order, so that a hot bucket spreads over many ranges
+    return global_index(rows, bucket, order).join(F.broadcast(picks), "index").drop("index")  # at most cap rows a bucket
 
 
 def bucket_stats(rows: DataFrame, sample: DataFrame, bucket: str) -> DataFrame:
