@@ -1,20 +1,19 @@
-"""What the operators share: reading tables, the shared scratch folder, and slicing of Arrow batches."""
+"""What the operators share: reading tables, writing to the shared folder, and slicing of Arrow batches."""
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  steps() needs it loaded
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuscle.sources.shared import remove, scratch, shared_dir  # noqa: F401  the operators take them from here
+
 #: Text bytes that one Python step holds at once; longer batches are cut, a single longer text stands alone.
 STEP_BYTES = 4 << 20
 
-_FOLDERS: dict[str, SparkSession] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,41 +28,6 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     )
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or a local one where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        import tempfile
-
-        found = f"file://{tempfile.gettempdir()}/corpuscle-shared"
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new folder below the shared one, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/corpuscle-{uuid.uuid4().hex}"
-    if not _FOLDERS:
-        atexit.register(_clean)
-    _FOLDERS[path] = spark
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a scratch folder through Spark's own file system layer, which also reaches remote stores."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    _FOLDERS.pop(path, None)
-
-
-def _clean() -> None:
-    for path, spark in list(_FOLDERS.items()):
-        try:
-            remove(spark, path)
-        except Exception:  # noqa: BLE001  the JVM may have ended before
-            _FOLDERS.pop(path, None)
-
-
 def written(df: DataFrame, path: str, **options: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back: lineage ends here, so a lost executor repeats no earlier stage."""
     df.write.mode("overwrite").options(**options).parquet(path)
@@ -82,6 +46,3 @@ def steps(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = S
             held += n or 0
         if start < batch.num_rows:
             yield batch.slice(start)
-
-
-import pyarrow.compute  # noqa: E402,F401  steps() needs it loaded

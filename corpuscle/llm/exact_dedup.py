@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm import _base
+from corpuscle.llm import _base, sieve
 
 #: The characters that equality ignores.
 SPACE = b" \t\n\x0b\x0c\r"
@@ -33,8 +33,6 @@ SPACE = b" \t\n\x0b\x0c\r"
 MEMTABLE = 200_000
 #: Members of a group that meet one copy of the text that stays.
 SHARE = 512
-#: Bits of the filter of hit digests; fixed, so that what is broadcast does not grow with the data.
-FILTER_BITS = 1 << 24
 
 ENTRY = "digest binary, doc_id long, n_cp long"
 RUN = "digest binary, doc_id long, n_cp long, n long"
@@ -117,45 +115,24 @@ class DigestIndex:
         return self.level.where("n > 1")
 
 
-def _places(digests: list[bytes], bits: int) -> np.ndarray:
-    """Two bit places of each digest, from its own first bytes."""
-    raw = np.frombuffer(b"".join(d[:16] for d in digests), dtype="<u8").reshape(-1, 2)
-    return (raw % np.uint64(bits)).astype(np.int64)
+def _short(digests: list[bytes]) -> np.ndarray:
+    """The first eight bytes of each digest as a number."""
+    return np.frombuffer(b"".join(d[:8] for d in digests), "<i8")
 
 
-def hit_filter(hits: DataFrame, bits: int = FILTER_BITS) -> bytes:
-    """A Bloom filter of the hit digests: `bits` / 8 bytes at any input size. Slices of it are merged by executors."""
-    part = 1 << 13
+def hit_filter(hits: DataFrame) -> bytes:
+    """A Bloom filter of the hit digests, of one size at any input."""
 
-    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[int, np.ndarray] = {}
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = b.column("digest").to_pylist()
-            if got:
-                where = _places(got, bits).ravel()
-                for s in np.unique(where // (part * 8)).tolist():
-                    mask = own.setdefault(s, np.zeros(part, np.uint8))
-                    at = where[where // (part * 8) == s] % (part * 8)
-                    np.bitwise_or.at(mask, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        if own:
-            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int32()), pa.array([m.tobytes() for m in own.values()], pa.binary())], ["slice", "bits"])
-
-    def merged(table: pa.Table) -> pa.Table:
-        mask = np.zeros(part, np.uint8)
-        for m in table.column("bits").to_pylist():
-            mask |= np.frombuffer(m, np.uint8)
-        return pa.table({"slice": table.column("slice")[:1], "bits": pa.array([mask.tobytes()], pa.binary())})
-
-    slices = hits.select("digest").mapInArrow(some, "slice int, bits binary").groupBy("slice").applyInArrow(merged, "slice int, bits binary")
-    out = bytearray(bits // 8)
-    for r in slices.collect():  # bits / 8 bytes in all
-        out[r["slice"] * part : (r["slice"] + 1) * part] = r["bits"]
-    return bytes(out)
-
-
-def _hit_texts(docs: DataFrame, mask: bytes, bits: int = FILTER_BITS) -> DataFrame:
+            yield pa.RecordBatch.from_arrays([pa.array(_short(b.column("digest").to_pylist()))], ["k"])
+
+    return sieve.build(hits.select("digest").mapInArrow(short, "k long"))
+
+
+def _hit_texts(docs: DataFrame, mask: bytes) -> DataFrame:
     """digest, doc_id and normalised bytes of the documents that the filter lets through."""
-    told = docs.sparkSession.sparkContext.broadcast(mask)
+    told = docs.sparkSession.sparkContext.broadcast(mask)  # a fixed size
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = np.frombuffer(told.value, np.uint8)
@@ -164,9 +141,7 @@ def _hit_texts(docs: DataFrame, mask: bytes, bits: int = FILTER_BITS) -> DataFra
             digests = [hashlib.sha256(r).digest() for r in raw]
             if not digests:
                 continue
-            at = _places(digests, bits)
-            ok = ((m[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1)
-            keep = np.flatnonzero(ok).tolist()
+            keep = np.flatnonzero(sieve.test(m, _short(digests))).tolist()
             if keep:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([digests[i] for i in keep], pa.binary()), b.column("doc_id").take(pa.array(keep)), pa.array([raw[i] for i in keep], pa.binary())],
