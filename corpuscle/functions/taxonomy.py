@@ -6,7 +6,11 @@ category; a text without any gets one default label. The tables are data: one li
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+from functools import reduce
+from operator import and_, or_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The patterns of compile errors, version "detailed".
@@ -93,13 +97,37 @@ def _any(patterns: list[str]) -> str:
     return "|".join(dict.fromkeys(patterns))
 
 
-def labels(content: Column, table: dict[str, dict[str, list[str]]], default: tuple[str, str] | None = ("other", "unclassified")) -> Column:
+_SPECIAL = re.compile(r"[][.^$*+?{}|()]")
+
+
+def _literals(pattern: str) -> list[str] | None:
+    """The texts between the ".*" of a pattern that has no other syntax; None for one that has."""
+    out = []
+    for piece in pattern.split(".*"):
+        if _SPECIAL.search(re.sub(r"\\.", "", piece)):
+            return None
+        out.append(re.sub(r"\\(.)", r"\1", piece))
+    return [x for x in out if x]
+
+
+def found_in(content: Column, low: Column, pattern: str) -> Column:
+    """Whether a pattern occurs, ignoring case; low is the content in lower case. Plain text is looked for as such, which is many times faster than a regular
+    expression; one with gaps is tried only where all its texts occur."""
+    parts = _literals(pattern)
+    whole = content.rlike("(?id)" + pattern)
+    if parts is None:
+        return whole
+    held = reduce(and_, (F.contains(low, F.lit(x.lower())) for x in parts))
+    return held if len(parts) == 1 else held & whole
+
+
+def labels(content: Column, table: dict[str, dict[str, list[str]]], default: tuple[str, str] | None = ("other", "unclassified"), low: Column | None = None) -> Column:
     """array<struct<category, subcategory>>: the first subcategory of each category, in order; the default if there is none."""
-    found = []
+    found, low = [], F.lower(content) if low is None else low
     for cat, subs in table.items():
         first = None
         for sub, patterns in subs.items():
-            hit = content.rlike("(?id)" + _any(patterns))
+            hit = reduce(or_, (found_in(content, low, p) for p in dict.fromkeys(patterns)))
             first = F.when(hit, F.lit(sub)) if first is None else first.when(hit, F.lit(sub))
         found.append(F.when(first.isNotNull(), F.struct(F.lit(cat).alias("category"), first.alias("subcategory"))))
     out = F.array_compact(F.array(*found))
@@ -109,6 +137,12 @@ def labels(content: Column, table: dict[str, dict[str, list[str]]], default: tup
     return F.when(F.size(out) > 0, out).otherwise(none)
 
 
+def with_labels(files: DataFrame, content: str, table: dict[str, dict[str, list[str]]], name: str = "found") -> DataFrame:
+    """Adds labels(). The lower-case text comes out of a generator, so it is made once a row and not for every pattern."""
+    out = files.select("*", F.explode(F.array(F.lower(content))).alias("_low"))
+    return out.withColumn(name, labels(F.col(content), table, low=F.col("_low"))).drop("_low")
+
+
 def test_lines(content: Column) -> Column:
     """The messages of a report's failed tests."""
     return F.regexp_extract_all(content, F.lit("(?md)" + TEST_LINE), 1)

@@ -10,8 +10,10 @@ LABEL = ["category", "subcategory"]
 
 
 def explode_labels(files: DataFrame, found: Column) -> DataFrame:
-    """A row per label of a file; files without labels go."""
-    return files.withColumn("_l", F.explode(found)).select("*", "_l.category", "_l.subcategory").drop("_l")
+    """A row per label of a file; files without labels go. The outer form keeps the optimiser from inferring a filter on the
+    labels, which would find them a second time below the generator."""
+    rows = files.withColumn("_l", F.explode_outer(found)).where(F.col("_l").isNotNull())
+    return rows.select("*", "_l.category", "_l.subcategory").drop("_l")
 
 
 def label_counts(labels: DataFrame, keys: list[str]) -> DataFrame:

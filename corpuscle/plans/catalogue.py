@@ -96,8 +96,8 @@ def stratified_sample_exact(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _compile_labels(spark: SparkSession, sf: str, version: str = "detailed") -> DataFrame:
-    files = v.compile_errors(spark, sf)
-    return rollup.explode_labels(files, taxonomy.labels(F.col("content"), taxonomy.COMPILE[version])).drop("content")
+    files = taxonomy.with_labels(v.compile_errors(spark, sf), "content", taxonomy.COMPILE[version]).drop("content")
+    return rollup.explode_labels(files, F.col("found")).drop("found")
 
 
 def _sql_compile(version: str = "detailed") -> str:
@@ -134,9 +134,8 @@ def compile_taxonomy_consolidated(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT model, ir, opt, n_labels, n_files FROM (SELECT model, ir, opt, count(*) AS n_labels, count(DISTINCT file) AS n_files FROM {_sql_compile()} GROUP BY ALL)")
 def compile_taxonomy_totals(spark: SparkSession, sf: str) -> DataFrame:
-    rows = v.compile_errors(spark, sf)
-    n = F.size(taxonomy.labels(F.col("content"), taxonomy.COMPILE_DETAILED))
-    return rows.groupBy(*rollup.CONFIG).agg(F.sum(n).alias("n_labels"), F.count("*").alias("n_files"))
+    rows = taxonomy.with_labels(v.compile_errors(spark, sf), "content", taxonomy.COMPILE_DETAILED)
+    return rows.groupBy(*rollup.CONFIG).agg(F.sum(F.size("found")).alias("n_labels"), F.count("*").alias("n_files"))
 
 
 _EXEC = f"(SELECT *, CASE WHEN contains(content, '0/10 passed (0.0%)') THEN 'allfailed' ELSE 'partialfailed' END AS failure_type, {taxonomy.sql_execution_labels('content')} AS found FROM v_exec_reports)"

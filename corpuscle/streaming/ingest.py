@@ -24,8 +24,8 @@ def windowed_status(events: DataFrame, size: str = "10 minutes", late: str = "1
 def label_stream(spark: SparkSession, folder: str, version: str = "detailed") -> DataFrame:
     """Labels of compile error files as they arrive."""
     files = spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True).load(folder)
-    found = taxonomy.labels(F.col("value"), taxonomy.COMPILE[version])
-    return files.select(F.col("_metadata.file_path").alias("path"), F.explode(found).alias("l")).select("path", "l.category", "l.subcategory")
+    found = taxonomy.with_labels(files.select(F.col("_metadata.file_path").alias("path"), "value"), "value", taxonomy.COMPILE[version])
+    return found.select("path", F.explode("found").alias("l")).select("path", "l.category", "l.subcategory")
 
 
 def run_available(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

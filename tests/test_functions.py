@@ -59,13 +59,23 @@ CONSOLIDATED = {3: "declaration/conflicting_type", 4: "declaration/multiple_defi
 
 @pytest.mark.parametrize("version", ["detailed", "consolidated"])
 def test_compile_taxonomy(spark, version):
-    found = taxonomy.labels(F.col("x"), taxonomy.COMPILE[version])
-    got = rows(spark, views.ERRORS).withColumn("l", found).orderBy("i").collect()
+    got = taxonomy.with_labels(rows(spark, views.ERRORS), "x", taxonomy.COMPILE[version], "l").orderBy("i").collect()
     for r in got:
         want = CONSOLIDATED.get(r["i"], DETAILED[r["i"]]) if version == "consolidated" else DETAILED[r["i"]]
         assert " ".join(f"{x['category']}/{x['subcategory']}" for x in r["l"]) == want, r["x"]
 
 
+def test_patterns_are_found_as_regular_expressions_find_them(spark):
+    import re
+
+    every = sorted({p for t in taxonomy.COMPILE.values() for subs in t.values() for ps in subs.values() for p in ps})
+    texts = [*views.ERRORS, *(re.sub(r"\\(.)", r"\1", p.replace(".*", g)).upper() for p in every for g in ("", " q ", "\n"))]
+    df = rows(spark, texts)
+    got = df.select("i", F.array(*(taxonomy.found_in(F.col("x"), F.lower("x"), p) for p in every)).alias("f")).orderBy("i").collect()
+    for r, text_ in zip(got, texts, strict=True):
+        assert list(r["f"]) == [bool(re.search(p, text_, re.IGNORECASE)) for p in every]
+
+
 REPORTS = [
     ("Status: ALL TESTS PASSED", None, None, "partialfailed"),
     ("Tests: 0/10 passed (0.0%)\n  - Test 1: Expected {'a': 1}, Got {'a': 2}", {"logic/wrong_logic"}, {"logic/wrong_logic"}, "allfailed"),
