@@ -17,6 +17,7 @@ QUERIES = {
     "op10_bpe_chunk_reuse": bpe.op10,
 }
 ORACLE_SQL = {
+    "op2_minhash_near_dedup": near_dedup.ORACLE,
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op6_license_scan": licenses.ORACLE,
 }
