@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpuscle.functions import halstead, taxonomy, text
 from corpuscle.operators import asm_filter, batch, coverage, distribution, rollup, sampling, verify
 from corpuscle.plans import views as v
+from corpuscle.sources import disassembly
 from corpuscle.sources.readers import parse_log_lines
 
 QUERIES: dict = {}
@@ -277,6 +278,24 @@ def address_normalize_join(spark: SparkSession, sf: str) -> DataFrame:
     return coverage.match_sources(s, v.function_map(spark, sf), "line_num").select("s_suppkey", "error", "name")
 
 
+@query("SELECT d.doc_id, lpad(d.doc_id::VARCHAR, 9, '0') AS id, l.quality::VARCHAR AS verdict FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
+def integer_id_join(spark: SparkSession, sf: str) -> DataFrame:
+    objects = v.read(spark, sf, "documents").select("doc_id", F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("id"))
+    corpus = v.read(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("id"), F.col("quality").cast("string").alias("verdict"), F.col("doc_id").alias("line_num"))
+    return coverage.by_integer_id(objects, corpus)
+
+
+# representations
+
+
+@query("""SELECT event_id, line, CASE line WHEN 0 THEN '0x10' ELSE '0x12' END AS address, CASE line WHEN 0 THEN 'mov eax, ' || event_id ELSE 'ret' END AS instruction, 'f' || event_id AS function_name
+FROM events, (SELECT unnest([0, 1])::INTEGER AS line)""")
+def representation_lines(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.col("event_id").cast("string")
+    files = v.read(spark, sf, "events").select("event_id", F.concat(F.lit("Function Name: f"), n, F.lit("\nArchitecture: x86_64\nEntry Point: 0x10\ncode:\n0x10: mov eax, "), n, F.lit("\n0x12: ret\n")).alias("content"))
+    return disassembly.code_lines(disassembly.parse_representation(files)).select("event_id", "line", "address", "instruction", "function_name")
+
+
 # prompts, responses, batches
 
 _PROMPTS = ", ".join(f"({v._q(k)}, {v._q(a)}, {v._q(b)})" for k, (a, b) in text.prompts().items())
@@ -350,6 +369,18 @@ def range_progress(spark: SparkSession, sf: str) -> DataFrame:
     return batch.range_progress(e.select("model", status.alias("status")))
 
 
+@query("""SELECT 'm' || user_id % 5 AS model, event_id AS start, CASE WHEN done THEN 'completed' WHEN event_type = 'error' THEN CASE WHEN tries >= 3 THEN 'failed' ELSE 'pending' END WHEN event_type = 'purchase' THEN 'completed' ELSE 'pending' END AS status, CASE WHEN event_type = 'error' AND NOT done THEN tries ELSE tries - 1 END AS retries
+FROM (SELECT *, user_id % 3 = 0 AS done, CASE WHEN user_id % 2 = 0 OR user_id % 3 = 0 THEN event_id % 4 ELSE 0 END + 1 AS tries FROM events)""")
+def range_state_machine(spark: SparkSession, sf: str) -> DataFrame:
+    e = v.read(spark, sf, "events").withColumn("model", F.concat(F.lit("m"), F.expr("user_id % 5")))
+    state = e.select(
+        "model", F.when(F.expr("user_id % 2 = 0"), "now").otherwise("before").alias("session_id"), F.col("event_id").alias("start"), (F.col("event_id") + 1).alias("end"),
+        F.when(F.expr("user_id % 3 = 0"), "completed").otherwise("pending").alias("status"), F.lit(None).cast("string").alias("batch_id"), F.expr("event_id % 4").alias("retries"),
+    )
+    told = e.where("event_type in ('error', 'purchase')").select("model", F.col("event_id").alias("start"), F.when(F.col("event_type") == "error", "failed").otherwise("completed").alias("status"), F.lit("b").alias("batch_id"))
+    return batch.advance(state, told, "now").select("model", "start", "status", F.col("retries").cast("long").alias("retries"))
+
+
 @query("""SELECT conv_id, count(*) AS n_messages, array_to_string(list(role || ':' || length(text) ORDER BY turn, role, text), ' ') AS history FROM conversations GROUP BY conv_id""")
 def conversation_history(spark: SparkSession, sf: str) -> DataFrame:
     t = v.read(spark, sf, "conversations")
