@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import suppress
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  steps() needs it loaded
@@ -15,12 +16,46 @@ from corpuscle.sources.shared import remove, scratch, shared_dir  # noqa: F401
 STEP_BYTES = 4 << 20
 
 
+#: Rows of an Arrow batch between the JVM and a Python worker, at most; Spark's own limit of bytes holds as well.
+BATCH_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows per Arrow batch to BATCH_ROWS: either side holds whole batches, and texts can be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+_HOLDER = [""]
+
+
+def only(holder: str) -> None:
+    """Called by an operator in a Python worker: what another operator has kept there (stores, tables) is let go, as Spark uses a
+    worker again for whatever comes next."""
+    if _HOLDER[0] not in ("", holder):
+        import ctypes
+        import gc
+        import sys
+
+        for name, module in list(sys.modules.items()):
+            if name.startswith("corpuscle.llm."):
+                for kept in vars(module).values():
+                    if hasattr(kept, "cache_clear"):
+                        kept.cache_clear()
+        gc.collect()
+        with suppress(OSError, AttributeError):  # glibc gives freed memory back
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+    _HOLDER[0] = holder
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, text and the named columns only, so that extra columns of a caller can't clash; a null text is empty."""
+    bound_batches(docs.sparkSession)
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),

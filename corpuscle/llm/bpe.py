@@ -33,7 +33,7 @@ from corpuscle.llm import _base
 #: Mean bytes between cuts, least bytes of a chunk.
 CHUNK, LEAST = 1024, 256
 #: Entries of a generation of units, of chunks.
-UNITS, CHUNKS = 400_000, 12_000
+UNITS, CHUNKS = 150_000, 4_000
 
 SAFE = re.compile(r" (?=\S)")
 #: White space other than the space and the four common ones, as Python sees it.
@@ -67,7 +67,7 @@ class Units(dict):
         found = self.old.get(unit)
         if found is None:
             found = self.encoder.unit(unit)
-        if len(self) >= UNITS:
+        if len(self) >= self.encoder.most:
             self.old = dict(self)
             self.clear()
         self[unit] = found
@@ -77,7 +77,8 @@ class Units(dict):
 class Encoder:
     """The tokenizer of a file, with stores for units and chunks."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, units: int = UNITS):
+        self.most = units
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
         import regex
@@ -133,7 +134,7 @@ class Encoder:
     def bare(self, part: str) -> bytes:
         found = self.starts.get(part)
         if found is None:
-            if len(self.starts) >= UNITS // 4:
+            if len(self.starts) >= self.most // 4:
                 self.starts.clear()
             found = self.starts[part] = self._word(part)
         return found
@@ -247,38 +248,52 @@ def chunks(raw: bytes) -> list[bytes]:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
-    """One per worker and file."""
-    return Encoder(path)
+def encoder(path: str, units: int = UNITS) -> Encoder:
+    """One per worker, file and size of the store of units."""
+    return Encoder(path, units)
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, *, chunked: bool = True) -> DataFrame:
-    """doc_id and ids (array of int). `path` is a vocabulary file that every executor can open."""
+def _coded(docs: DataFrame, path: str | None, chunked: bool, decoded: bool) -> DataFrame:
     path = path or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _base.only("bpe")
         own = encoder(path)
         encode: Callable[[str], bytes] = own.encode_chunked if chunked else own.encode
         for b in _base.steps(batches):
-            got = [encode(t) for t in b.column("text").to_pylist()]
-            flat = np.frombuffer(b"".join(got), own.dtype).astype(np.int32)
-            ends = np.concatenate([[0], np.cumsum([len(g) // own.dtype.itemsize for g in got])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "ids"])
+            got = [np.frombuffer(encode(t), own.dtype) for t in b.column("text").to_pylist()]
+            ends = np.concatenate([[0], np.cumsum([len(g) for g in got])]).astype(np.int32)
+            flat = np.concatenate(got) if got else np.zeros(0, own.dtype)
+            out = [b.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int32)))]
+            if decoded:
+                out.append(pa.array([own.decode(g.tolist()) for g in got], pa.string()))
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "ids", "text"][: len(out)])
+
+    return _base.texts(docs).mapInArrow(run, "doc_id long, ids array<int>" + ", text string" * decoded)
+
+
+def encode_documents(docs: DataFrame, path: str | None = None, *, chunked: bool = True) -> DataFrame:
+    """doc_id and ids (array of int). `path` is a vocabulary file that every executor can open."""
+    return _coded(docs, path, chunked, False)
+
 
-    return _base.texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
+def encode_and_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, ids, and text decoded from the ids, by one worker (two steps would need two workers a task, each with its stores)."""
+    return _coded(docs, path, True, True)
 
 
 def decode_documents(coded: DataFrame, path: str | None = None) -> DataFrame:
     """Decodes the column `ids`: the rest stays, and text comes in its place."""
     path = path or default_vocabulary()
     rest = [c for c in coded.columns if c != "ids"]
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in coded.schema if f.name != "ids")
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in coded.schema if f.name in rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _base.only("bpe")
         own = encoder(path)
         for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                b = whole.slice(start, 512)
+            for start in range(0, whole.num_rows, 256):
+                b = whole.slice(start, 256)
                 ids = b.column("ids")
                 flat, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
                 got = [own.decode(flat[s:e].tolist()) for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
@@ -288,6 +303,6 @@ def decode_documents(coded: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = encode_documents(_base.table(spark, sf_dir, "documents"))
-    coded = coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), "ids")
-    return decode_documents(coded).select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+    coded = encode_and_decode(_base.table(spark, sf_dir, "documents"))
+    told = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(told, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))

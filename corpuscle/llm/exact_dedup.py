@@ -43,6 +43,7 @@ def normalise(text: str | None) -> bytes:
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    _base.only("exact_dedup")
     for b in batches:
         got = b.column("text").to_pylist()
         yield pa.RecordBatch.from_arrays(
@@ -135,6 +136,7 @@ def _hit_texts(docs: DataFrame, mask: bytes) -> DataFrame:
     told = docs.sparkSession.sparkContext.broadcast(mask)  # a fixed size
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _base.only("exact_dedup")
         m = np.frombuffer(told.value, np.uint8)
         for b in _base.steps(batches):
             raw = [normalise(t) for t in b.column("text").to_pylist()]

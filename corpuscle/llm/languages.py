@@ -124,6 +124,7 @@ def learn(docs: DataFrame, bound: int = TRAIN) -> dict[str, np.ndarray]:
     rows = chosen(ids, "label", bound, 3).select("label", "text").repartition(WORKERS)
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _base.only("languages")
         own, sums = binder(), {}
         for b in _base.steps(batches):
             for label, text in zip(b.column("label").to_pylist(), b.column("text").to_pylist(), strict=True):
@@ -153,6 +154,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
     told = docs.sparkSession.sparkContext.broadcast(np.array([prototypes[n] for n in names]).reshape(len(names), DIM))  # DIM numbers a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _base.only("languages")
         own, known = binder(), told.value
         for b in _base.steps(batches):
             langs, scores, near = [], [], []

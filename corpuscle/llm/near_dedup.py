@@ -162,6 +162,7 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, cid (class of equal sets) and sig; the last two null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _base.only("near_dedup")
         for b in _base.steps(batches, most=STEP):
             found = shingle_sets(b.column("text").to_pylist(), shingle)
             yield pa.RecordBatch.from_arrays(

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -149,6 +150,7 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = TRAIN) -> Model:
     model = Model(_dictionary(samples[1]), _dictionary(samples[0]), 0.0, (0.0, 0.0, 0.0))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _base.only("quality")
         own = Scorer(model)
         for b in _base.steps(batches):
             got = [own.features(t) for t in b.column("text").to_pylist()]
@@ -166,11 +168,13 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = TRAIN) -> Model:
 def score_quality(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the named columns, and score of every row."""
     given = docs.select("doc_id", *keep, F.col("text").cast("string").alias("text")) if "text" not in keep else docs.select("doc_id", *keep)
+    _base.bound_batches(docs.sparkSession)
     told = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of DICTIONARY bytes
     names = [c for c in given.columns if c != "text" or "text" in keep]
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if f.name in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _base.only("quality")
         own = Scorer(told.value)
         for b in _base.steps(batches):
             got = [own.score(t) for t in b.column("text").to_pylist()]
@@ -188,14 +192,14 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows that score at least `threshold`, with all their columns; only the text goes through Python."""
+    _base.bound_batches(docs.sparkSession)
     told = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of DICTIONARY bytes
 
-    def run(parts):  # noqa: ANN001, ANN202
-        import pandas as pd
-
+    @F.pandas_udf("double")
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        _base.only("quality")
         own = Scorer(told.value)
         for part in parts:
             yield pd.Series([own.score(t) for t in part], dtype="float64")
 
-    score = F.pandas_udf(run, "double", F.PandasUDFType.SCALAR_ITER)
     return docs.where(score(F.col("text").cast("string")) >= threshold)

@@ -50,6 +50,4 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and the digest of the decoded text."""
-    coded = bpe.encode_documents(docs).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("ids").alias("kept_ids"))
-    coded = coded.select("doc_id", "n_tokens", "kept_ids", "ids")
-    return bpe.decode_documents(coded).select("doc_id", "n_tokens", F.col("kept_ids").alias("ids"), F.sha2("text", 256).alias("decoded_sha256"))
+    return bpe.encode_and_decode(docs).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("text", 256).alias("decoded_sha256"))

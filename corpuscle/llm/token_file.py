@@ -31,6 +31,8 @@ from corpuscle.llm import _base, bpe
 #: Ids of a block; a document is never split, so a longer one makes a longer block.
 BLOCK = 1 << 18
 END_ID = 0
+#: Entries of a generation of the encoder's store; no chunks are kept here, so there is room for more.
+UNITS = 400_000
 MAGIC = b"DAC1"
 #: Bits between entries of a rank directory.
 RANK = 512
@@ -132,7 +134,8 @@ def write_tokens(docs: DataFrame, root: str, path: str | None = None, shards: in
     bounds = np.array(_bounds(docs, shards), np.int64)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = bpe.encoder(path)
+        _base.only("token_file")
+        own = bpe.encoder(path, UNITS)
         end = own.pack([END_ID])
         for b in _base.steps(batches):
             got = [own.encode(t) + end for t in b.column("text").to_pylist()]
@@ -140,7 +143,7 @@ def write_tokens(docs: DataFrame, root: str, path: str | None = None, shards: in
             yield pa.RecordBatch.from_arrays([pa.array(shard), b.column("doc_id"), pa.array(got, pa.binary())], ["shard", "doc_id", "ids"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = bpe.encoder(path).dtype
+        kind = bpe.encoder(path, UNITS).dtype
         shard, start, held, docs, sizes, n = -1, 0, [], [], [], 0
 
         def block() -> pa.RecordBatch:

@@ -83,6 +83,12 @@ def test_queries_against_the_library(spark, folder, own):
         start += len(ids)
 
 
+def test_decoding_of_stored_ids(spark, folder):
+    docs = spark.read.parquet(folder([(1, "a  b"), (2, None), (3, "é" * 600)]) + "/documents.parquet")
+    coded = bpe.encode_documents(docs).withColumn("more", bpe.F.lit(1))
+    assert sorted(map(tuple, bpe.decode_documents(coded).collect())) == [(1, 1, "a  b"), (2, 1, ""), (3, 1, "é" * 600)]
+
+
 def test_empty_table(spark, folder):
     d = folder([])
     assert bpe.op10(spark, d).count() == 0
