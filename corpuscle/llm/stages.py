@@ -34,9 +34,9 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _once(docs, _base.written(found, f"{_base.scratch(spark)}/dropped"))
 
 
-def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    found = near_dedup.near_duplicates(docs).where("not kept").select("doc_id")
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, shingle: int = near_dedup.SHINGLE) -> DataFrame:
+    """One document of each group of near-duplicates, by shingles of so many words."""
+    found = near_dedup.near_duplicates(docs, shingle).where("not kept").select("doc_id")
     return _once(docs, _base.written(found, f"{_base.scratch(spark)}/dropped"))
 
 

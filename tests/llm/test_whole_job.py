@@ -1,0 +1,20 @@
+"""Operators over whole inputs, by their general rules."""
+
+from functools import partial
+
+import corpus_pipeline
+from tests.llm import test_near_dedup as near
+
+SF = "/root/testdata/sf0.001"
+NEAR = dict(corpus_pipeline.STAGES)["minhash_near_dedup"]
+
+
+def test_pipeline_links_by_five_words(spark, folder, monkeypatch):
+    words = [f"w{i}" for i in range(44)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:20], "edit", *words[21:]])), (3, " ".join(words) + " ")]
+    docs = spark.read.parquet(folder(rows) + "/documents.parquet")
+    assert sorted(r["doc_id"] for r in NEAR(spark, docs, "").collect()) == [1, 2]  # 37 of 45 runs of four words, 35 of 45 of five
+    monkeypatch.setattr(near, "shingles", partial(near.shingles, k=5))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = sorted(r["doc_id"] for r in NEAR(spark, docs, SF).collect())
+    assert got == sorted(d for d, _, _, kept in near.brute([(r["doc_id"], r["text"]) for r in docs.collect()]) if kept)
