@@ -43,12 +43,13 @@ WINDOW = 300
 #: Bits a character that a bare token needs to be a weak secret.
 ENTROPY = 3.2
 
-IDENTIFIER = re.compile(r"""\b(?:access[_-]?key[_-]?id|client[_-]?id|account[_-]?id|user(?:[_-]?name)?|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{3,})""", re.IGNORECASE | re.ASCII)
+#: Names may have a prefix that ends in _ or -, as in DB_USER; no letter or digit stands before them.
+IDENTIFIER = re.compile(r"""(?<![A-Za-z0-9])(?:access[_-]?key[_-]?id|client[_-]?id|account[_-]?id|user(?:[_-]?name)?|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{3,})""", re.IGNORECASE | re.ASCII)
 ENDPOINT = re.compile(
-    r"""\b(?:https?|ftp|sftp|ssh|postgres(?:ql)?|mysql|mongodb|redis|amqps?)://[^\s"'<>]+|\b(?:host(?:[_-]?name)?|endpoint|server|bucket|database[_-]?url)["']?\x20*[:=]\x20*["']?([A-Za-z0-9.:/_-]{3,})""",
+    r"""\b(?:https?|ftp|sftp|ssh|postgres(?:ql)?|mysql|mongodb|redis|amqps?)://[^\s"'<>]+|(?<![A-Za-z0-9])(?:host(?:[_-]?name)?|endpoint|server|bucket|database[_-]?url)["']?\x20*[:=]\x20*["']?([A-Za-z0-9.:/_-]{3,})""",
     re.IGNORECASE | re.ASCII,
 )
-NAMED_SECRET = re.compile(r"""\b(?:pass|pwd|pin|key|private[_-]?key|auth|credentials?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=!@#$%^&*-]{4,})""", re.IGNORECASE | re.ASCII)
+NAMED_SECRET = re.compile(r"""(?<![A-Za-z0-9])(?:pass|pwd|pin|key|private[_-]?key|auth|credentials?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=!@#$%^&*-]{4,})""", re.IGNORECASE | re.ASCII)
 BARE_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 SCOPE_END = re.compile(r"\n[ \t\r]*\n")
 

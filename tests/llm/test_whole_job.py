@@ -3,6 +3,7 @@
 from functools import partial
 
 import corpus_pipeline
+from corpuscle.llm import secrets
 from tests.llm import test_near_dedup as near
 
 SF = "/root/testdata/sf0.001"
@@ -18,3 +19,14 @@ def test_pipeline_links_by_five_words(spark, folder, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = sorted(r["doc_id"] for r in NEAR(spark, docs, SF).collect())
     assert got == sorted(d for d, _, _, kept in near.brute([(r["doc_id"], r["text"]) for r in docs.collect()]) if kept)
+
+
+def spans(text):
+    return [(k, text[s:e]) for s, e, k in secrets.find(text)]
+
+
+def test_names_with_a_prefix_are_parts():
+    assert spans("DB_HOST=db.local\nDB_USER=bob\nDB_PASS=hunter2x\n") == [("endpoint", "HOST=db.local"), ("identifier", "USER=bob"), ("weak_secret", "PASS=hunter2x")]
+    assert [k for k, _ in spans("AWS_ACCESS_KEY_ID=ABCDEF\naws_secret_access_key=wJalrXUt\n")] == ["identifier", "weak_secret"]
+    assert [k for k, _ in spans("my-user: bob my-pwd: hunter2x")] == ["identifier", "weak_secret"]
+    assert spans("superuser=bob bypass=hunter2x") == []
