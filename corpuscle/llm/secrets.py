@@ -2,7 +2,8 @@
 
 Base findings are kept always. Beside them a text has weak parts: access identifiers, secrets and endpoints that alone are
 no finding. Parts are intervals of a scope (a run of text without a blank line), and an interval join links each part with
-the parts of complementary roles that lie within WINDOW code points of it in the same scope. A weak part is reported only
+the parts of complementary roles that lie within WINDOW code points of it in the same scope; in a run of key-value lines
+(a configuration or JSON) it links over the whole run, however long. A weak part is reported only
 where complementary parts co-occur: a secret with an identifier or an endpoint, an identifier or an endpoint with a secret.
 Base findings take part in the join (access as an identifier, assign and hex as secrets). The join is a merge over sorted
 starts with binary search, so a text with many parts costs n log n and gives each part once, never all pairs.
@@ -52,6 +53,11 @@ ENDPOINT = re.compile(
 NAMED_SECRET = re.compile(r"""(?<![A-Za-z0-9])(?:pass|pwd|pin|key|private[_-]?key|auth|credentials?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=!@#$%^&*-]{4,})""", re.IGNORECASE | re.ASCII)
 BARE_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 SCOPE_END = re.compile(r"\n[ \t\r]*\n")
+#: Runs of lines of a configuration: names with values, JSON, brackets, sections, comments, and lone values of a list.
+SETTINGS = re.compile(
+    r"""(?m)^(?:[ \t]*(?:(?:export[ \t]+|-[ \t]+)?(?:"[^"\n]*"|'[^'\n]*'|[\w.-]+)[ \t]*[:=].*|[{\[].*[}\]][,;]?|[\[\]{}(),;]+|(?:\#|;|//).*|(?:"[^"\n]*"|'[^'\n]*'),?|[\w.+-]+,|-[ \t]+\S+)[ \t\r]*(?:\n|\Z))++""",
+    re.ASCII,
+)
 
 Span = tuple[int, int, str]
 
@@ -105,15 +111,19 @@ class Role:
         low = max(part[0] - WINDOW, breaks[k - 1] + 1 if k else 0)
         k = bisect_left(breaks, part[1])
         high = min(part[1] + WINDOW, breaks[k] - 1 if k < len(breaks) else part[1] + WINDOW)
+        return self.meets(low, high)
+
+    def meets(self, low: int, high: int) -> bool:
+        """Whether a span ends at `low` or later and starts at `high` or earlier."""
         first = bisect_left(self.reach, low)
         return first < len(self.starts) and self.starts[first] <= high
 
 
-def link(text: str, base: list[Span]) -> list[Span]:
-    """The weak parts that have a complement."""
+def complements(text: str, base: list[Span]) -> tuple[list[Span], dict[str, tuple[Role, ...]]]:
+    """The weak parts outside base spans, and the roles that complete each kind; no parts where no link is possible."""
     weak = weak_parts(text)
     if not any(s[2] in ("identifier", "endpoint") for s in weak) and not any(s[2] == "access" for s in base):
-        return []
+        return [], {}
     weak += bare_secrets(text)
     covered = Role(base)
 
@@ -125,16 +135,43 @@ def link(text: str, base: list[Span]) -> list[Span]:
     keys = Role([s for s in weak if s[2] == "identifier"] + [s for s in base if s[2] == "access"])
     points = Role([s for s in weak if s[2] == "endpoint"])
     secrets = Role([s for s in weak if s[2] == "weak_secret"] + [s for s in base if s[2] != "access"])
+    return weak, {"weak_secret": (keys, points), "identifier": (secrets,), "endpoint": (secrets,)}
+
+
+def near_links(text: str, weak: list[Span], wanted: dict[str, tuple[Role, ...]]) -> set[Span]:
+    """The weak parts that have a complement within WINDOW."""
     breaks = [m.start() for m in SCOPE_END.finditer(text)]
-    wanted = {"weak_secret": (keys, points), "identifier": (secrets,), "endpoint": (secrets,)}
-    return list({p for p in weak if any(role.near(p, breaks) for role in wanted[p[2]])})
+    return {p for p in weak if any(role.near(p, breaks) for role in wanted[p[2]])}
+
+
+def settings(text: str) -> list[tuple[int, int]]:
+    """The runs of key-value lines that are longer than WINDOW; a single line counts if it is JSON."""
+    runs = [m.span() for m in SETTINGS.finditer(text) if m.end() - m.start() > WINDOW]
+    return [(s, e) for s, e in runs if text.find("\n", s, e - 1) >= 0 or text[s:e].lstrip()[0] in "{["]
+
+
+def run_links(text: str, weak: list[Span], wanted: dict[str, tuple[Role, ...]]) -> set[Span]:
+    """The weak parts that have a complement anywhere in their run of key-value lines."""
+    weak = sorted(weak)
+    out, starts = set(), [s for s, _, _ in weak]
+    for low, high in settings(text):
+        # no part reaches over the end of a line
+        out |= {p for p in weak[bisect_left(starts, low) : bisect_left(starts, high)] if any(role.meets(low + 1, high - 1) for role in wanted[p[2]])}
+    return out
+
+
+def link(text: str, base: list[Span]) -> list[Span]:
+    """The weak parts that have a complement within WINDOW."""
+    return list(near_links(text, *complements(text, base)))
 
 
 def find(text: str | None) -> list[Span]:
     """All spans, by start, then kind, then end."""
     text = text or ""
     base = base_spans(text)
-    return sorted(base + link(text, base), key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
+    weak, wanted = complements(text, base)
+    linked = near_links(text, weak, wanted) | run_links(text, weak, wanted) if weak else set()
+    return sorted([*base, *linked], key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
