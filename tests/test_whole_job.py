@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import pyarrow.parquet as pq
 
+from corpuscle.operators import coverage
 from corpuscle.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -17,3 +18,18 @@ def test_whole_texts_are_merged(spark):
     got = {r["path"]: (r["content"], r["n_workers"]) for r in catalogue.QUERIES["merge_worker_outputs_whole"](spark, SF).collect()}
     assert got == want
     assert max(len(c) for c, _ in want.values()) > 3 * 32
+
+
+def test_levels_expand_all_documents(spark, monkeypatch):
+    expand, seen = coverage.expand, []
+
+    def watched(rows, name, values):
+        out = expand(rows, name, values)
+        seen.append((rows.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(coverage, "expand", watched)
+    lengths = [len(t or "") for t in pq.read_table(f"{SF}/documents.parquet")["text"].to_pylist()]
+    got = {tuple(r) for r in catalogue.QUERIES["opt_level_expansion"](spark, SF).collect()}
+    assert got == {(o, sum(n > 0 for n in lengths), sum(n % 10 == 0 for n in lengths)) for o in ("O0", "O1", "O2", "O3")}
+    assert seen == [(len(lengths), 4 * len(lengths))]
