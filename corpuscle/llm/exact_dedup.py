@@ -1,10 +1,11 @@
 """Exact dedup by a log-structured merge index.
 
 Memtables collect (digest, document) entries per partition and flush them as runs sorted by digest, written as Parquet
-with its Bloom filters and min/max pages, so a later probe opens only the runs that may hold a digest. Compaction merges
-the runs of a level: per digest the best row (most code points in the original text, then smallest doc_id) and the count
-stay. Documents whose digest is held more than once are hits, and a hit's normalised bytes are compared with those of the
-row that stays; a row that differs (a digest collision) is grouped again by its bytes.
+with its Bloom filters and min/max pages. Nothing here probes them: they serve later lookups of single digests only.
+Compaction is an aggregate over all rows of the runs and uses neither filters nor order: per digest the best row (most
+code points in the original text, then smallest doc_id) and the count stay. Documents whose digest is held more than
+once are hits, and a hit's normalised bytes are compared with those of the row that stays; a row that differs (a digest
+collision) is grouped again by its bytes.
 
 Scale: one pass reads the texts and shuffles 32-byte digests only. A second pass sends on only the texts of hits, found by
 a Bloom filter of fixed size. The text of the row that stays is copied once per SHARE members of its group and each
