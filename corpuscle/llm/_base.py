@@ -63,6 +63,30 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     )
 
 
+#: Keys with more than one row in HEAVY have their facts broadcast, fewer than HEAVY of them.
+HEAVY = 1000
+
+
+def attach(rows: DataFrame, facts: DataFrame, key: str, total: int) -> DataFrame:
+    """The `total` rows with their key's facts (key, k: its rows, ...; a written table), others out. Rows of keys that hold more than one
+    row in HEAVY stay where they are: as the k add up to total at most, fewer than HEAVY facts are broadcast for them."""
+    heavy = F.broadcast(facts.where(F.col("k") * HEAVY > total))
+    light = facts.where(F.col("k") * HEAVY <= total)
+    return rows.join(heavy, key).unionByName(rows.join(heavy.select(key), key, "left_anti").join(light, key))
+
+
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with as much before it that docs has no such column."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        own = f"_{name}"
+        while own.lower() in taken:
+            own = f"_{own}"
+        taken.add(own.lower())
+        out.append(own)
+    return out
+
+
 def written(df: DataFrame, path: str, **options: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back: lineage ends here, so a lost executor repeats no earlier stage."""
     df.write.mode("overwrite").options(**options).parquet(path)

@@ -1,26 +1,35 @@
 """Byte-level BPE encoding and decoding with content-defined chunk reuse.
 
-A rolling (gear) hash over the bytes cuts a text into chunks of about CHUNK bytes at places that depend on the content
-only, so that a passage which many documents share falls into the same chunks in each. A worker encodes each chunk once and
-keeps the result. What stands at a chunk's ends can encode differently next to other text, so a chunk's ids are kept only
-between its first and last safe point; the join of two chunks is repaired by encoding again the text from the last safe
-point of one to the first safe point of the other, however far apart these are (over whole chunks without one). A safe
-point is a space before a non-space: no pre-token of the tokenizer reaches over it whatever stands beside, so ids on both
-sides agree exactly with those of the whole text. Inside chunks, the units between safe points are kept likewise.
-Texts that name a special token, and units with characters above U+024F (whose class may differ between regex engines), go
-to the tokenizer as they are.
-
-Memory: both stores are two bounded generations per worker. Scale: documents are independent, no shuffle.
-
-Defined results: null and empty texts have no ids; rows that repeat are repeated; other columns are ignored.
+A rolling (gear) hash over the bytes cuts a text into chunks of about CHUNK bytes at places that depend on the content only, so
+that a passage which many documents share falls into the same chunks in each. Chunks that occur more than once anywhere are
+encoded once for all documents: one pass over the texts gives the digests of their chunks, which are counted; a second sends on
+one copy of each shared chunk, which is encoded and written; then each text meets the ids of its shared chunks, and encodes the
+others itself.
+
+What stands at a chunk's ends can encode differently next to other text. A chunk's ids are therefore kept from its first to its
+last inner unit, where units are cut at spaces before non-spaces, and the join of two chunks is repaired: the text from the last
+unit of one to the first unit of the other is encoded again by the tokenizer itself, and taken if it begins with the ids that one
+chunk has for its unit and ends with those of the other. If not, the window grows by both chunks and ends at their neighbours' units,
+until both sides agree, at last over the whole text. Texts that name a special token, and units with characters above U+024F (whose class may differ
+between regex engines), go to the tokenizer as they are.
+
+Memory: a worker remembers the ids of units in two bounded generations. Scale: digests of 16 bytes a chunk are shuffled, then the
+shared chunks (once a task), their ids, and the texts that have some, which a broadcast filter of at most sieve.MOST bits finds;
+the other texts are encoded where they are read. A chunk that very many texts have is broadcast with its ids (_base.attach).
+
+Defined results: null and empty texts have no ids; rows that repeat are repeated; a null doc_id is one like any other; a text is
+encoded whole, by chunks, and a text without spaces goes to the tokenizer at once; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -28,12 +37,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm import _base
+from corpuscle.llm import _base, sieve
 
 #: Mean bytes between cuts, least bytes of a chunk.
 CHUNK, LEAST = 1024, 256
-#: Entries of a generation of units, of chunks.
-UNITS, CHUNKS = 150_000, 4_000
+#: Bytes of a chunk that is worth sharing, at least.
+WORTH = 128
+#: Entries of a generation of units.
+UNITS = 100_000
+#: Digests that a task remembers to send a chunk once.
+SEEN = 1 << 16
 
 SAFE = re.compile(r" (?=\S)")
 #: White space other than the space and the four common ones, as Python sees it.
@@ -56,6 +69,23 @@ def _visible() -> dict[int, str]:
     return {b: chr(b) for b in stay} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+@dataclass(frozen=True)
+class Coded:
+    """A chunk: its text up to the first unit, the first and last inner units, the text from the last safe point, ids from first to
+    last, and how many of these are the first unit's and the last one's."""
+
+    head: str
+    first: str
+    last: str
+    tail: str
+    ids: bytes
+    n_first: int
+    n_last: int
+
+
+CODED = "head string, first string, last string, tail string, ids binary, n_first int, n_last int"
+
+
 class Units(dict):
     """Ids (as little-endian bytes) of " " + unit by unit."""
 
@@ -95,8 +125,6 @@ class Encoder:
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.units = Units(self)
         self.starts: dict[str, bytes] = {}
-        self.chunks: dict[bytes, tuple[str, bytes, str] | None] = {}
-        self.older: dict[bytes, tuple[str, bytes, str] | None] = {}
         visible = _visible()
         self.shown, self.space = visible, visible[32]
         self.hidden = {v: b for b, v in visible.items()}
@@ -156,44 +184,52 @@ class Encoder:
 
     # chunks
 
-    def _chunk(self, raw: bytes) -> tuple[str, bytes, str] | None:
-        """Text up to the first safe point, ids from there to the last, text from there; None without a safe point."""
-        if raw in self.chunks:
-            return self.chunks[raw]
-        if raw in self.older:
-            found = self.older[raw]
-        else:
-            units = cut(raw.decode("utf-8", "surrogatepass"))
-            found = None if len(units) < 2 else (units[0], b"".join(map(self.units.__getitem__, units[1:-1])), " " + units[-1])
-        if len(self.chunks) >= CHUNKS:
-            self.older, self.chunks = self.chunks, {}
-        self.chunks[raw] = found
-        return found
-
-    def encode_chunked(self, text: str) -> bytes:
-        """Ids by shared chunks and repaired joins."""
+    def chunk(self, raw: bytes) -> Coded | None:
+        """A chunk by itself; None without an inner unit."""
+        units = cut(raw.decode("utf-8", "surrogatepass"))
+        if len(units) < 3:
+            return None
+        ids = list(map(self.units.__getitem__, units[1:-1]))
+        width = self.dtype.itemsize
+        return Coded(units[0], " " + units[1], " " + units[-2], " " + units[-1], b"".join(ids), len(ids[0]) // width, len(ids[-1]) // width)
+
+    def join(self, left: Coded | None, between: str, right: Coded | None) -> bytes | None:
+        """Ids between the inner units of two chunks (or of the text's ends), of a window that agrees with both; None if it does not."""
+        got = self.library((left.last + left.tail if left else "") + between + (right.head + right.first if right else ""))
+        width = self.dtype.itemsize
+        a, b = (left.n_last * width if left else 0), (right.n_first * width if right else 0)
+        fits = len(got) >= a + b and (not a or got[:a] == left.ids[-a:]) and (not b or got[-b:] == right.ids[:b])
+        return got[a : len(got) - b] if fits else None
+
+    def encode_chunked(self, text: str, known: dict[bytes, Coded | None] | None = None) -> bytes:
+        """Ids by chunks, those in `known` (by digest) as they are, and repaired joins."""
+        if not text:
+            return b""
         if any(s in text for s in self.special):
             return self.library(text)
-        out, held, begun = [], "", False
-
-        def repair(window: str) -> None:
-            if not begun:
-                units = cut(window)
-                out.append(self.first(units[0]))
-                out.extend(map(self.units.__getitem__, units[1:]))
-            else:
-                out.extend(map(self.units.__getitem__, cut(window)[1:]))
-
-        for raw in chunks(text.encode("utf-8", "surrogatepass")):
-            found = self._chunk(raw)
-            if found is None:
-                held += raw.decode("utf-8", "surrogatepass")
-            else:
-                repair(held + found[0])
-                out.append(found[1])
-                held, begun = found[2], True
-        repair(held)
-        return b"".join(out)
+        held: list[tuple[bytes, bytes, Coded, bytes]] = []  # what stands before a chunk and its ids, the chunk, its bytes
+        gap = b""
+        for raw in [*chunks(text.encode("utf-8", "surrogatepass")), None]:
+            right = None
+            if raw is not None:
+                right = known[d] if known and (d := digest(raw)) in known else self.chunk(raw)
+                if right is None:
+                    gap += raw
+                    continue
+            got = self.join(held[-1][2] if held else None, gap.decode("utf-8", "surrogatepass"), right)
+            while got is None:  # the window takes in both chunks
+                if right:
+                    gap, right = gap + raw, None
+                if held:
+                    before, _, _, own = held.pop()
+                    gap = before + own + gap
+                if raw is not None:
+                    break  # it goes on to the next chunk
+                got = self.join(held[-1][2] if held else None, gap.decode("utf-8", "surrogatepass"), None)
+            if got is not None:
+                held.append((gap, got, right, raw))
+                gap = b""
+        return b"".join(x for _, got, chunk, _ in held for x in (got, chunk.ids if chunk else b""))
 
     # decoding
 
@@ -211,6 +247,12 @@ class Encoder:
             self._table = out
         return self._table
 
+    def names(self) -> list[bytes]:
+        """Ids in decimal."""
+        if not hasattr(self, "_names"):
+            self._names = [str(i).encode() for i in range(self.size)]
+        return self._names
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.table().__getitem__, ids)).decode("utf-8", "replace")
 
@@ -222,6 +264,10 @@ def cut(text: str) -> list[str]:
     return text.split(" ")
 
 
+def digest(raw: bytes) -> bytes:
+    return hashlib.blake2b(raw, digest_size=16).digest()
+
+
 @lru_cache(maxsize=1)
 def _gear() -> np.ndarray:
     return np.random.default_rng(0x5EED).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -253,33 +299,138 @@ def encoder(path: str, units: int = UNITS) -> Encoder:
     return Encoder(path, units)
 
 
-def _coded(docs: DataFrame, path: str | None, chunked: bool, decoded: bool) -> DataFrame:
-    path = path or default_vocabulary()
+def _told(own: Encoder, ids: np.ndarray) -> tuple[str, str]:
+    """Digests of the ids and of the text decoded from them."""
+    plain = ids.tolist()
+    text = own.decode(plain)
+    return hashlib.sha256(b",".join(map(own.names().__getitem__, plain))).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
+
+
+def _batch(own: Encoder, b: pa.RecordBatch, known: list[dict] | None, columns: list[str]) -> pa.RecordBatch:
+    """The named columns of results for a batch of doc_id and text."""
+    given = b.column("text").to_pylist()
+    got = [np.frombuffer(own.encode_chunked(t, known[i] if known else None), own.dtype) for i, t in enumerate(given)]
+    sizes = [len(g) for g in got]
+    out = {"doc_id": b.column("doc_id"), "n_tokens": pa.array(sizes, pa.int64())}
+    if "ids" in columns:
+        flat = np.concatenate(got) if got else np.zeros(0, own.dtype)
+        out["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat.astype(np.int32)))
+    if "ids_sha256" in columns:
+        told = [_told(own, g) for g in got]
+        out["ids_sha256"], out["decoded_sha256"] = pa.array([t[0] for t in told], pa.string()), pa.array([t[1] for t in told], pa.string())
+    return pa.RecordBatch.from_arrays([out[c] for c in columns], columns)
+
+
+RESULT = {"doc_id": "long", "n_tokens": "long", "ids": "array<int>", "ids_sha256": "string", "decoded_sha256": "string"}
+
+
+def _marks(texts: DataFrame, path: str) -> DataFrame:
+    """text_key and digest of each text's different chunks that are worth sharing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _base.only("bpe")
+        special = encoder(path).special
+        for b in _base.steps(batches):
+            keys, digests = [], []
+            for key, text in zip(b.column("text_key").to_pylist(), b.column("text").to_pylist(), strict=True):
+                if not any(s in text for s in special):
+                    own = {digest(raw) for raw in chunks(text.encode("utf-8", "surrogatepass")) if len(raw) >= WORTH}
+                    digests += own
+                    keys += [key] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(digests, pa.binary())], ["text_key", "digest"])
+
+    return texts.select("text_key", "text").mapInArrow(run, "text_key long, digest binary")
+
+
+def _short(digests: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(d[:8] for d in digests), "<i8")
+
+
+def _shared_chunks(texts: DataFrame, shared: DataFrame, path: str) -> DataFrame:
+    """digest, k and ids of the shared chunks (digest, k; a written table), each encoded once."""
+    told = texts.sparkSession.sparkContext.broadcast(sieve.build(shared.select("digest"), lambda b: _short(b.column("digest").to_pylist())))  # sieve.MOST bits at most
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _base.only("bpe")
+        mask, seen = np.frombuffer(told.value, np.uint8), set()
+        for b in _base.steps(batches):
+            found = {digest(raw): raw for t in b.column("text").to_pylist() for raw in chunks(t.encode("utf-8", "surrogatepass")) if len(raw) >= WORTH}
+            own = [d for d in found if d not in seen]
+            if own:
+                own = [own[i] for i in np.flatnonzero(sieve.test(mask, _short(own)))]
+                if len(seen) > SEEN:
+                    seen.clear()
+                seen.update(own)
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array([found[d] for d in own], pa.binary())], ["digest", "raw"])
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _base.only("bpe")
+        own = encoder(path)
+        for b in _base.steps(batches, "raw"):
+            got = [own.chunk(r) for r in b.column("raw").to_pylist()]
+            keep = [i for i, g in enumerate(got) if g]
+            part = b.take(pa.array(keep, pa.int64()))
+            names = list(Coded.__dataclass_fields__)
+            kinds = {"ids": pa.binary(), "n_first": pa.int32(), "n_last": pa.int32()}
+            yield pa.RecordBatch.from_arrays([part.column("digest"), part.column("k"), *(pa.array([getattr(got[i], n) for i in keep], kinds.get(n, pa.string())) for n in names)], ["digest", "k", *names])
+
+    sent = texts.select("text").mapInArrow(send, "digest binary, raw binary").dropDuplicates(["digest"])
+    return sent.join(shared, "digest").select("digest", "k", "raw").mapInArrow(code, f"digest binary, k long, {CODED}")
+
+
+def _coded(docs: DataFrame, path: str | None, columns: list[str]) -> DataFrame:
+    path = path or default_vocabulary()
+    spark = docs.sparkSession
+    root = _base.scratch(spark)
+    texts = _base.texts(docs).select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    kind = ", ".join(f"{c} {RESULT[c]}" for c in columns)
+    marks = _base.written(_marks(texts, path), f"{root}/marks")
+    shared = _base.written(marks.groupBy("digest").agg(F.count("*").alias("k")).where("k > 1"), f"{root}/shared")
+
+    def alone(batches: Iterator[pa.RecordBatch], mask: np.ndarray | None) -> Iterator[pa.RecordBatch]:
         _base.only("bpe")
         own = encoder(path)
-        encode: Callable[[str], bytes] = own.encode_chunked if chunked else own.encode
         for b in _base.steps(batches):
-            got = [np.frombuffer(encode(t), own.dtype) for t in b.column("text").to_pylist()]
-            ends = np.concatenate([[0], np.cumsum([len(g) for g in got])]).astype(np.int32)
-            flat = np.concatenate(got) if got else np.zeros(0, own.dtype)
-            out = [b.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int32)))]
-            if decoded:
-                out.append(pa.array([own.decode(g.tolist()) for g in got], pa.string()))
-            yield pa.RecordBatch.from_arrays(out, ["doc_id", "ids", "text"][: len(out)])
+            if mask is not None:
+                b = b.filter(pa.array(~sieve.test(mask, b.column("text_key").to_numpy())))
+            yield _batch(own, b, None, columns)
+
+    if shared.isEmpty():
+        return texts.mapInArrow(lambda it: alone(it, None), kind)
+    coded = _base.written(_shared_chunks(texts, shared, path), f"{root}/coded")
+    met = _base.attach(marks.distinct(), coded, "digest", marks.count())
+    parts = met.groupBy("text_key").agg(F.collect_list(F.struct("digest", *Coded.__dataclass_fields__)).alias("parts"))  # those of one text
+    parts = _base.written(parts, f"{root}/parts")
+    told = spark.sparkContext.broadcast(sieve.build(parts.select("text_key")))  # sieve.MOST bits at most
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = np.frombuffer(told.value, np.uint8)
+        for b in batches:
+            yield b.filter(pa.array(sieve.test(mask, b.column("text_key").to_numpy())))
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return alone(batches, np.frombuffer(told.value, np.uint8))
+
+    def with_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _base.only("bpe")
+        own = encoder(path)
+        for b in _base.steps(batches, most=_base.STEP_BYTES // 4):
+            known = [{p.pop("digest"): Coded(**p) for p in row or ()} for row in b.column("parts").to_pylist()]
+            yield _batch(own, b, known, columns)
 
-    return _base.texts(docs).mapInArrow(run, "doc_id long, ids array<int>" + ", text string" * decoded)
+    sharing = texts.mapInArrow(some, "doc_id long, text string, text_key long").join(parts, "text_key", "left")
+    return texts.mapInArrow(rest, kind).unionByName(sharing.select("doc_id", "text", "parts").mapInArrow(with_parts, kind))
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, *, chunked: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id and ids (array of int). `path` is a vocabulary file that every executor can open."""
-    return _coded(docs, path, chunked, False)
+    return _coded(docs, path, ["doc_id", "ids"])
 
 
-def encode_and_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, ids, and text decoded from the ids, by one worker (two steps would need two workers a task, each with its stores)."""
-    return _coded(docs, path, True, True)
+def encode_and_decode(docs: DataFrame, path: str | None = None, *, ids: bool = True) -> DataFrame:
+    """doc_id, n_tokens, ids if asked for, ids_sha256 (of decimal ids joined by commas), and decoded_sha256 (of the text decoded from
+    the ids), by one worker: decoded texts need not go back to the JVM."""
+    return _coded(docs, path, [c for c in RESULT if ids or c != "ids"])
 
 
 def decode_documents(coded: DataFrame, path: str | None = None) -> DataFrame:
@@ -303,6 +454,4 @@ def decode_documents(coded: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = encode_and_decode(_base.table(spark, sf_dir, "documents"))
-    told = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(told, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+    return encode_and_decode(_base.table(spark, sf_dir, "documents"), ids=False)

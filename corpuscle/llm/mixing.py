@@ -9,11 +9,13 @@ up a reduction tree until each source has one residual. That one is taken in par
 to one, or with whole=True taken or left at random.
 
 Only DataFrame functions run. Scale: one pass over the texts gives narrow rows; a level shuffles one row in BLOCK of the
-level before, and blocks are dealt by a hash of doc_id, so a source of any size spreads over many tasks. The table of sources
-is one row a source (its order and its cap need all of them). Draws are hashes of doc_ids: reruns agree.
+level before, and blocks are dealt by a hash of the row (doc_id, text, and a number among rows that repeat both), so a source of any
+size, and a row that repeats without end, spread over many tasks. The table of sources is one row a source (its order and its
+cap need all of them). Draws are hashes of rows: reruns agree.
 
 Defined results: a text without words (also null and empty) has size 0 and taken 0; a null source is a source of its own,
-the last; rows that repeat are mixed one by one; an empty table gives an empty result; other columns are ignored.
+the last; rows that repeat are mixed one by one, and a null doc_id is one like any other; a text of any length is one document, taken
+whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,9 +34,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size, the number of words."""
+    """doc_id, text_key (a hash of the text), nth (among rows that repeat all the rest), source and size, the number of words."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"))
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"))
+    counted = every.groupBy("doc_id", "text_key", "source", "size").agg(F.count("*").alias("n"))
+    return counted.select("doc_id", "text_key", "source", "size", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("nth"))
 
 
 def targets(rows: DataFrame) -> DataFrame:
@@ -55,6 +59,9 @@ def targets(rows: DataFrame) -> DataFrame:
     return own.select("source", "source_size", target.alias("target"), "n")
 
 
+ROW = ("doc_id", "text_key", "nth")
+
+
 def _draw(*parts: Column) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
@@ -66,10 +73,10 @@ def _pair(state: Column, e: Column, level: int) -> Column:
     p, q = cur["p"], e["p"]
     up = F.least(1 - p, ratio * q)
     down = F.least(p, ratio * (1 - q))
-    rise = _draw(cur["doc_id"], e["doc_id"], F.lit(level), F.lit(SEED)) * (up + down) < down
+    rise = _draw(*(x[c] for x in (cur, e) for c in ROW), F.lit(level), F.lit(SEED)) * (up + down) < down
 
     def item(x: Column, prob: Column) -> Column:
-        return F.struct(x["size"].alias("size"), x["doc_id"].alias("doc_id"), prob.alias("p"))
+        return F.struct(x["size"].alias("size"), *(x[c].alias(c) for c in ROW), prob.alias("p"))
 
     def to(settled: Column, rest: Column) -> Column:
         return F.struct(rest.alias("cur"), F.concat(done, F.array(settled)).alias("done"))
@@ -86,18 +93,18 @@ def _pair(state: Column, e: Column, level: int) -> Column:
 
 
 def _round(rows: DataFrame, level: int) -> DataFrame:
-    """source, doc_id, size, p after the exchanges of each block."""
-    item = F.struct("size", "doc_id", "p")
+    """source, the row, size and p after the exchanges of each block."""
+    item = F.struct("size", *ROW, "p")
     blocks = rows.groupBy("source", "block").agg(F.sort_array(F.collect_list(item)).alias("items"))
     none = F.slice(F.col("items"), 1, 0)
     start = F.struct(F.element_at("items", 1).alias("cur"), none.alias("done"))
     ended = F.aggregate(F.expr("slice(items, 2, size(items))"), start, lambda s, e: _pair(s, e, level))
     out = blocks.select("source", ended.alias("s")).select("source", F.explode(F.concat(F.col("s.done"), F.array("s.cur"))).alias("i"))
-    return out.select("source", "i.doc_id", "i.size", "i.p")
+    return out.select("source", *(f"i.{c}" for c in ROW), "i.size", "i.p")
 
 
 def mix(docs: DataFrame, *, whole: bool = False) -> DataFrame:
-    """doc_id, size, source, source_size, target, copies (double: times the document is taken)."""
+    """doc_id, text_key, nth, size, source, source_size, target, copies (double: times the document is taken) of every row."""
     spark = docs.sparkSession
     root = _base.scratch(spark)
     rows = _base.written(sizes(docs), f"{root}/sizes")
@@ -106,7 +113,7 @@ def mix(docs: DataFrame, *, whole: bool = False) -> DataFrame:
     # a null-safe join on source; the table of sources is broadcast only below Spark's own size threshold
     base = rows.join(own.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("mean", mean)
     part = F.when(F.col("size") > 0, F.col("mean") - F.floor("mean")).otherwise(F.lit(0.0))
-    first = base.select("source", "doc_id", "size", part.alias("p"))
+    first = base.select("source", *ROW, "size", part.alias("p"))
 
     most = own.agg(F.max("n")).first()[0] or 0
     fraction, level, settled = (F.col("p") > 0) & (F.col("p") < 1), 0, [first.where("p <= 0 or p >= 1")]
@@ -114,19 +121,19 @@ def mix(docs: DataFrame, *, whole: bool = False) -> DataFrame:
     while most > 1:
         n = left.groupBy("source").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).withColumnRenamed("source", "of")
         dealt = left.join(n, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-        dealt = dealt.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(level), F.lit(SEED)), F.col("blocks")))
+        dealt = dealt.withColumn("block", F.pmod(F.xxhash64(*ROW, F.lit(level), F.lit(SEED)), F.col("blocks")))
         done = _base.written(_round(dealt, level), f"{root}/level{level}")
         settled.append(done.where("p <= 0 or p >= 1"))
         left, level = done.where(fraction), level + 1
         most = 1 if most <= BLOCK else -(-most // BLOCK)
     if whole:
-        left = left.withColumn("p", (_draw(F.col("doc_id"), F.lit(SEED + 1)) < F.col("p")).cast("double"))
+        left = left.withColumn("p", (_draw(*map(F.col, ROW), F.lit(SEED + 1)) < F.col("p")).cast("double"))
     for more in settled:
         left = left.unionByName(more)
     given = own.withColumnRenamed("source", "of").withColumn("mean", mean)
     out = left.join(given, F.col("source").eqNullSafe(F.col("of")))
     copies = F.when(F.col("size") > 0, F.floor("mean") + F.col("p")).otherwise(F.lit(0.0))
-    return out.select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"))
+    return out.select(*ROW, "size", "source", "source_size", "target", copies.alias("copies"))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

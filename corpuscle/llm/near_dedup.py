@@ -7,24 +7,30 @@ MOST = CHUNKS * (ERRORS + 1) - 1 symbols have a chunk with at most ERRORS = 1 di
 every symbol that may differ (the other three must be equal), which finds all pairs up to that distance. At similarity 0.8
 the distance has mean 9.6 and deviation 2.8; MOST = 23 is missed by about three pairs in a million.
 
-Equal sets are one class before anything is compared. Pairs in buckets of at most SMALL classes are listed, and kept if
-their signatures differ in at most MOST symbols. Classes in larger buckets take an exact way that does not list their
-pairs: a similarity of at least 0.8 needs a common element among the first fifth of either set in any one order. Rare
-elements come first in the order (by a sketch of counts of fixed size), so that what many documents share, such as a
-passage, is no key; in what is left each element's classes are compared with one centre, and after that only classes that
-are not yet in one component are compared. Every comparison is of full sets. Links give components.
+Equal sets are one class before anything is compared: a class is a digest of 128 bits, and classes get numbers when their table
+is written. Words are hashed one by one with a cryptographic hash, so no family of words collides. Two classes are linked if
+their signatures differ in at most MOST symbols and their full sets are similar, in buckets of every size alike. Only the way
+pairs are listed depends on the bucket: of one with at most SMALL classes all pairs are; in a larger one those are left out
+that can't be similar, without looking at them: a similarity of at least 0.8 needs a common element among the first fifth of
+either set in any one order. Rare elements come first in the order (by a sketch of counts of fixed size), so that what many
+documents share, such as a passage, is no key; in what is left each element's classes are compared with one centre, and after
+that only classes that are not yet in one component. Links give components.
 
 Scale: two passes over the texts; the first shuffles signatures and 48 keys of 16 bytes a class, the second sends on only sets
-of classes that have a candidate. Buckets are never collected beyond SMALL, hubs are split by adaptive joins.
+of classes that have a candidate. Buckets are never collected beyond SMALL. The facts
+of elements with very many rows are broadcast (_base.attach bounds them); pairs are made in shares of SHARE classes, which spread.
 
 Defined results: fewer words than SHINGLE make one shingle; documents without words (also null and empty texts) have an empty
-set, link with nothing and are kept; rows that repeat are one class (all rows with the smallest doc_id are marked kept); an
-empty table gives an empty result; other columns are ignored.
+set, link with nothing and are kept; rows that repeat are one class (all rows with the smallest doc_id are marked kept), and so
+are rows that repeat a doc_id with other text, each by its own set; a null doc_id is carried and never the name of a component
+that has another; an empty table gives an empty result; other columns are ignored. A text is cut into words a step at a time;
+its set of hashes is in memory at once.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -50,7 +56,12 @@ SKETCH_SLICE = 1 << 12
 #: Text bytes of a step.
 STEP = 1 << 20
 
-SIGNED = "doc_id long, n_shingles long, cid long, sig binary"
+#: Classes of a share of an element.
+SHARE = 512
+#: Words whose hashes a worker remembers, and how long such a word may be.
+WORDS, LONG = 1 << 16, 64
+
+SIGNED = "doc_id long, text_key long, n_shingles long, class binary, sig binary"
 
 M64 = (1 << 64) - 1
 
@@ -72,57 +83,54 @@ def _constants() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return odd(16), odd(SYMBOLS), odd(SYMBOLS)
 
 
-class Powers:
-    """Powers of an odd base modulo 2**64 and their inverses, as far as a step is long."""
+class Words(dict):
+    """64-bit hashes of words, remembered up to a bound."""
 
-    BASE = 0x9E3779B97F4A7C15
-    INVERSE = pow(BASE, -1, 1 << 64)
+    def __missing__(self, word: bytes) -> int:
+        found = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= LONG:
+            if len(self) >= WORDS:
+                self.clear()
+            self[word] = found
+        return found
 
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
 
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, STEP + (1 << 16))
-            for name, base in (("up", self.BASE), ("down", self.INVERSE)):
-                row = np.full(size, base, np.uint64)
-                row[0] = 1
-                setattr(self, name, np.cumprod(row))
-        return self.up, self.down
+@lru_cache(maxsize=1)
+def _known() -> Words:
+    return Words()
 
 
-@lru_cache(maxsize=1)
-def _powers() -> Powers:
-    return Powers()
+BREAK = re.compile(rb"[ \t-\r]")
 
 
-@lru_cache(maxsize=1)
-def _spaces() -> np.ndarray:
-    out = np.zeros(256, bool)
-    out[[32, *range(9, 14)]] = True
-    return out
+def word_hashes(text: str | None) -> np.ndarray:
+    """The hashes of a text's words in order; A-Z count as a-z."""
+    raw, known, out, at = (text or "").encode("utf-8", "surrogatepass").lower(), _known(), [], 0
+    while at < len(raw):
+        end = len(raw)
+        if end - at > STEP:
+            cut = BREAK.search(raw, at + STEP)
+            end = cut.start() if cut else end
+        words = raw[at:end].split()  # at the six characters of ASCII white space
+        out.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
+        at = end
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def shingle_sets(texts: list[str], shingle: int = SHINGLE) -> list[np.ndarray]:
     """The sorted 64-bit hashes of each text's distinct shingles."""
-    raw = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
-    whole = np.frombuffer(b"\n" + b"\n".join(raw) + b"\n", np.uint8)
-    space = _spaces()[whole]
-    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
-    starts, ends = edge[::2], edge[1::2]
-    up, down = _powers().upto(len(whole) + 1)
+    own = [word_hashes(t) for t in texts]
+    words = np.concatenate(own) if own else np.zeros(0, np.uint64)
+    ends = np.cumsum([len(x) for x in own]).tolist()
+    factors = _constants()[0]
     with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((whole.astype(np.uint64) + np.uint64(1)) * up[: len(whole)])])
-        words = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        factors = _constants()[0]
-        bounds = np.searchsorted(starts, np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw])]) + 1)
         n = max(0, len(words) - shingle + 1)
         runs = np.zeros(n, np.uint64)
         for k in range(shingle):
             runs += words[k : k + n] * factors[k]
         runs = mix(runs)
         out = []
-        for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        for s, e in zip([0, *ends][:-1], ends, strict=True):
             if e - s >= shingle:
                 out.append(np.unique(runs[s : e - shingle + 1]))
             elif e > s:
@@ -133,8 +141,8 @@ def shingle_sets(texts: list[str], shingle: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
-def class_id(found: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
+def class_digest(found: np.ndarray) -> bytes:
+    return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
 
 
 def signature(found: np.ndarray) -> np.ndarray:
@@ -159,7 +167,8 @@ def keys_of(signs: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, cid (class of equal sets) and sig; the last two null for an empty set."""
+    """doc_id, text_key (a hash of the text, to tell rows of one doc_id apart), n_shingles, class (of equal sets) and sig; the last
+    two null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _base.only("near_dedup")
@@ -167,13 +176,13 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             found = shingle_sets(b.column("text").to_pylist(), shingle)
             yield pa.RecordBatch.from_arrays(
                 [
-                    b.column("doc_id"), pa.array(map(len, found), pa.int64()), pa.array([class_id(x) if len(x) else None for x in found], pa.int64()),
+                    b.column("doc_id"), b.column("text_key"), pa.array(map(len, found), pa.int64()), pa.array([class_digest(x) if len(x) else None for x in found], pa.binary()),
                     pa.array([signature(x).tobytes() if len(x) else None for x in found], pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "cid", "sig"],
+                ["doc_id", "text_key", "n_shingles", "class", "sig"],
             )
 
-    return _base.texts(docs).mapInArrow(run, SIGNED)
+    return _base.texts(docs).select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, SIGNED)
 
 
 def _keys(classes: DataFrame) -> DataFrame:
@@ -204,21 +213,28 @@ def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """cid and items (sorted shingle hashes) of the wanted classes (cid, doc_id), from one document each."""
-    keys = wanted.select(F.col("cid").bitwiseXOR(F.col("doc_id")).alias("k"))
-    told = docs.sparkSession.sparkContext.broadcast(sieve.build(keys))  # a fixed size
+    """cid and items (sorted shingle hashes) of the wanted classes (cid, class, doc_id; a written table), from one document each."""
+
+    mask = sieve.build(wanted.select("class", "doc_id"), lambda b: _row_keys(b.column("class").to_pylist(), b.column("doc_id")))
+    told = docs.sparkSession.sparkContext.broadcast(mask)  # sieve.MOST bits at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = np.frombuffer(told.value, np.uint8)
         for b in _base.steps(batches, most=STEP):
             found = shingle_sets(b.column("text").to_pylist(), shingle)
-            cids = np.array([class_id(x) if len(x) else 0 for x in found], np.int64)
-            ok = sieve.test(mask, cids ^ b.column("doc_id").to_numpy(zero_copy_only=False))
+            digests = [class_digest(x) for x in found]
+            ok = sieve.test(mask, _row_keys(digests, b.column("doc_id")))
             keep = [i for i in np.flatnonzero(ok).tolist() if len(found[i])]
             if keep:
-                yield pa.RecordBatch.from_arrays([pa.array(cids[keep]), pa.array([found[i].view(np.int64) for i in keep], pa.list_(pa.int64()))], ["cid", "items"])
+                yield pa.RecordBatch.from_arrays([pa.array([digests[i] for i in keep], pa.binary()), pa.array([found[i].view(np.int64) for i in keep], pa.list_(pa.int64()))], ["class", "items"])
+
+    rows = _base.texts(docs).mapInArrow(run, "class binary, items array<long>")
+    return rows.join(wanted.select("cid", "class"), "class").select("cid", "items").dropDuplicates(["cid"])
+
 
-    return _base.texts(docs).mapInArrow(run, "cid long, items array<long>").dropDuplicates(["cid"])
+def _row_keys(digests: list[bytes], docs: pa.Array) -> np.ndarray:
+    """A class's digest and a doc_id (null as 0) as one number."""
+    return np.frombuffer(b"".join(d[:8] for d in digests), "<i8") ^ docs.fill_null(0).to_numpy(zero_copy_only=False)
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -294,9 +310,10 @@ def find_links(docs: DataFrame, shingle: int = SHINGLE) -> Found:
     spark = docs.sparkSession
     root = _base.scratch(spark)
     signed = _base.written(signatures(docs, shingle), f"{root}/signed")
-    one = F.min(F.struct("doc_id", "n_shingles", "sig")).alias("r")
-    classes = signed.where("cid is not null").groupBy("cid").agg(one, F.count("*").alias("rows"))
-    classes = _base.written(classes.select("cid", "r.doc_id", F.col("r.n_shingles").alias("n"), "r.sig", "rows"), f"{root}/classes")
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n_shingles", "sig")).alias("r")
+    classes = signed.where("class is not null").groupBy("class").agg(one, F.count("*").alias("rows"))
+    classes = classes.select(F.monotonically_increasing_id().alias("cid"), "class", "r.doc_id", F.col("r.n_shingles").alias("n"), "r.sig", "rows")
+    classes = _base.written(classes, f"{root}/classes")  # the numbers hold from here on
 
     keys = _keys(classes)
     shared = _base.written(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), f"{root}/shared")
@@ -308,7 +325,7 @@ def find_links(docs: DataFrame, shingle: int = SHINGLE) -> Found:
     hot = _base.written(members.where(f"c > {SMALL}").select("cid").distinct(), f"{root}/hot")
 
     involved = near.select(F.explode(F.array("a", "b")).alias("cid")).unionByName(hot).distinct()
-    wanted = classes.select("cid", "doc_id").join(involved, "cid", "left_semi")
+    wanted = _base.written(classes.select("cid", "class", "doc_id").join(involved, "cid", "left_semi"), f"{root}/wanted")
     sets = _base.written(_sets(docs, wanted, shingle), f"{root}/sets")
 
     # each class with its nearest candidate, and each rare element's classes with one centre
@@ -318,10 +335,12 @@ def find_links(docs: DataFrame, shingle: int = SHINGLE) -> Found:
     if not hot.isEmpty():
         rare = _prefixes(sets.join(hot, "cid", "left_semi"))
         rare = _base.written(rare, f"{root}/prefixes")
-        kept = rare.groupBy("item").agg(F.count("*").alias("k"), F.min(F.struct("pos", "cid", "n")).alias("centre")).where("k > 1").drop("k")
-        rare = _base.written(rare.join(kept, "item"), f"{root}/rare")
+        facts = rare.groupBy("item").agg(F.count("*").alias("k"), F.min(F.struct("pos", "cid", "n")).alias("centre")).where("k > 1")
+        rare = _base.written(_base.attach(rare, _base.written(facts, f"{root}/centres"), "item", rare.count()), f"{root}/rare")
         stars = rare.alias("x").where(_possible("x", "centre") & (F.col("x.cid") != F.col("centre.cid")))
-        first = first.unionByName(stars.select(F.least("x.cid", "centre.cid").alias("a"), F.greatest("x.cid", "centre.cid").alias("b")))
+        stars = stars.select(F.least("x.cid", "centre.cid").alias("a"), F.greatest("x.cid", "centre.cid").alias("b")).distinct()
+        first = first.unionByName(_near(stars, classes).select("a", "b"))
+    first = _base.written(first.distinct(), f"{root}/first")
     links = _base.written(verify(first, sets), f"{root}/links1")
 
     # what is left: candidates that are not yet in one component
@@ -330,33 +349,38 @@ def find_links(docs: DataFrame, shingle: int = SHINGLE) -> Found:
     apart = placed(placed(near.select("a", "b"), "a"), "b").where("_a <> _b").select("a", "b")
     if rare is not None:
         dealt = placed(rare.select("item", "cid", "pos", "n"), "cid").withColumnRenamed("_cid", "part")
-        split = dealt.groupBy("item").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("item")
-        dealt = _base.written(dealt.join(split, "item", "left_semi"), f"{root}/dealt")
-        x, y = dealt.alias("x"), dealt.alias("y")
-        more = x.join(y, (F.col("x.item") == F.col("y.item")) & (F.col("x.cid") < F.col("y.cid")) & (F.col("x.part") != F.col("y.part")) & _possible("x", "y"))
-        apart = apart.unionByName(more.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")))
-    rest = _base.written(apart.distinct().join(first.distinct(), ["a", "b"], "left_anti"), f"{root}/apart")
+        dealt = _base.written(dealt, f"{root}/dealt")
+        facts = dealt.groupBy("item").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("k")).where("lo <> hi").select("item", "k", F.ceil(F.col("k") / SHARE).cast("int").alias("shares"))
+        facts = _base.written(facts, f"{root}/split")
+        dealt = _base.written(_base.attach(dealt, facts, "item", dealt.count()), f"{root}/between")
+        x = dealt.withColumn("share", F.pmod(F.xxhash64("cid"), F.col("shares")).cast("int")).alias("x")
+        y = dealt.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).alias("y")
+        more = x.join(y, (F.col("x.item") == F.col("y.item")) & (F.col("x.share") == F.col("y.share")) & (F.col("x.cid") < F.col("y.cid")) & (F.col("x.part") != F.col("y.part")) & _possible("x", "y"))
+        more = more.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
+        apart = apart.unionByName(_near(more, classes).select("a", "b"))
+    rest = _base.written(apart.distinct().join(first, ["a", "b"], "left_anti"), f"{root}/apart")
     links = _base.written(links.unionByName(verify(rest, sets)), f"{root}/links")
     return Found(signed, classes, links, root)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, component_id (the component's smallest doc_id) and kept."""
+    """doc_id, n_shingles, component_id (the component's smallest doc_id) and kept; text_key, and group: the component's number, null
+    for a row that has none beside it."""
     found = find_links(docs, shingle)
     comp = components(found.links, f"{found.root}/all")
     nodes = comp.unionByName(comp.select(F.col("root").alias("node"), "root").distinct())
     least = nodes.join(found.classes.select(F.col("cid").alias("node"), "doc_id"), "node")
     of = least.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    linked = nodes.join(of, "root").select(F.col("node").alias("cid"), "component_id")
-    groups = found.classes.select("cid", "doc_id", "rows").join(linked, "cid", "left")
-    groups = groups.where("rows > 1 or component_id is not null").select("cid", F.coalesce("component_id", "doc_id").alias("component_id"))
+    linked = nodes.join(of, "root").select(F.col("node").alias("cid"), "component_id", F.col("root").alias("group"))
+    groups = found.classes.select("cid", "class", "doc_id", "rows").join(linked, "cid", "left").where("rows > 1 or component_id is not null")
+    groups = groups.select("class", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("group", "cid").alias("group"))
     groups = _base.written(groups, f"{found.root}/groups")
-    out = found.signed.join(groups, "cid", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    out = found.signed.join(groups, "class", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_key", "group")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_base.table(spark, sf_dir, "documents"))
+    return near_duplicates(_base.table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 #: DuckDB SQL for the rows of op2: all shingles in common, then all that can be reached.

@@ -97,12 +97,12 @@ def test_exact_dedup(spark, folder):
 def test_collisions_are_split(spark, folder, monkeypatch):
     rows = [(1, "aa"), (2, "b b"), (3, "b b"), (4, "a a"), (5, "c")]
     docs = spark.read.parquet(folder(rows) + "/documents.parquet")
-    index = exact_dedup.DigestIndex(spark).build(docs)
+    index = exact_dedup.DigestIndex(spark).add(docs)
     same = exact_dedup.F.lit(b"\0" * 32)
     index.entries = index.entries.withColumn("digest", same)
-    level = exact_dedup.compact(index.entries.withColumn("n", exact_dedup.F.lit(1).cast("long")))
+    level = exact_dedup.merge(exact_dedup._flush(index.entries, 2), 4)
     out = index.entries.join(level.select("digest", exact_dedup.F.col("doc_id").alias("keep_id"), exact_dedup.F.col("n").alias("group_size")), "digest")
-    out = out.select("doc_id", "keep_id", "group_size", exact_dedup.F.lower(exact_dedup.F.hex("digest")).alias("text_sha256"), "n_cp")
+    out = out.select("doc_id", "keep_id", "group_size", exact_dedup.F.lower(exact_dedup.F.hex("digest")).alias("text_sha256"), "n_cp", "text_key")
     raw = {i: exact_dedup.normalise(t) for i, t in rows}
     stay = raw[level.first()["doc_id"]]
     differ = spark.createDataFrame([(b"\0" * 32, i, r) for i, r in raw.items() if r != stay], "digest binary, doc_id long, raw binary")
@@ -110,6 +110,66 @@ def test_collisions_are_split(spark, folder, monkeypatch):
     assert got == {1: (4, 2), 4: (4, 2), 2: (2, 2), 3: (2, 2), 5: (5, 1)}
 
 
+def test_index_takes_further_batches(spark, folder):
+    """Whatever way rows come in batches, the levels hold what one aggregate over all rows has; a probe leaves them alone."""
+    rng = random.Random(5)
+    rows = [(i, rng.choice("abcdefgh") * rng.randint(1, 3) + " " * rng.randrange(4)) for i in range(300)]
+    whole = spark.read.parquet(folder(rows) + "/documents.parquet")
+    index = exact_dedup.DigestIndex(spark)
+    for k in range(exact_dedup.FANOUT + 2):
+        index.add(whole.where(f"doc_id % 7 = {k}"))
+    assert 1 < len(index.levels) <= exact_dedup.FANOUT
+    inside = [(i, t) for i, t in rows if i % 7 < exact_dedup.FANOUT + 2]
+    best = {}
+    for i, t in inside:
+        key = exact_dedup.normalise(t)
+        best[key] = min(best.get(key, (0, 0)), (-len(t), i))
+    asked = [(1000, "a a"), (1001, "never seen"), (1002, rows[0][1])]
+    got = index.probe(spark.read.parquet(folder(asked) + "/documents.parquet")).collect()
+    assert {r["doc_id"]: r["held_id"] for r in got} == {i: best[exact_dedup.normalise(t)][1] for i, t in asked if exact_dedup.normalise(t) in best}
+    counts = {}
+    for _, t in inside:
+        counts[exact_dedup.normalise(t)] = counts.get(exact_dedup.normalise(t), 0) + 1
+    held = {bytes(r["digest"]): (r["doc_id"], r["n"]) for r in index.hits().collect()}
+    assert len(index.levels) == 1
+    assert held == {hashlib.sha256(k).digest(): (best[k][1], n) for k, n in counts.items() if n > 1}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.integers(0, 40), st.integers(0, 9), st.integers(0, 5)), max_size=30), max_size=12))
+def test_tree_equals_an_aggregate(runs):
+    tree, want = exact_dedup.Tree(), {}
+    for rows in runs:
+        digests = [hashlib.sha256(bytes([k])).digest() for k, _, _ in rows]
+        tree.add(exact_dedup.Run.of(b"".join(digests), *(np.array(x, np.int64) for x in ([d for _, d, _ in rows], [n for _, _, n in rows], [1] * len(rows)))))
+        for digest, (_, doc, n) in zip(digests, rows, strict=True):
+            old = want.get(digest, (0, 99, 0))
+            want[digest] = (*min(old[:2], (-n, doc)), old[2] + 1)
+    level = tree.end()
+    got = dict(zip(level.digests(), zip((-level.n_cp).tolist(), level.doc.tolist(), level.n.tolist(), strict=True), strict=True)) if level else {}
+    assert got == want
+    assert list(got) == sorted(got)
+
+
+def test_filters_spare_look_ups():
+    """Of digests that no level holds, a filter of 16 bits a digest lets about one in seventy through."""
+    tree = exact_dedup.Tree()
+    run = lambda a, b: exact_dedup.Run.of(b"".join(hashlib.sha256(b"%d" % i).digest() for i in range(a, b)), *(np.ones(b - a, np.int64) for _ in range(3)))
+    tree.add(run(0, 4000))
+    tree.add(run(4000, 5000))
+    assert tree.looked < 100
+    before = tree.looked
+    tree.add(run(3500, 4500))
+    assert 1000 <= tree.looked - before < 1200
+    assert len(tree.end()) == 5000
+
+
+def test_null_doc_ids(spark, folder):
+    rows = [(None, "a b"), (4, "ab"), (None, "c")]
+    got = sorted((tuple(r)[:4] for r in exact_dedup.op4(spark, folder(rows)).collect()), key=str)
+    assert got == sorted([(None, None, 2, True), (4, None, 2, False), (None, None, 1, True)], key=str)  # the longest row stays, whatever its name
+
+
 def test_steps_cut_by_bytes():
     import pyarrow as pa
 

@@ -72,6 +72,27 @@ def test_repeated_rows_and_empty_table(spark, folder):
     assert nd.op2(spark, folder([])).count() == 0
 
 
+def test_words_that_fool_a_polynomial(spark, folder):
+    """Thue-Morse words and their complements have one value under any polynomial modulo 2**64."""
+    a = "".join("ab"[i.bit_count() & 1] for i in range(1 << 11))
+    b = a.translate(str.maketrans("ab", "ba"))
+    rows = [(1, a), (2, b), (3, f"{a} x y z"), (4, f"{b} x y z")]
+    assert {tuple(r) for r in nd.op2(spark, folder(rows)).collect()} == {(i, 1, i, True) for i, _ in rows}
+
+
+def test_long_texts_are_cut_between_words():
+    text = "word " * 3 + "x" * (nd.STEP + 5) + " " + "end " * (nd.STEP // 3)
+    assert len(nd.word_hashes(text)) == len(text.split())
+    assert np.array_equal(nd.word_hashes(text), np.concatenate([nd.word_hashes(w) for w in text.split()[:5]] + [nd.word_hashes("end")] * (len(text.split()) - 5)))
+
+
+def test_null_and_repeated_doc_ids(spark, folder):
+    t, u = "a b c d e f g", "h i j k l m n"
+    rows = [(3, t), (1, t), (3, u), (None, u), (None, "lone words of another")]
+    got = {tuple(r) for r in nd.op2(spark, folder(rows)).collect()}
+    assert got == {(3, 4, 1, False), (1, 4, 1, True), (3, 4, 3, True), (None, 4, 3, False), (None, 1, None, True)}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text("aAbÉ \n\x0b\x1c\xa0", max_size=40), max_size=8))
 def test_sets_have_as_many_shingles(texts):

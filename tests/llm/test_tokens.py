@@ -2,6 +2,7 @@
 
 import hashlib
 import zlib
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -51,6 +52,46 @@ def test_shared_passages_share_chunks():
     assert len(a & b) >= 0.8 * min(len(a), len(b))
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(texts, min_size=1, max_size=4), st.integers(5, 40), st.randoms(use_true_random=False))
+def test_joins_grow_until_they_agree(parts, times, rng):
+    """Chunks with wrong ids at an end never pass: the window grows past them, up to the whole text."""
+    own = bpe.encoder(bpe.default_vocabulary())
+    text = ("".join(parts) * times).encode("utf-8", "ignore").decode()
+    known = {}
+    for raw in bpe.chunks(text.encode()):
+        chunk = own.chunk(raw)
+        if chunk and rng.random() < 0.5:
+            wrong = np.frombuffer(chunk.ids, own.dtype).copy()
+            if rng.random() < 0.5:
+                wrong[: chunk.n_first] ^= 1
+                known[bpe.digest(raw)] = replace(chunk, ids=wrong.tobytes())
+            else:
+                wrong[len(wrong) - chunk.n_last :] ^= 1
+                known[bpe.digest(raw)] = replace(chunk, ids=wrong.tobytes())
+    assert ids_of(own, own.encode_chunked(text, known)) == own.tok.encode(text, add_special_tokens=False).ids
+
+
+def test_shared_chunks_are_encoded_once(spark, folder, own):
+    rng = np.random.default_rng(2)
+    words = lambda n: " ".join("".join(map(chr, rng.integers(97, 123, 5))) for _ in range(n))
+    passage = words(4000)
+    rows = [(i, words(20 + i) + " " + passage + " " + words(30)) for i in range(6)] + [(9, "x y"), (10, "x y"), (11, words(400)), (None, None)]
+    docs = spark.read.parquet(folder(rows) + "/documents.parquet")
+    of = dict(rows)
+    for r in bpe.encode_documents(docs).collect():
+        assert r["ids"] == own.tok.encode(of[r["doc_id"]] or "", add_special_tokens=False).ids
+    texts = bpe._base.texts(docs).select("doc_id", "text", bpe.F.xxhash64("text").alias("text_key"))
+    marks = bpe._marks(texts, bpe.default_vocabulary())
+    shared = bpe._base.written(marks.groupBy("digest").agg(bpe.F.count("*").alias("k")).where("k > 1"), f"{bpe._base.scratch(spark)}/shared")
+    coded = bpe._shared_chunks(texts, shared, bpe.default_vocabulary()).collect()
+    assert len({bytes(r["digest"]) for r in coded}) == len(coded) >= 8
+    assert max(r["k"] for r in coded) == 6
+    for r in coded:
+        ids = np.frombuffer(r["ids"], own.dtype).tolist()
+        assert own.decode(ids).startswith(r["first"]) and own.decode(ids).endswith(r["last"])
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 255) | st.integers(0, 60_000) | st.integers(0, 2**32 - 1), max_size=1500), st.data())
 def test_block_random_access(ids, data):
