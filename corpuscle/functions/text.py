@@ -99,6 +99,13 @@ def address(c: Column) -> Column:
     return F.regexp_replace(F.lower(strip(c)), "^0x", "")
 
 
+def file_address(path: Column) -> Column:
+    """The address that a source file is named after: its stem without a leading 0x, lower case. 0x goes before the case does, so
+    0X1 keeps its 0x."""
+    stem = F.regexp_replace(F.regexp_extract(path, "([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
+    return F.lower(F.regexp_replace(stem, "^0x", ""))
+
+
 def result_path(root: Column, model: Column, extension: Column, relative: Column) -> Column:
     """root / model / extension without dot / directories / stem.c"""
     ext = F.regexp_replace(extension, r"^\.", "")
@@ -136,10 +143,12 @@ def percent(part: Column, whole: Column, digits: int = 1) -> Column:
     return F.format_string(f"%.{digits}f%%", share)
 
 
-def history(system: Column, user: Column) -> Column:
-    """A conversation of a system and a user message."""
-    return F.array(*(F.struct(F.lit(r).alias("role"), c.alias("content")) for r, c in (("system", system), ("user", user))))
+def history(user: Column, assistant: Column) -> Column:
+    """A conversation of a user's message and the answer to it."""
+    return F.array(*(F.struct(F.lit(r).alias("role"), c.alias("content")) for r, c in (("user", user), ("assistant", assistant))))
 
 
-def append_message(messages: Column, role: str, content: Column) -> Column:
-    return F.concat(messages, F.array(F.struct(F.lit(role).alias("role"), content.alias("content"))))
+def append_message(messages: Column, content: Column, role: str = "user") -> Column:
+    """The conversation with one message more; a null one starts."""
+    own = F.array(F.struct(F.lit(role).alias("role"), content.alias("content")))
+    return F.when(messages.isNull(), own).otherwise(F.concat(messages, own))

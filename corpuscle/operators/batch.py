@@ -22,8 +22,17 @@ def batch_status(provider: Column, status: Column) -> Column:
     return F.when(provider == "openai", first).otherwise(second)
 
 
-def processing(total: Column, completed: Column, failed: Column) -> Column:
-    return total - completed - failed
+def progress(provider: Column, counts: Column) -> Column:
+    """total, completed, failed and processing from a provider's own counts (a map of names to numbers, null counts as empty). The
+    first gives a total and leaves the open ones to be found; of the second the total is the sum of all its counts."""
+    own = F.coalesce(counts, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>")))
+    n = lambda key: F.coalesce(F.try_element_at(own, F.lit(key)), F.lit(0))
+    every = F.aggregate(F.map_values(own), F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x, F.lit(0)))
+    parts = {
+        "total": (n("total"), every), "completed": (n("completed"), n("succeeded")), "failed": (n("failed"), n("errored")),
+        "processing": (n("total") - n("completed") - n("failed"), n("processing")),
+    }
+    return F.struct(*(F.when(provider == "openai", a).otherwise(b).cast("long").alias(name) for name, (a, b) in parts.items()))
 
 
 def standard_results(lines: DataFrame) -> DataFrame:

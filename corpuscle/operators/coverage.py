@@ -74,15 +74,43 @@ def recompile_inputs(candidates: DataFrame, metadata: DataFrame) -> DataFrame:
 
 
 def by_integer_id(objects: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Objects with corpus rows by id as a number ("007" is "7"). If any corpus row lacks an id, the place of a row stands in."""
-    if corpus.where("id is null").isEmpty():
-        keyed = corpus.withColumn("_key", F.col("id").cast("long"))
+    """Objects with corpus rows by id as a number ("007" is "7"), the last of each. If a corpus row lacks an id, the place of a row
+    stands in from there on: all rows are known by their place, and those before it by their id too where that is no place."""
+    lacking = corpus.where("id is null").agg(F.min("line_num").alias("n")).first()["n"]
+    rest = [c for c in corpus.columns if c != "id"]
+    early = corpus if lacking is None else corpus.where(F.col("line_num") < lacking)
+    early = early.withColumn("_key", F.col("id").cast("long")).groupBy("_key").agg(F.max_by(F.struct(*rest), "line_num").alias("_r")).select("_key", "_r.*")
+    if lacking is None:
+        keyed = early
     else:
-        keyed = global_index(corpus, "line_num").withColumnRenamed("index", "_key")
-    out = objects.withColumn("_key", F.col("id").cast("long")).join(keyed.drop("id", "line_num"), "_key", "left")
+        placed = global_index(corpus, "line_num").withColumnRenamed("index", "_key").select("_key", *rest)
+        keyed = placed.unionByName(early.join(placed.select("_key"), "_key", "left_anti"))
+    out = objects.withColumn("_key", F.col("id").cast("long")).join(keyed.drop("line_num"), "_key", "left")
     return out.drop("_key")
 
 
+def funnel(lines: DataFrame, levels: list[str] = OPT_LEVELS) -> DataFrame:
+    """Corpus lines × levels with their outcome. lines: line_num, id, func_def, fault (why a line could not be read, or null). A
+    line that can't be read, or lacks an id or a definition, is one row with no level and its message; other lines are a row for
+    each level, not yet compiled."""
+    place = F.col("line_num").cast("string")
+    message = (
+        F.when(F.col("fault").isNotNull(), F.concat(F.lit("Error parsing JSON at line "), place, F.lit(": "), F.col("fault")))
+        .when(F.col("id").isNull(), F.concat(F.lit("Line "), place, F.lit(": 'id' field not found")))
+        .when(F.coalesce("func_def", F.lit("")) == "", F.concat(F.lit("Line "), place, F.lit(" (ID="), F.col("id").cast("string"), F.lit("): func_def not found")))
+    )
+    told = lines.withColumn("message", message)
+    every = F.when(F.col("message").isNull(), F.array(*(F.lit(x) for x in levels))).otherwise(F.array(F.lit(None).cast("string")))
+    return told.withColumn("opt", F.explode(every))
+
+
+def level_counts(outcomes: DataFrame) -> DataFrame:
+    """By opt, with "(all)" for all of them: attempted, compiled and errors. outcomes: opt, message (null if compiled). A line without a
+    level counts as one error of all, and of no level."""
+    rows = outcomes.withColumn("opt", F.explode(F.when(F.col("opt").isNull(), F.array(F.lit("(all)"))).otherwise(F.array("opt", F.lit("(all)")))))
+    return rows.groupBy("opt").agg(F.count("*").alias("attempted"), F.count_if(F.col("message").isNull()).alias("compiled"), F.count("message").alias("errors"))
+
+
 def expand(rows: DataFrame, name: str, values: list[str]) -> DataFrame:
     """A row per value: the cross product with a short list of constants."""
     return rows.withColumn(name, F.explode(F.array(*(F.lit(v) for v in values))))

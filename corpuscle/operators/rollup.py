@@ -52,6 +52,13 @@ def top_combinations(counts: DataFrame, key: str, k: int) -> DataFrame:
     return counts.withColumn("place", rank).where(F.col("place") <= k)
 
 
+def label_shares(counts: DataFrame, labels: DataFrame, k: int) -> DataFrame:
+    """The k most common combinations over all, with their files per label: label_share divides files by the labels of all files, as
+    the printed summaries do; counts: combination, n_files."""
+    top = counts.orderBy(F.desc("n_files"), "combination").limit(k)
+    return top.crossJoin(labels.agg(F.count("*").alias("total_labels"))).withColumn("label_share", F.col("n_files") / F.col("total_labels"))  # one row
+
+
 def top_category(counts: DataFrame, keys: list[str]) -> DataFrame:
     """The category with most labels of each configuration; ties by name."""
     cats = counts.groupBy(*keys, "category").agg(F.sum("n_labels").alias("n_category"))

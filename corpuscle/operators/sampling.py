@@ -40,11 +40,9 @@ def exact_sample(rows: DataFrame, bucket: str, order: str, cap: int = CAP, seed:
     return global_index(rows, bucket, order).join(F.broadcast(picks), "index").drop("index")  # at most cap rows a bucket
 
 
-def bucket_stats(rows: DataFrame, sample: DataFrame, bucket: str) -> DataFrame:
-    """total, selected and percentage of each bucket."""
-    total = rows.groupBy(bucket).agg(F.count("*").alias("total"))
-    chosen = sample.groupBy(bucket).agg(F.count("*").alias("selected"))
-    out = total.join(chosen, bucket, "left").withColumn("selected", F.coalesce("selected", F.lit(0)))
+def bucket_stats(rows: DataFrame, bucket: str, cap: int = CAP) -> DataFrame:
+    """total, selected and percentage of each bucket, in one pass: a sample takes `cap` rows of a bucket, or all if there are fewer."""
+    out = rows.groupBy(bucket).agg(F.count("*").alias("total")).withColumn("selected", F.least("total", F.lit(cap).cast("long")))
     return out.withColumn("percentage", F.round(F.col("selected") / F.col("total") * 100, 4))
 
 

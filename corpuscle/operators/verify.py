@@ -74,6 +74,11 @@ def report_text(fname: Column, binary: Column, successes: Column, total: Column,
     return F.concat(head, F.when(successes == total, good).otherwise(bad))
 
 
+def error_report_text(fname: Column, binary: Column, error: Column) -> Column:
+    """The report of a function whose tests could not run."""
+    return F.format_string("Function: %s\nBinary: %s\nStatus: COMPILATION/EXECUTION ERROR ✗\nError: %s\n", fname, binary, error)
+
+
 def parse_report(reports: DataFrame, content: str = "content") -> DataFrame:
     """Adds fname, successes, total, status and n_failed_lines of report texts."""
     c = F.col(content)

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuscle.functions import halstead, taxonomy, text
 from corpuscle.operators import asm_filter, batch, coverage, distribution, rollup, sampling, verify
 from corpuscle.plans import views as v
-from corpuscle.sources import disassembly
+from corpuscle.sources import disassembly, readers, sinks
 from corpuscle.sources.readers import parse_log_lines
+from corpuscle.sources.shared import scratch
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -65,8 +66,7 @@ def _bucketed(spark: SparkSession, sf: str) -> DataFrame:
 FROM {_BUCKETS} GROUP BY bucket""")
 def difficulty_buckets(spark: SparkSession, sf: str) -> DataFrame:
     rows = _bucketed(spark, sf)
-    stats = sampling.bucket_stats(rows, sampling.hash_sample(rows, "bucket", "id"), "bucket")
-    return stats.withColumn("label", halstead.bucket_label(F.col("bucket")))
+    return sampling.bucket_stats(rows, "bucket").withColumn("label", halstead.bucket_label(F.col("bucket")))
 
 
 @query(f"SELECT bucket, printf('%.1f-%.1f', greatest(bucket - 1, 0)::DOUBLE, bucket::DOUBLE) AS label, count(*) AS total FROM {_BUCKETS} GROUP BY bucket ORDER BY total DESC, bucket LIMIT 20")
@@ -161,6 +161,24 @@ def exec_failure_type(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("failure_type", "category", "subcategory").agg(F.count("*").alias("n_labels"), F.count("*").alias("n_files"))
 
 
+_EXEC_TYPES = f"(SELECT * EXCLUDE (failure_type), unnest([failure_type, 'combined']) AS failure_type FROM {_EXEC_ROWS})"
+_TYPE_KEYS = ["failure_type", "iteration", *rollup.CONFIG]
+
+
+@query(_CONFIG_STATS.format(keys=", ".join(_TYPE_KEYS), rows=_EXEC_TYPES))
+def exec_failure_type_by_config(spark: SparkSession, sf: str) -> DataFrame:
+    rows = rollup.explode_labels(_exec(spark, sf), F.col("found")).withColumn("failure_type", F.explode(F.array("failure_type", F.lit("combined"))))
+    return rollup.config_stats(rollup.label_counts(rows, _TYPE_KEYS), _TYPE_KEYS)
+
+
+@query(f"""SELECT *, n_files / total_labels AS label_share FROM (SELECT array_to_string(list_sort(list_transform(found, lambda x: x.category || ':' || x.subcategory)), ',') AS combination, count(*) AS n_files
+FROM {_EXEC} WHERE found IS NOT NULL GROUP BY ALL ORDER BY n_files DESC, combination LIMIT 10), (SELECT count(*) AS total_labels FROM {_EXEC_ROWS})""")
+def exec_combination_label_shares(spark: SparkSession, sf: str) -> DataFrame:
+    files = _exec(spark, sf)
+    labels = rollup.label_counts(rollup.explode_labels(files, F.col("found")), []).select(F.explode(F.sequence(F.lit(1), F.col("n_labels"))))
+    return rollup.label_shares(rollup.combinations(files, F.col("found"), []), labels, 10)
+
+
 _COMBOS = f"""(SELECT failure_type, array_to_string(list_sort(list_transform(found, lambda x: x.category || ':' || x.subcategory)), ',') AS combination, count(*) AS n_files
 FROM (SELECT * EXCLUDE (failure_type), unnest([failure_type, 'combined']) AS failure_type FROM {_EXEC} WHERE found IS NOT NULL) GROUP BY ALL)"""
 
@@ -234,9 +252,9 @@ def usable_functions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT (SELECT count(*) FROM v_document_map) AS n_map, (SELECT count(*) FROM v_document_map WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS n_missing")
 def unusable_count(spark: SparkSession, sf: str) -> DataFrame:
-    files = v.read(spark, sf, "labels").select(F.concat(F.lit("0x"), F.lower(F.hex("doc_id"))).alias("addr"), F.lit(True).alias("held"))
-    both = v.document_map(spark, sf).join(files.distinct(), "addr", "left")
-    return both.agg(F.count("*").alias("n_map"), F.count_if(F.col("held").isNull()).alias("n_missing"))
+    files = v.read(spark, sf, "labels").select(F.concat(F.lit("0x"), F.lower(F.hex("doc_id"))).alias("addr"))
+    every = v.document_map(spark, sf)
+    return every.agg(F.count("*").alias("n_map")).crossJoin(coverage.unusable(every, files).agg(F.count("*").alias("n_missing")))  # one row each
 
 
 _VERDICTS = "(SELECT identifier, CASE WHEN contains(content, 'FAILED') THEN 'failed' WHEN contains(content, 'SUCCESS') THEN 'passed' END AS v FROM v_logs)"
@@ -270,6 +288,71 @@ def opt_level_expansion(spark: SparkSession, sf: str) -> DataFrame:
     return out.agg(F.count_if(F.col("n") > 0).alias("compiled"), F.count_if(F.col("n") % 10 == 0).alias("errors"))
 
 
+_LINES = """(SELECT *, CASE WHEN fault IS NOT NULL THEN 'Error parsing JSON at line ' || line_num || ': ' || fault WHEN id IS NULL THEN 'Line ' || line_num || ': ''id'' field not found'
+WHEN coalesce(func_def, '') = '' THEN 'Line ' || line_num || ' (ID=' || id || '): func_def not found' END AS told FROM v_corpus_lines)"""
+_FUNNEL = f"""(SELECT line_num, opt, CASE WHEN opt IS NULL THEN told WHEN length(func_def) % 10 = 0 THEN 'Error compiling function ID=' || id || ' (optimization=' || opt || '): no object' END AS message
+FROM (SELECT *, unnest(CASE WHEN told IS NULL THEN ['O0', 'O1', 'O2', 'O3'] ELSE [NULL] END) AS opt FROM {_LINES}))"""
+
+
+def _funnel(spark: SparkSession, sf: str) -> DataFrame:
+    """line_num, opt and message (null where compiled); a definition of 10, 20, ... characters stands for one that does not compile."""
+    rows = coverage.funnel(v.corpus_lines(spark, sf))
+    lost = F.when(F.length("func_def") % 10 == 0, F.format_string("Error compiling function ID=%d (optimization=%s): no object", "id", "opt"))
+    return rows.select("line_num", "opt", F.when(F.col("opt").isNull(), F.col("message")).otherwise(lost).alias("message"))
+
+
+@query(f"SELECT line_num, opt, message FROM {_FUNNEL}")
+def functions_by_level(spark: SparkSession, sf: str) -> DataFrame:
+    return _funnel(spark, sf)
+
+
+@query(f"SELECT opt, count(*) AS attempted, count(*) FILTER (message IS NULL) AS compiled, count(message) AS errors FROM (SELECT message, unnest(CASE WHEN opt IS NULL THEN ['(all)'] ELSE [opt, '(all)'] END) AS opt FROM {_FUNNEL}) GROUP BY opt")
+def level_accounting(spark: SparkSession, sf: str) -> DataFrame:
+    return coverage.level_counts(_funnel(spark, sf))
+
+
+_LOG_HEAD = ["File processed: documents", "Optimization levels: O0, O1, O2, O3", ""]
+_LOG_TRAILER = [
+    "", "=== Summary ===", "Total function compilations attempted: %(attempted)d", "Total compilations successful: %(compiled)d", "Total compilation errors: %(errors)d", "",
+    "=== Breakdown by Optimization Level ===", *(f"{x}: %(compiled_{x})d compiled, %(errors_{x})d errors" for x in coverage.OPT_LEVELS),
+]
+_LEVEL_SQL = " ".join(f"UNION ALL SELECT 2, {7 + i}, '{x}: ' || count(*) FILTER (opt = '{x}' AND message IS NULL) || ' compiled, ' || count(message) FILTER (opt = '{x}') || ' errors' FROM f" for i, x in enumerate(coverage.OPT_LEVELS))
+_TRAILER_SQL = " ".join(f"UNION ALL SELECT 2, {i}, '{x}'" for i, x in enumerate(_LOG_TRAILER) if "%" not in x)
+
+
+@query(f"""SELECT * FROM (WITH f AS (SELECT * FROM {_FUNNEL}) SELECT 0 AS part, i AS place, x AS value FROM (SELECT unnest([0, 1, 2])::BIGINT AS i, unnest({v._list(_LOG_HEAD)}) AS x)
+UNION ALL SELECT 1, line_num * 4 + CASE WHEN opt IS NULL THEN 0 ELSE right(opt, 1)::INTEGER END, message FROM f WHERE message IS NOT NULL {_TRAILER_SQL}
+UNION ALL SELECT 2, 2, 'Total function compilations attempted: ' || count(*) FROM f UNION ALL SELECT 2, 3, 'Total compilations successful: ' || count(*) FILTER (message IS NULL) FROM f
+UNION ALL SELECT 2, 4, 'Total compilation errors: ' || count(message) FROM f {_LEVEL_SQL})""")
+def build_error_log(spark: SparkSession, sf: str) -> DataFrame:
+    good, of = F.col("message").isNull(), lambda x: F.col("opt") == x
+    counts = {"attempted": F.count("*"), "compiled": F.count_if(good), "errors": F.count("message")}
+    for x in coverage.OPT_LEVELS:
+        counts |= {f"compiled_{x}": F.count_if(of(x) & good), f"errors_{x}": F.count_if(of(x) & ~good)}
+    place = F.col("line_num") * 4 + F.coalesce(F.right("opt", F.lit(1)).cast("int"), F.lit(0))
+    return sinks.error_log(_LOG_HEAD, _funnel(spark, sf).withColumn("place", place), counts, _LOG_TRAILER)
+
+
+@query("SELECT doc_id, ir, 'output/' || source || '/' || doc_id || '.' || ir AS path FROM documents, (SELECT unnest(['asm', 'hlil', 'llil', 'mlil']) AS ir)")
+def representations_by_binary(spark: SparkSession, sf: str) -> DataFrame:
+    files = v.read(spark, sf, "documents").select("doc_id", "source")
+    return coverage.expand(files, "ir", coverage.REPRESENTATIONS).select("doc_id", "ir", F.concat(F.lit("output/"), F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit("."), "ir"))).alias("path"))
+
+
+@query(f"""SELECT doc_id, model, printf('%s_file_%04d', model, doc_id) AS custom_id, CASE WHEN contains(model, 'claude') THEN 'anthropic' ELSE 'openai' END AS provider
+FROM documents, (SELECT unnest({v._list(v.MODELS)}) AS model)""")
+def requests_by_model(spark: SparkSession, sf: str) -> DataFrame:
+    files = coverage.expand(v.read(spark, sf, "documents").select("doc_id"), "model", v.MODELS)
+    return files.select("doc_id", "model", text.custom_id(F.col("model"), F.col("doc_id")).alias("custom_id"), text.provider(F.col("model")).alias("provider"))
+
+
+@query("""SELECT s_suppkey, lower(CASE WHEN starts_with(stem, '0x') THEN substr(stem, 3) ELSE stem END) AS addr FROM (
+SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN '0x' ELSE '0X' END || upper(to_hex(4194304 + s_suppkey)) || CASE WHEN s_suppkey % 3 = 0 THEN '.v2' ELSE '' END AS stem FROM supplier)""")
+def patch_file_addresses(spark: SparkSession, sf: str) -> DataFrame:
+    name = F.concat(F.lit("in/a.b/"), F.when(F.expr("s_suppkey % 2 = 0"), "0x").otherwise("0X"), F.hex(F.expr("4194304 + s_suppkey")), F.when(F.expr("s_suppkey % 3 = 0"), ".v2").otherwise(""), F.lit(".c"))
+    return v.read(spark, sf, "supplier").select("s_suppkey", text.file_address(name).alias("addr"))
+
+
 @query("""SELECT s.s_suppkey, CASE WHEN m.name IS NULL THEN 'Address ' || s.addr || ' not found in JSON mapping' END AS error, m.name FROM (
   SELECT s_suppkey, ' 0X' || upper(to_hex(4194304 + 32 * s_suppkey * s_suppkey)) || ' ' AS addr FROM supplier) s
 LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lower(addr) ORDER BY line_num DESC) AS r FROM v_map) WHERE r = 1) m ON lower(trim(s.addr)) = m.addr""")
@@ -348,6 +431,17 @@ def batch_status(spark: SparkSession, sf: str) -> DataFrame:
     return e.groupBy("provider", "status").agg(F.count("*").alias("n")).withColumn("standard", batch.batch_status(F.col("provider"), F.col("status")))
 
 
+@query("""SELECT event_id, provider, CASE provider WHEN 'openai' THEN a + b + 7 ELSE a + b + c + 3 END AS total, a AS completed, b AS failed, CASE provider WHEN 'openai' THEN 7 ELSE c END AS processing
+FROM (SELECT event_id, CASE WHEN user_id % 2 = 0 THEN 'openai' ELSE 'anthropic' END AS provider, event_id % 11 AS a, event_id % 5 AS b, event_id % 3 AS c FROM events)""")
+def batch_progress(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = lambda **named: F.create_map(*(x for k, c in named.items() for x in (F.lit(k), F.expr(c).cast("long"))))
+    first = pairs(total="event_id % 11 + event_id % 5 + 7", completed="event_id % 11", failed="event_id % 5")
+    second = pairs(processing="event_id % 3", succeeded="event_id % 11", errored="event_id % 5", canceled="1", expired="2")
+    e = v.read(spark, sf, "events").select("event_id", F.when(F.expr("user_id % 2 = 0"), "openai").otherwise("anthropic").alias("provider"))
+    counts = F.when(F.col("provider") == "openai", first).otherwise(second)
+    return e.select("event_id", "provider", batch.progress(F.col("provider"), counts).alias("p")).select("event_id", "provider", "p.*")
+
+
 @query("""SELECT model, provider, reasoning, count(*) AS n FROM (SELECT model, CASE WHEN contains(model, 'gpt') OR contains(lower(model), 'openai') OR contains(model, 'o4') THEN 'openai' WHEN contains(model, 'claude') OR contains(lower(model), 'anthropic') THEN 'anthropic' ELSE 'openai' END AS provider,
 regexp_matches(model, '(?i)o1|o3') AS reasoning FROM (SELECT ['gpt-4o', 'OpenAI/x', 'o4-mini', 'o3', 'claude-x', 'Anthropic.y', 'Claude', 'llama'][event_id % 8 + 1] AS model FROM events)) GROUP BY ALL""")
 def model_routing(spark: SparkSession, sf: str) -> DataFrame:
@@ -381,6 +475,15 @@ def range_state_machine(spark: SparkSession, sf: str) -> DataFrame:
     return batch.advance(state, told, "now").select("model", "start", "status", F.col("retries").cast("long").alias("retries"))
 
 
+@query("""SELECT conv_id, turn, md5('user:' || coalesce(lag(text) OVER w, '') || '|assistant:' || text || '|user:' || coalesce(lead(text) OVER w, '')) AS told FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)""")
+def crafted_histories(spark: SparkSession, sf: str) -> DataFrame:
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    t = v.read(spark, sf, "conversations").select("conv_id", "turn", "text", F.coalesce(F.lag("text").over(w), F.lit("")).alias("a"), F.coalesce(F.lead("text").over(w), F.lit("")).alias("b"))
+    messages = text.append_message(text.history(F.col("a"), F.col("text")), F.col("b"))
+    told = F.array_join(F.transform(messages, lambda m: F.concat_ws(":", m["role"], m["content"])), "|")
+    return t.select("conv_id", "turn", F.md5(told.cast("binary")).alias("told"))
+
+
 @query("""SELECT conv_id, count(*) AS n_messages, array_to_string(list(role || ':' || length(text) ORDER BY turn, role, text), ' ') AS history FROM conversations GROUP BY conv_id""")
 def conversation_history(spark: SparkSession, sf: str) -> DataFrame:
     t = v.read(spark, sf, "conversations")
@@ -413,11 +516,24 @@ def overall_success_rate(spark: SparkSession, sf: str) -> DataFrame:
     return verify.overall_rate(verify.pass_rates(_tests(spark, sf), ["fn"])).withColumn("success_rate", F.round("success_rate", 6))
 
 
-@query("SELECT event_id, CASE event_id % 9 WHEN 0 THEN false WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN false WHEN 4 THEN false WHEN 5 THEN true WHEN 6 THEN false WHEN 7 THEN false ELSE true END AS same FROM events")
+# pairs of JSON texts, # standing for a number of the row
+_JSON_PAIRS = [
+    ("#", "#.0"), ("true", "1"), ("#.5", "#.50000000001"), ("#.5", "#.6"), ("[#,2]", "[#]"), ("[#,2]", "[#,2]"), ("[#,2]", "[2,#]"), ("{}", '{"a":#}'), ('{"a":#}', "{}"), ('{"a":#}', '{"a":#,"b":1}'),
+    ('{"a":#,"b":1}', '{"b":2,"a":#}'), ("NaN", "NaN"), ("null", "null"), ('"#"', '"#"'), ('"#"', "#"), ("-#", "#"),
+]
+_PAIRS_SQL = ", ".join(f"({i}, {v._q(o)}, {v._q(x)})" for i, (o, x) in enumerate(_JSON_PAIRS))
+_KIND = "CASE json_type({0}) WHEN 'UBIGINT' THEN 'BIGINT' ELSE json_type({0}) END"
+
+
+@query(f"""SELECT event_id, CASE WHEN NOT json_valid(o) OR NOT json_valid(x) THEN false WHEN {_KIND.format('o')} <> {_KIND.format('x')} THEN false
+WHEN json_type(o) = 'DOUBLE' THEN NOT isnan(o::DOUBLE) AND abs(o::DOUBLE - x::DOUBLE) <= 1e-9 * greatest(abs(o::DOUBLE), abs(x::DOUBLE))
+WHEN json_type(o) = 'ARRAY' THEN json_array_length(o) = json_array_length(x) AND len(list_filter(range(json_array_length(o)::BIGINT), lambda i: json_extract(o, '$[' || i || ']') <> json_extract(x, '$[' || i || ']'))) = 0
+WHEN json_type(o) = 'OBJECT' THEN len(list_filter(json_keys(o), lambda k: NOT coalesce(json_extract(o, '$.' || k) = json_extract(x, '$.' || k), false))) = 0
+ELSE o = x END AS same FROM (SELECT event_id, replace(p.o, '#', (event_id + 1)::VARCHAR) AS o, replace(p.x, '#', (event_id + 1)::VARCHAR) AS x FROM events JOIN (VALUES {_PAIRS_SQL}) p(i, o, x) ON event_id % {len(_JSON_PAIRS)} = p.i)""")
 def deep_output_comparison(spark: SparkSession, sf: str) -> DataFrame:
-    observed = ["1", "true", "1.0", "0.0", "[1,2]", "{}", '{"a":1}', "NaN", "null"]
-    expected = ["1.0", "1", "1.0000000001", "1e-12", "[1]", '{"a":1}', "{}", "NaN", "null"]
-    e = v.read(spark, sf, "events").select("event_id", v._pick(observed, "event_id % 9").alias("o"), v._pick(expected, "event_id % 9").alias("x"))
+    n = F.expr("cast(event_id + 1 as string)")
+    given = lambda k: F.replace(v._pick([p[k] for p in _JSON_PAIRS], f"event_id % {len(_JSON_PAIRS)}"), F.lit("#"), n)
+    e = v.read(spark, sf, "events").select("event_id", given(0).alias("o"), given(1).alias("x"))
     return e.select("event_id", verify.same_json("o", "x").alias("same"))
 
 
@@ -435,6 +551,13 @@ def test_report_text(spark: SparkSession, sf: str) -> DataFrame:
     return own.select("fn", report.alias("report"))
 
 
+@query(f"""SELECT event_id, 'Function: f' || event_id || '{_NL}Binary: ' || event_id || '.o{_NL}Status: COMPILATION/EXECUTION ERROR ✗{_NL}Error: ' || coalesce(props, '') || '{_NL}' AS report FROM events""")
+def test_error_report(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.col("event_id").cast("string")
+    report = verify.error_report_text(F.concat(F.lit("f"), n), F.concat(n, F.lit(".o")), F.coalesce("props", F.lit("")))
+    return v.read(spark, sf, "events").select("event_id", report.alias("report"))
+
+
 @query("""SELECT file, regexp_extract(content, '(?m)^Function: (.*)$', 1) AS fname, nullif(regexp_extract(content, '(?m)^Tests: ([0-9]+)/([0-9]+) passed', 1), '')::INTEGER AS successes,
 nullif(regexp_extract(content, '(?m)^Tests: ([0-9]+)/([0-9]+) passed', 2), '')::INTEGER AS total, regexp_extract(content, '(?m)^Status: ([A-Z/ ]*[A-Z])', 1) AS status,
 len(regexp_extract_all(content, '(?m)^  - Test [0-9]+: ')) AS n_failed_lines FROM v_exec_reports""")
@@ -480,6 +603,30 @@ def path_functions(spark: SparkSession, sf: str) -> DataFrame:
     return v.read(spark, sf, "pages").select("url", text.with_extension(u, ".txt").alias("result_path"), text.safe_name(u).alias("safe"))
 
 
+# files written from the tables and read back
+
+
+@query("SELECT doc_id AS id, text AS func_def, lang AS fname FROM documents")
+def corpus_from_jsonl(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as corpus lines: written, and read by the lenient reader."""
+    path = f"{scratch(spark)}/corpus"
+    sinks.write_jsonl(v.read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("func_def"), F.col("lang").alias("fname")), path)
+    return readers.good_rows(readers.read_jsonl(spark, path)).select("id", "func_def", "fname")
+
+
+@query("SELECT doc_id AS id, text AS func_def, lang AS fname FROM documents")
+def corpus_from_strict_jsonl(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{scratch(spark)}/corpus"
+    sinks.write_jsonl(v.read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("func_def"), F.col("lang").alias("fname"), F.lit("x").alias("asm")), path)
+    return readers.read_jsonl_strict(spark, path).select("id", "func_def", "fname")
+
+
+@query("SELECT p_brand AS id, max_by(p_name, p_partkey) AS func_def FROM part GROUP BY p_brand")
+def last_of_each_id(spark: SparkSession, sf: str) -> DataFrame:
+    rows = v.read(spark, sf, "part").select(F.col("p_brand").alias("id"), F.col("p_name").alias("func_def"), F.col("p_partkey").alias("line_num"))
+    return readers.last_by(rows, "id", "line_num").select("id", "func_def")
+
+
 def exact_picks(sizes: dict, cap: int = sampling.CAP, seed: int = sampling.SEED) -> dict:
     """Places per bucket as the sampler draws them; for tests."""
     generator = random.Random(seed)

@@ -104,6 +104,16 @@ def document_map(spark: SparkSession, sf: str) -> DataFrame:
     return d.select(F.col("doc_id"), F.concat(F.lit("0x"), F.lower(F.hex("doc_id"))).alias("addr"))
 
 
+def corpus_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Corpus lines, some of which can't be read or lack an id or a definition."""
+    d = read(spark, sf, "documents")
+    lost = lambda n, c: F.when(F.expr(f"doc_id % {n} <> 0"), c)
+    return d.select(
+        F.col("doc_id").alias("line_num"), lost(97, F.col("doc_id")).alias("id"), F.coalesce(lost(89, F.col("text")), F.lit("")).alias("func_def"),
+        F.when(F.expr("doc_id % 83 = 0"), "Expecting value").alias("fault"),
+    )
+
+
 def logs(spark: SparkSession, sf: str) -> DataFrame:
     t = read(spark, sf, "labels")
     text = F.when(F.col("toxic") == 1, "no verdict").when(F.col("quality") == 1, "Processing\nSUCCESS").otherwise("Processing\nFAILED: assertion")
@@ -176,6 +186,8 @@ FROM (SELECT *, head || 'Tests: ' || passed || '/10 passed (' || passed * 10 ||
   || {_list(INSTRUCTIONS)}[event_id % 13 + 1] || chr(10) || '  ' || {_list(INSTRUCTIONS)}[event_id * 5 % 7 * 2 % 13 + 1] || chr(10) || '  ret' || chr(10) AS content FROM events""",
     "v_map": "SELECT p_partkey AS line_num, p_name AS name, '0x' || lower(to_hex(4194304 + 16 * p_partkey)) AS addr FROM part",
     "v_document_map": "SELECT doc_id, '0x' || lower(to_hex(doc_id)) AS addr FROM documents",
+    "v_corpus_lines": """SELECT doc_id AS line_num, CASE WHEN doc_id % 97 <> 0 THEN doc_id END AS id, coalesce(CASE WHEN doc_id % 89 <> 0 THEN text END, '') AS func_def,
+  CASE WHEN doc_id % 83 = 0 THEN 'Expecting value' END AS fault FROM documents""",
     "v_logs": """SELECT CASE WHEN doc_id % 2 = 0 THEN '0x' ELSE '' END || lower(to_hex(doc_id)) AS identifier,
   CASE WHEN toxic = 1 THEN 'no verdict' WHEN quality = 1 THEN 'Processing' || chr(10) || 'SUCCESS' ELSE 'Processing' || chr(10) || 'FAILED: assertion' END AS content FROM labels""",
     "v_log_lines": """SELECT concat_ws('|', CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'SUCCESS' END, upper(event_type), event_id || '.c', 'out/' || event_id || '.c', strftime(ts, '%Y-%m-%dT%H:%M:%S'),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,8 +40,15 @@ def read_jsonl_strict(spark: SparkSession, path: str, schema: T.StructType = FUN
     return spark.read.schema(T.StructType([f for f in schema.fields if f.name != "asm"])).option("mode", "FAILFAST").json(path)
 
 
-def read_json_array(spark: SparkSession, path: str, schema: str = ADDRESS_MAP) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def read_json_array(spark: SparkSession, path: str, schema: str = ADDRESS_MAP) -> DataFrame | None:
+    """The entries of one JSON array. A missing or an invalid file is no map: None, and the caller leaves out what needs it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return None
+    whole = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"), "value")
+    if whole.where("v is null").count() or whole.isEmpty():
+        return None
+    return whole.select(F.explode(F.from_json("value", f"array<struct<{schema}>>")).alias("r")).select("r.*")
 
 
 def last_by(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -114,8 +121,3 @@ class Config(dict):
 
     def __missing__(self, key: str) -> None:
         return None
-
-
-def positions(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """0-based place of each row within its key."""
-    return rows.withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1)

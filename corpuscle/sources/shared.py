@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,11 +13,12 @@ _FOLDERS: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session, or a local folder where that is unset."""
+    """spark.checkpoint.dir of the session. Only a local master may leave it unset: its executors are in one process, and a folder of
+    this machine is shared by all of them."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        import tempfile
-
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.gettempdir()}/corpuscle-shared"
     return found.rstrip("/")
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -39,5 +40,19 @@ def write_tree(labelled: DataFrame, path: str, levels: list[str]) -> None:
     labelled.write.mode("overwrite").partitionBy(*levels).parquet(path)
 
 
-def write_text(df: DataFrame, column: str, path: str) -> None:
-    df.select(F.col(column).alias("value")).write.mode("overwrite").text(path)
+def error_log(head: list[str], errors: DataFrame, counts: dict[str, Column], trailer: list[str]) -> DataFrame:
+    """Lines of an error log (part, place, value): head, the messages of `errors` (place, message) in their order, and a summary whose
+    lines name `counts` (aggregates of `errors`) as in "%(n)d"."""
+    spark = errors.sparkSession
+    first = spark.createDataFrame([(0, i, line) for i, line in enumerate(head)], "part int, place long, value string")
+    lines = errors.where("message is not null").select(F.lit(1).alias("part"), F.col("place").cast("long").alias("place"), F.col("message").alias("value"))
+    whole = errors.agg(*(c.alias(name) for name, c in counts.items()))
+    line = lambda given: F.format_string(re.sub(r"%\(\w+\)", "%", given), *map(F.col, re.findall(r"%\((\w+)\)", given)))
+    rows = [F.struct(F.lit(i).cast("long").alias("place"), line(given).alias("value")) for i, given in enumerate(trailer)]
+    last = whole.select(F.explode(F.array(*rows)).alias("r")).select(F.lit(2).alias("part"), "r.place", "r.value")
+    return first.unionByName(lines).unionByName(last)
+
+
+def write_log(lines: DataFrame, path: str) -> None:
+    """Log lines (part, place, value) as text in their order."""
+    lines.orderBy("part", "place").select("value").write.mode("overwrite").text(path)

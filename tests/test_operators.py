@@ -4,9 +4,11 @@ import json
 import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from corpuscle.operators import batch, coverage, distribution, rollup, sampling
+from corpuscle.operators import batch, coverage, distribution, rollup, sampling, verify
 from corpuscle.plans import catalogue
 from corpuscle.sources import readers, sinks
 from corpuscle.streaming import ingest
@@ -61,7 +63,74 @@ def test_joins(spark):
     objects = spark.createDataFrame([("007",), ("1",)], "id string")
     assert {r["id"]: r["func"] for r in coverage.by_integer_id(objects, corpus).collect()} == {"007": "a", "1": None}
     lacking = spark.createDataFrame([("7", "a", 0), (None, "b", 1)], "id string, func string, line_num int")
-    assert {r["id"]: r["func"] for r in coverage.by_integer_id(objects, lacking).collect()} == {"007": None, "1": "b"}
+    assert {r["id"]: r["func"] for r in coverage.by_integer_id(objects, lacking).collect()} == {"007": "a", "1": "b"}  # 7 was stored before a row lacked its id
+
+
+def test_places_stand_in_as_in_a_dictionary(spark):
+    """Against the plain loop: ids are stored until a row lacks one, then all rows are stored by place."""
+    rng = random.Random(4)
+    for _ in range(4):
+        rows = [(rng.choice([str(rng.randint(0, 9)), "00" + str(rng.randint(0, 9)), None]) if i > 3 else str(rng.randint(0, 12)), f"f{i}", i) for i in range(rng.randint(4, 8))]
+        want = {}
+        for given, func, _ in rows:
+            if given is None:
+                want |= {i: r[1] for i, r in enumerate(rows)}
+                break
+            want[int(given)] = func
+        objects = spark.createDataFrame([(str(i),) for i in range(14)], "id string")
+        got = coverage.by_integer_id(objects, spark.createDataFrame(rows, "id string, func string, line_num int")).collect()
+        assert {int(r["id"]): r["func"] for r in got} == {i: want.get(i) for i in range(14)}
+
+
+VALUES = st.recursive(st.none() | st.booleans() | st.integers(-3, 3) | st.sampled_from([0.5, 1.0, 1.0 + 1e-12, 1.1]) | st.text("ab", max_size=2), lambda x: st.lists(x, max_size=3) | st.dictionaries(st.sampled_from("abc"), x, max_size=3), max_leaves=8)
+
+
+@settings(max_examples=300, deadline=None)
+@given(VALUES, VALUES, st.booleans())
+def test_deep_comparison(a, b, same):
+    """Against a walk over pairs of values still to be compared."""
+    b = a if same else b
+    left, want = [(a, b)], True
+    while left and want:
+        x, y = left.pop()
+        if type(x) is not type(y):
+            want = False
+        elif isinstance(x, list):
+            want = len(x) == len(y)
+            left += zip(x, y, strict=False)
+        elif isinstance(x, dict):
+            want = set(x) <= set(y)
+            left += [(v, y[k]) for k, v in x.items() if k in y]
+        elif isinstance(x, float):
+            want = abs(x - y) <= 1e-9 * max(abs(x), abs(y))
+        else:
+            want = x == y
+    assert verify.same_value(a, b) is want
+
+
+def test_maps_that_are_missing_or_invalid(spark, tmp_path):
+    assert readers.read_json_array(spark, str(tmp_path / "none.json")) is None
+    for name, given, want in (("a", '[{"name": "f", "addr": "0x1"},\n {"name": "g"}]', [("f", "0x1"), ("g", None)]), ("b", "[{", None), ("c", "[]", [])):
+        (tmp_path / f"{name}.json").write_text(given)
+        found = readers.read_json_array(spark, str(tmp_path / f"{name}.json"))
+        assert (found if found is None else [tuple(r) for r in found.collect()]) == want
+
+
+def test_files_below_a_folder(spark, tmp_path):
+    (tmp_path / "d/.e").mkdir(parents=True)
+    for name, content in (("d/0x1f.log", "FAILED"), ("d/.e/b.log", "ok"), ("d/f.ASM", "ret"), ("d/f.mlil", "x"), ("d/f.c", "int x;")):
+        (tmp_path / name).write_text(content)
+    assert {(r["identifier"], r["content"]) for r in readers.read_logs(spark, str(tmp_path / "d")).collect()} >= {("0x1f", "FAILED")}
+    assert {(r["ir"], r["content"]) for r in readers.read_representations(spark, str(tmp_path / "d")).collect()} == {("asm", "ret"), ("mlil", "x")}
+    assert {r["path"].rsplit("/", 1)[1]: r["length"] for r in readers.list_binaries(spark, str(tmp_path / "d"), hidden=False).collect()} == {"0x1f.log": 6, "f.ASM": 3, "f.mlil": 1, "f.c": 6}
+
+
+def test_error_log_as_text(spark, tmp_path):
+    rows = spark.createDataFrame([(2, "O0", "second"), (1, "O1", "first"), (3, "O0", None)], "place int, opt string, message string")
+    counts = {"n": F.count("*"), "bad": F.count("message")}
+    lines = sinks.error_log(["head", "100%"], rows, counts, ["", "%(bad)d of %(n)d, %(bad)d"])
+    sinks.write_log(lines, str(tmp_path / "log"))
+    assert "".join(p.read_text() for p in sorted((tmp_path / "log").glob("part-*"))) == "head\n100%\nfirst\nsecond\n\n2 of 3, 2\n"
 
 
 def test_readers_and_sinks(spark, tmp_path):
