@@ -3,14 +3,16 @@
 Each letter has a random vector of DIM signs. An n-gram of three symbols is the product of its letters' vectors, rotated by
 two, one and no places; a text is the sum of its n-grams' vectors, a language the sum of its texts' unit vectors, and a text
 gets the language whose prototype has the largest cosine. Letters are lower-cased; runs of anything else are one boundary
-symbol, which also stands at both ends. Letters share SYMBOLS vectors: a to z have their own, others by code point.
+symbol, which also stands at both ends. Every letter of any script has a vector of its own, made from its code point.
 
 Prototypes are learned from at most about TRAIN rows of each language (by a hash of doc_id). Their texts go to WORKERS
 tasks, which add whole-number vectors, so the sum does not depend on the order. Scale: prediction is one pass without
 shuffle; the driver gets DIM numbers a language.
 
 Defined results: texts without a letter (also null and empty ones) are `und` with score 0, and so are all where nothing was
-learned; ties go to the language that is first by code point; rows that repeat are repeated; other columns are ignored.
+learned; ties go to the language that is first by code point; rows that repeat are repeated, and a null doc_id is one like any
+other (never learned from); an empty table gives an empty result; a text of any length is one sum over its different n-grams; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,10 +29,12 @@ from corpuscle.llm import _base
 from corpuscle.llm.quality import chosen, fold
 
 DIM = 1024
-SYMBOLS = 256
 SEED = 20240229
 TRAIN = 2000
 WORKERS = 16
+#: Bits of a code point in the code of an n-gram; letters whose vectors a worker keeps.
+BITS = 21
+LETTERS = 1 << 14
 #: Whole numbers per unit in sums of unit vectors.
 UNIT = 1 << 30
 #: Steepness of the score over differences of cosines.
@@ -40,31 +44,27 @@ FOLDS, HELD_OUT = 3, 1
 
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
-    """Symbol of each code point: 0 for no letter."""
-    out = np.zeros(0x110000, np.uint8)
-    for cp in range(0x110000):
-        if chr(cp).isalpha():
-            out[cp] = 1 + cp - 97 if 97 <= cp <= 122 else 27 + (cp * 2654435761 >> 7) % (SYMBOLS - 27)
-    return out
+    """Whether each code point is a letter."""
+    return np.fromiter((chr(cp).isalpha() for cp in range(0x110000)), bool, 0x110000)
 
 
-@lru_cache(maxsize=1)
-def _vectors() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Vectors of the symbols, rotated by two, one and no places."""
-    signs = np.random.default_rng(SEED).integers(0, 2, (SYMBOLS, DIM), dtype=np.int8) * 2 - 1
-    return np.roll(signs, 2, axis=1), np.roll(signs, 1, axis=1), signs
+@lru_cache(maxsize=LETTERS)
+def signs(symbol: int) -> np.ndarray:
+    """The vector of a letter (its code point) or of the boundary (0)."""
+    return np.random.default_rng([SEED, symbol]).integers(0, 2, DIM, dtype=np.int8) * 2 - 1
 
 
 def ngrams(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
     """Distinct n-grams of a text and their counts; None without a letter."""
     if not text:
         return None
-    s = _letters()[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")]
+    s = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    s = np.where(_letters()[s], s, 0)
     if not s.any():
         return None
-    s = np.concatenate([[0], s, [0]]).astype(np.int32)
+    s = np.concatenate([[0], s, [0]])
     s = s[np.r_[True, (s[1:] != 0) | (s[:-1] != 0)]]
-    return np.unique(s[:-2] * 65536 + s[1:-1] * 256 + s[2:], return_counts=True)
+    return np.unique(s[:-2] << 2 * BITS | s[1:-1] << BITS | s[2:], return_counts=True)
 
 
 class Binder:
@@ -73,23 +73,28 @@ class Binder:
     MOST = 30_000
 
     def __init__(self) -> None:
-        self.place = np.full(SYMBOLS**3, -1, np.int32)
+        self.place: dict[int, int] = {}
         self.kept = np.empty((self.MOST, DIM), np.int8)
-        self.n = 0
 
     @staticmethod
     def bind(codes: np.ndarray) -> np.ndarray:
-        first, second, third = _vectors()
-        return first[codes >> 16] * second[codes >> 8 & 255] * third[codes & 255]
+        """Products of the letters' vectors, rotated by two, one and no places."""
+        out = np.empty((len(codes), DIM), np.int8)
+        low = (1 << BITS) - 1
+        for i, c in enumerate(codes.tolist()):
+            np.multiply(np.roll(signs(c >> 2 * BITS), 2), np.roll(signs(c >> BITS & low), 1), out=out[i])
+            out[i] *= signs(c & low)
+        return out
 
     def bundle(self, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        at = self.place[codes]
-        new = codes[at < 0]
-        if len(new) and self.n + len(new) <= self.MOST:
-            self.kept[self.n : self.n + len(new)] = self.bind(new)
-            self.place[new] = np.arange(self.n, self.n + len(new))
-            self.n += len(new)
-            at, new = self.place[codes], new[:0]
+        wanted = codes.tolist()
+        new = [c for c in wanted if c not in self.place]
+        if new and len(self.place) + len(new) <= self.MOST:
+            n = len(self.place)
+            for i in range(0, len(new), 512):
+                self.kept[n + i : n + i + len(new[i : i + 512])] = self.bind(np.array(new[i : i + 512]))
+            self.place.update(zip(new, range(n, n + len(new)), strict=True))
+        at = np.fromiter((self.place.get(c, -1) for c in wanted), np.int64, len(wanted))
         out = np.zeros(DIM, np.float32)
         weight = counts.astype(np.float32)
         held = np.flatnonzero(at >= 0)
