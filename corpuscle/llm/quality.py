@@ -1,18 +1,19 @@
 """Quality by compression.
 
-Two zstandard dictionaries are built, from pieces of texts labelled good and of texts labelled bad. A text is cut into
-pieces of PIECE bytes, each piece is compressed with either dictionary, and the difference of the two totals over their sum
-is the normalised difference. Compressed size without a dictionary, over the text's size, shows text that repeats itself,
-which either dictionary compresses alike. A logistic curve over these, fitted on labelled rows that the dictionaries did not
-see, gives a score from 0 to 1.
+Two zstandard dictionaries are built, from texts labelled good and from texts labelled bad. A text is cut into pieces of PIECE
+bytes, so that it meets the dictionaries and not itself, and each piece is compressed with either dictionary. The difference of
+the two compressed sizes, normalised by the text's size, is all that a score is made of: a logistic curve over it, fitted on
+labelled rows that the dictionaries did not see, gives a score from 0 to 1.
 
 What is learned comes from at most about TRAIN labelled rows of each class (chosen by a hash of doc_id), half for the
-dictionaries, half for the curve; of a row for the dictionaries, at most ROW_PIECES pieces, evenly spaced. Scores read whole
-texts. Scale: scoring is one pass without shuffle; the driver gets about TRAIN * ROW_PIECES * PIECE bytes at any input size.
-
-Defined results: equal texts have equal scores; null and empty texts get the score of no evidence (the curve at zero
-features); without labels, or with those of one class alone, the score is that class's share (1 without any); a label other
-than 0 and 1 is ignored; rows that repeat are repeated; other columns are ignored.
+dictionaries, half for the curve. Rows for the dictionaries are taken whole, in the order of that hash, as long as all of a class
+hold at most TRAIN_BYTES together; a row that does not fit is left out. Scores read whole texts. Scale: scoring is one pass
+without shuffle; the driver gets 2 * TRAIN_BYTES of text at any input size.
+
+Defined results: equal texts have equal scores; null and empty texts get the score of no difference; without labels, or with
+those of one class alone, the score is that class's share (1 without any); a label other than 0 and 1 is ignored, and so is a
+doc_id that has both, or a null one; rows that repeat are repeated, and texts of one doc_id are learned from together; an empty table gives
+an empty result; a text is compressed piece by piece, however long; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,14 +30,11 @@ from pyspark.sql import functions as F
 
 from corpuscle.llm import _base
 
-PIECE = 512
-#: Labelled rows of each class that are learned from, about.
-TRAIN = 4000
-ROW_PIECES = 8
-DICTIONARY = 64 << 10
+PIECE = 256
+#: Labelled rows of each class that are learned from, about, and bytes of those for a dictionary, at most.
+TRAIN, TRAIN_BYTES = 4000, 16 << 20
+DICTIONARY = 112 << 10
 LEVEL = 3
-#: log of compressed over plain size below which a text counts as repeating itself.
-REPEATS = -1.2
 #: Rows with this remainder of crc32(doc_id as text) modulo 4 are never learned from.
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.7
@@ -48,12 +46,12 @@ def pieces(raw: bytes) -> list[bytes]:
 
 @dataclass(frozen=True)
 class Model:
-    """Dictionaries and the curve: bias, weights. share: the score where nothing was learned."""
+    """Dictionaries and the curve: bias, weight. share: the score where nothing was learned."""
 
     good: bytes = b""
     bad: bytes = b""
     bias: float = 0.0
-    weights: tuple[float, ...] = ()
+    weight: float = 0.0
     share: float | None = None
 
 
@@ -63,31 +61,27 @@ class Scorer:
     def __init__(self, model: Model):
         import zstandard
 
-        def made(raw: bytes | None) -> zstandard.ZstdCompressor:
-            own = None
-            if raw is not None:
-                own = zstandard.ZstdCompressionDict(raw)
-                own.precompute_compress(level=LEVEL)
+        def made(raw: bytes) -> zstandard.ZstdCompressor:
+            own = zstandard.ZstdCompressionDict(raw)
+            own.precompute_compress(level=LEVEL)
             return zstandard.ZstdCompressor(level=LEVEL, dict_data=own, write_content_size=False, write_checksum=False, write_dict_id=False)
 
         self.model = model
         if model.share is None:
-            self.good, self.bad, self.plain = (made(x).compress for x in (model.good, model.bad, None))
+            self.good, self.bad = made(model.good).compress, made(model.bad).compress
 
-    def features(self, text: str | None) -> tuple[float, float, float]:
+    def difference(self, text: str | None) -> float:
+        """How much smaller the good dictionary makes a text than the bad one, in parts of its size."""
         raw = (text or "").encode("utf-8", "surrogatepass")
         if not raw:
-            return 0.0, 0.0, 0.0
-        cut = pieces(raw)
-        good, bad, plain = (sum(len(c(p)) for p in cut) for c in (self.good, self.bad, self.plain))
-        ratio = math.log(plain / len(raw))
-        return (bad - good) / (bad + good), min(ratio, 0.0), min(ratio - REPEATS, 0.0)
+            return 0.0
+        return sum(len(self.bad(p)) - len(self.good(p)) for p in pieces(raw)) / len(raw)
 
     def score(self, text: str | None) -> float:
         m = self.model
         if m.share is not None:
             return m.share
-        x = m.bias + sum(w * f for w, f in zip(m.weights, self.features(text), strict=True))
+        x = m.bias + m.weight * self.difference(text)
         return round(1 / (1 + math.exp(-max(-30.0, min(30.0, x)))), 9)
 
 
@@ -100,16 +94,15 @@ def _dictionary(samples: list[bytes]) -> bytes:
         return b"".join(samples)[:DICTIONARY]
 
 
-def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, tuple[float, ...]]:
-    """Logistic regression by Newton steps on standardised features, with a small ridge."""
-    mean, std = x.mean(0), x.std(0) + 1e-9
+def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Bias and weight of a logistic regression by Newton steps on the standardised feature, with a small ridge."""
+    mean, std = x.mean(), x.std() + 1e-9
     a = np.c_[np.ones(len(x)), (x - mean) / std]
-    w, ridge = np.zeros(a.shape[1]), 1e-2 * np.eye(a.shape[1])
+    w, ridge = np.zeros(2), 1e-2 * np.eye(2)
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
         w += np.linalg.solve((a * (p * (1 - p) + 1e-9)[:, None]).T @ a + ridge, a.T @ (y - p) - ridge @ w)
-    own = w[1:] / std
-    return float(w[0] - own @ mean), tuple(map(float, own))
+    return float(w[0] - w[1] / std * mean), float(w[1] / std)
 
 
 def fold(doc: Column, n: int) -> Column:
@@ -123,46 +116,54 @@ def chosen(rows: DataFrame, key: str, bound: int, seed: int) -> DataFrame:
     return rows.join(F.broadcast(counts), key).where(place < F.lit(float(bound)) / F.col("n")).drop("n")
 
 
-def learn(docs: DataFrame, labels: DataFrame, bound: int = TRAIN) -> Model:
+def _order(doc: int) -> tuple[int, int]:
+    return doc * 0x9E3779B97F4A7C15 % (1 << 64), doc
+
+
+def fitting(sizes: list[tuple[int, int, int]], most: int) -> list[int]:
+    """The documents (doc_id, quality, bytes) that fit into `most` bytes of their class, in a fixed order."""
+    held, out = {0: 0, 1: 0}, []
+    for doc, quality, n in sorted(sizes, key=lambda r: _order(r[0])):
+        if held[quality] + n <= most:
+            held[quality] += n
+            out.append(doc)
+    return out
+
+
+def learn(docs: DataFrame, labels: DataFrame, bound: int = TRAIN, most: int = TRAIN_BYTES) -> Model:
     """A model of labelled rows outside the held-out fold."""
+    spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-    known = known.where(F.col("quality").isin(0, 1) & (fold(F.col("doc_id"), FOLDS) != HELD_OUT)).dropDuplicates(["doc_id"])
+    known = known.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (fold(F.col("doc_id"), FOLDS) != HELD_OUT))
+    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other").drop("other")
     half = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(2)).alias("half")
     picked = chosen(known, "quality", bound, 1).select("doc_id", "quality", half)  # about 2 * bound rows
     rows = _base.texts(docs).join(F.broadcast(picked), "doc_id")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _base.steps(batches):
-            got = []
-            for t in b.column("text").to_pylist():
-                own = pieces(t.encode("utf-8", "surrogatepass"))
-                step = max(1, math.ceil(len(own) / ROW_PIECES))
-                got.append(own[::step])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array(got, pa.list_(pa.binary()))], ["doc_id", "quality", "pieces"])
-
-    found = rows.where("half = 0").select("doc_id", "quality", "text").mapInArrow(cut, "doc_id long, quality int, pieces array<binary>").collect()
+    sizes = rows.where("half = 0").groupBy("doc_id", "quality").agg(F.sum(F.octet_length("text")).alias("n")).collect()  # about bound rows
+    ids = spark.createDataFrame([(i,) for i in fitting([tuple(r) for r in sizes], most)], "doc_id long")
+    found = rows.where("half = 0").join(F.broadcast(ids), "doc_id").select("doc_id", "quality", "text").collect()  # 2 * most bytes
     samples: dict[int, list[bytes]] = {0: [], 1: []}
-    for r in sorted(found, key=lambda r: (r["doc_id"] * 0x9E3779B97F4A7C15 % (1 << 64), r["doc_id"])):
-        samples[r["quality"]] += map(bytes, r["pieces"])
+    for r in sorted(found, key=lambda r: (_order(r["doc_id"]), r["text"])):
+        samples[r["quality"]] += pieces(r["text"].encode("utf-8", "surrogatepass"))
     if not samples[0] or not samples[1]:
         share = picked.agg(F.avg("quality")).first()[0]
         return Model(share=1.0 if share is None else float(share))
-    model = Model(_dictionary(samples[1]), _dictionary(samples[0]), 0.0, (0.0, 0.0, 0.0))
+    model = Model(_dictionary(samples[1]), _dictionary(samples[0]))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _base.only("quality")
         own = Scorer(model)
         for b in _base.steps(batches):
-            got = [own.features(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array([list(g) for g in got], pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
+            got = [own.difference(t) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array(got, pa.float64())], ["doc_id", "quality", "x"])
 
-    held = rows.where("half = 1").select("doc_id", "quality", "text").mapInArrow(measure, "doc_id long, quality int, x array<double>").collect()
-    held = sorted((r["doc_id"], r["quality"], r["x"]) for r in held)
-    y = np.array([h[1] for h in held], float)
+    held = rows.where("half = 1").select("doc_id", "quality", "text").mapInArrow(measure, "doc_id long, quality int, x double")
+    held = sorted(tuple(r) for r in held.groupBy("doc_id", "quality").agg(F.min("x").alias("x")).collect())  # about bound rows
+    x, y = np.array([h[2] for h in held], float), np.array([h[1] for h in held], float)
     if not len(y) or y.min() == y.max():
         return Model(share=float(y.mean()) if len(y) else 1.0)
-    bias, weights = _curve(np.array([h[2] for h in held]), y)
-    return Model(model.good, model.bad, bias, weights)
+    return Model(model.good, model.bad, *_curve(x, y))
 
 
 def score_quality(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:

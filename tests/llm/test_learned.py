@@ -1,12 +1,15 @@
 """Languages and quality by held-out accuracy and brute force; the mix against a plain water-filling."""
 
 import re
+import struct
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+import xxhash
+import zstandard
 
 from corpuscle.llm import languages, mixing, quality, sieve
 
@@ -35,13 +38,45 @@ def test_language_edges(spark, folder):
     assert languages.op3(spark, folder([])).count() == 0
 
 
-def test_bundles_equal_direct_binding():
-    first, second, third = languages._vectors()
-    text = "Ab, é c!"
-    s = [0, 1, 2, 0, int(languages._letters()[ord("é")]), 0, 3, 0]
-    direct = sum(first[a].astype(int) * second[b] * third[c] for a, b, c in zip(s, s[1:], s[2:], strict=False))
-    codes, counts = languages.ngrams(text)
-    assert np.array_equal(languages.Binder().bundle(codes, counts), direct)
+def plain_vector(text):
+    """A text's unit vector, n-gram by n-gram."""
+    letters = [c if c.isalpha() else " " for c in text.lower()]
+    s = " " + "".join(letters) + " "
+    s = re.sub(" +", " ", s)
+    if not s.strip():
+        return None
+    rotated = lambda c, k: np.roll(languages.signs(0 if c == " " else ord(c)).astype(np.int64), k)
+    out = sum(rotated(a, 2) * rotated(b, 1) * rotated(c, 0) for a, b, c in zip(s, s[1:], s[2:], strict=False))
+    return out / np.linalg.norm(out)
+
+
+@pytest.mark.parametrize("text", ["Ab, é c!", "a", "日本語の テキスト", "straße — ŁÓDŹ", "x y  z"])
+def test_vectors_equal_direct_binding(text):
+    assert np.allclose(languages.Binder().vector(text), plain_vector(text), atol=1e-6)
+
+
+def test_languages_equal_plain_profiles(spark, folder):
+    """Learning, cosines and scores again, without bundles, batches or partial sums."""
+    rng = np.random.default_rng(1)
+    words = {"en": "the and of to cat dog day house".split(), "fr": "le la et de chat chien jour maison".split(), "日": "日本 語 の 文 字 と 犬".split()}
+    rows, lang = [], []
+    for i in range(150):
+        own = sorted(words)[i % 3]
+        rows.append((i, " ".join(rng.choice(words[own], 12))))
+        lang.append(own if i % 5 else None)
+    sums = {}
+    for (i, t), own in zip(rows, lang, strict=True):
+        if own and zlib.crc32(str(i).encode()) % 3 != 1:
+            sums[own] = sums.get(own, 0) + plain_vector(t)
+    names = sorted(sums)
+    known = np.array([sums[n] / np.linalg.norm(sums[n]) for n in names])
+    got = {r["doc_id"]: r for r in languages.op3(spark, folder(rows, lang=lang)).collect()}
+    for i, t in rows:
+        cos = known @ plain_vector(t)
+        e = np.exp(languages.SHARP * (cos - cos.max()))
+        assert got[i]["lang_pred"] == names[int(np.argmax(cos))] == sorted(words)[i % 3]
+        assert got[i]["cosine"] == pytest.approx(cos.max(), abs=1e-5) and got[i]["score"] == pytest.approx(1 / e.sum(), abs=1e-4)
+        assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1)
 
 
 def test_quality_held_out(spark):
@@ -65,6 +100,56 @@ def test_quality_edges(spark, folder):
     assert quality.op7(spark, folder([], labels=[])).count() == 0
 
 
+def draw(*parts):
+    """Spark's xxhash64 of longs ("q") and ints ("i") in a row."""
+    seed = 42
+    for kind, value in parts:
+        seed = xxhash.xxh64(struct.pack("<" + kind, value), seed=seed).intdigest()
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def test_quality_equals_plain_compression(spark, folder):
+    """Dictionaries, differences, curve and scores again, on a table small enough that all labelled rows are learned from."""
+    rng = np.random.default_rng(3)
+    good, bad = "the quiet river ran past old houses and green fields".split(), "$$$ click win free %% buy now ### http".split()
+    rows = [(i, " ".join(rng.choice(good if i % 3 else bad, int(rng.integers(5, 400))))) for i in range(160)] + [(500, None), (501, "")]
+    labels = [(i, int(i % 3 > 0)) for i in range(160)] + [(7, 1), (8, 1 - int(8 % 3 > 0))]  # 7 twice alike, 8 with both labels
+    got = {r["doc_id"]: r for r in quality.op7(spark, folder(rows, labels=labels)).collect()}
+    cut = lambda t: [t.encode()[i : i + quality.PIECE] for i in range(0, len(t.encode()), quality.PIECE)]
+    known = [(i, t, int(i % 3 > 0)) for i, t in rows if i < 160 and i != 8 and zlib.crc32(str(i).encode()) % 4 != 2]
+    half = {i: draw(("q", i), ("i", 2)) % 2 for i, _, _ in known}
+    samples = {0: [], 1: []}
+    for i, t, y in sorted(known, key=lambda r: r[0] * 0x9E3779B97F4A7C15 % (1 << 64)):
+        if half[i] == 0:
+            samples[y] += cut(t)
+    press = {}
+    for y, some in samples.items():
+        own = zstandard.ZstdCompressionDict(quality._dictionary(some))
+        press[y] = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=own, write_content_size=False, write_checksum=False, write_dict_id=False)
+    difference = lambda t: sum(len(press[0].compress(p)) - len(press[1].compress(p)) for p in cut(t)) / len(t.encode()) if t else 0.0
+    x, y = (np.array(v, float) for v in zip(*((difference(t), y) for i, t, y in known if half[i] == 1), strict=True))
+    z = (x - x.mean()) / (x.std() + 1e-9)
+    w = np.zeros(2)
+    for _ in range(200_000):  # plain descent on the same penalised loss
+        p = 1 / (1 + np.exp(-(w[0] + w[1] * z)))
+        step = np.array([(y - p).sum(), ((y - p) * z).sum()]) - 1e-2 * w
+        w += 0.02 * step
+        if np.abs(step).max() < 1e-10:
+            break
+    for i, t in rows:
+        want = 1 / (1 + np.exp(-(w[0] + w[1] * (difference(t) - x.mean()) / (x.std() + 1e-9))))
+        assert got[i]["score"] == pytest.approx(want, abs=1e-4)
+
+
+def test_rows_for_dictionaries_fit_or_are_left_out():
+    sizes = [(i, i % 2, 10 + i) for i in range(40)]
+    held = quality.fitting(sizes, 100)
+    for y in (0, 1):
+        assert sum(n for i, q, n in sizes if q == y and i in held) <= 100
+    assert quality.fitting(sizes, 10**6) == sorted(range(40), key=lambda i: i * 0x9E3779B97F4A7C15 % (1 << 64))
+    assert quality.fitting([(1, 0, 101), (2, 0, 100)], 100) == [2]
+
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
