@@ -5,14 +5,18 @@ bitmap that says which of its ids go on, and a rank directory (ones before each
 level stands at the rank of its bit, so one id, or a run of ids, is read without decoding what is before it.
 
 Files are Parquet tables of blocks in the shared folder (written by Spark's committer, so a task that runs again leaves
-nothing twice): shard, place of the block's first id in its shard, the block's directory of documents, and the block.
-Shards are ranges of doc_id, ids ascend by doc_id within and between them.
+nothing twice): shard, places of the block's ids in its shard, the block's directory of documents, and the block. Cells are not
+compressed, and row groups are small, so that the statistics of the places lead a reader to the row groups it needs. Shards are
+ranges of doc_id, ids ascend by doc_id within and between them. TokenFile finds the shard and the block of a token's position in
+the whole file, for one run of ids or for a table of positions.
 
 Scale: texts are encoded where they are read, and one exchange moves two bytes an id to shards whose bounds come from
-quantiles of doc_id; a block holds about BLOCK ids; the driver gets one count per shard.
+quantiles of doc_id; their number follows the size of the input. A block holds about BLOCK ids, and a task packs one at a time;
+the driver gets one count per shard.
 
-Defined results: null and empty texts have the end id alone; rows with one doc_id follow each other by their ids; an empty
-table gives an empty result; other columns are ignored.
+Defined results: null and empty texts have the end id alone; rows with one doc_id follow each other by their ids, and a null
+doc_id comes first (-2**63, which stands for it, is no doc_id); a document is one run of ids, so a very long one makes a longer
+block; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +41,14 @@ MAGIC = b"DAC1"
 #: Bits between entries of a rank directory.
 RANK = 512
 
-FILE = "shard int, start long, doc_ids binary, lengths binary, block binary"
+#: Characters of a shard, about.
+SHARD = 1 << 28
+#: Bytes of a row group, about; stands for a null doc_id.
+GROUP = 1 << 20
+NONE = np.iinfo(np.int64).min
+
+#: start and stop: the block's first id and the one after its last, counted in the shard.
+FILE = "shard int, start long, stop long, doc_ids binary, lengths binary, block binary"
 
 
 def write_block(ids: np.ndarray) -> bytes:
@@ -117,12 +128,14 @@ class Block:
         return out
 
 
-def _bounds(docs: DataFrame, n: int) -> list[int]:
-    """At most n - 1 ascending bounds between shards of about equal rows."""
+def _bounds(docs: DataFrame, least: int) -> list[int]:
+    """Ascending bounds between shards of about equal rows: `least` shards, or as many as SHARD characters each make."""
+    told = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length(F.col("text").cast("string")).alias("n"))
+    size = told.agg(F.sum("n").alias("n")).first()["n"] or 0
+    n = max(least, -(-size // SHARD))
     if n < 2:
         return []
-    ids = docs.select(F.col("doc_id").cast("double").alias("doc_id"))
-    found = ids.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n)
+    found = told.select(F.col("doc_id").cast("double").alias("doc_id")).approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n)
     return sorted({int(x) for x in found})
 
 
@@ -130,8 +143,8 @@ def write_tokens(docs: DataFrame, root: str, path: str | None = None, shards: in
     """Encodes every document, appends the end id, and writes the files below `root`; the table of blocks."""
     spark = docs.sparkSession
     path = path or bpe.default_vocabulary()
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = np.array(_bounds(docs, shards), np.int64)
+    bounds = np.array(_bounds(docs, shards or int(spark.conf.get("spark.sql.shuffle.partitions"))), np.int64)
+    shards = len(bounds) + 1
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _base.only("token_file")
@@ -139,8 +152,9 @@ def write_tokens(docs: DataFrame, root: str, path: str | None = None, shards: in
         end = own.pack([END_ID])
         for b in _base.steps(batches):
             got = [own.encode(t) + end for t in b.column("text").to_pylist()]
-            shard = np.searchsorted(bounds, b.column("doc_id").to_numpy(zero_copy_only=False), "right").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(shard), b.column("doc_id"), pa.array(got, pa.binary())], ["shard", "doc_id", "ids"])
+            doc = b.column("doc_id").fill_null(NONE)
+            shard = np.searchsorted(bounds, doc.to_numpy(), "right").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(shard), doc, pa.array(got, pa.binary())], ["shard", "doc_id", "ids"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = bpe.encoder(path, UNITS).dtype
@@ -149,10 +163,10 @@ def write_tokens(docs: DataFrame, root: str, path: str | None = None, shards: in
         def block() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([shard], pa.int32()), pa.array([start], pa.int64()), pa.array([np.array(docs, "<i8").tobytes()], pa.binary()),
+                    pa.array([shard], pa.int32()), pa.array([start], pa.int64()), pa.array([start + n], pa.int64()), pa.array([np.array(docs, "<i8").tobytes()], pa.binary()),
                     pa.array([np.array(sizes, "<i8").tobytes()], pa.binary()), pa.array([write_block(np.frombuffer(b"".join(held), kind))], pa.binary()),
                 ],
-                ["shard", "start", "doc_ids", "lengths", "block"],
+                ["shard", "start", "stop", "doc_ids", "lengths", "block"],
             )
 
         for b in batches:
@@ -171,25 +185,86 @@ def write_tokens(docs: DataFrame, root: str, path: str | None = None, shards: in
 
     coded = _base.texts(docs).mapInArrow(encode, "shard int, doc_id long, ids binary")
     dealt = coded.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "doc_id", "ids")
-    return _base.written(dealt.mapInArrow(pack, FILE), f"{root}/blocks")
+    options = {"compression": "uncompressed", "parquet.block.size": str(GROUP), "parquet.enable.dictionary": "false"}
+    return _base.written(dealt.mapInArrow(pack, FILE), f"{root}/blocks", **options)
 
 
 def shard_starts(blocks: DataFrame) -> dict[int, int]:
     """Ids of all documents before each shard: one row per shard comes to the driver."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n = [int(np.frombuffer(x, "<i8").sum()) for x in b.column("lengths").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("shard"), pa.array(n, pa.int64())], ["shard", "n"])
-
-    rows = blocks.select("shard", "lengths").mapInArrow(count, "shard int, n long").groupBy("shard").agg(F.sum("n").alias("n")).collect()
     out, total = {}, 0
-    for r in sorted(rows, key=lambda r: r["shard"]):
+    for r in blocks.groupBy("shard").agg(F.max("stop").alias("n")).orderBy("shard").collect():
         out[r["shard"]] = total
         total += r["n"]
     return out
 
 
+class TokenFile:
+    """The ids of a table of blocks by their position in the whole file."""
+
+    def __init__(self, blocks: DataFrame):
+        self.blocks = blocks
+        self.begins = shard_starts(blocks)
+        self.size = (lambda r: self.begins[r["shard"]] + r["stop"] if r else 0)(blocks.orderBy(F.desc("shard"), F.desc("stop")).select("shard", "stop").first())
+
+    def _blocks(self, start: int, stop: int) -> DataFrame:
+        """The blocks that hold positions from start to stop: filters on places, which Parquet's statistics answer."""
+        where = F.lit(False)
+        shards = sorted(self.begins)
+        for shard, after in zip(shards, [*(self.begins[s] for s in shards[1:]), self.size], strict=True):
+            if self.begins[shard] < stop and after > start:
+                where = where | (F.col("shard") == shard) & (F.col("start") < stop - self.begins[shard]) & (F.col("stop") > start - self.begins[shard])
+        return self.blocks.where(where)
+
+    def read(self, start: int, stop: int) -> np.ndarray:
+        """The ids at positions from start to stop, exclusive; only that many come to the driver."""
+        if not 0 <= start <= stop <= self.size:
+            raise IndexError(f"positions run from 0 to {self.size}")
+        begins = self.begins
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for r in b.to_pylist():
+                    first = begins[r["shard"]] + r["start"]
+                    block = Block(r["block"])
+                    ids = block.read(max(0, start - first), min(len(block), stop - first))
+                    yield pa.RecordBatch.from_arrays([pa.array([max(start, first)], pa.int64()), pa.array([ids.tobytes()], pa.binary())], ["at", "ids"])
+
+        if start == stop:
+            return np.zeros(0, "<u4")
+        rows = self._blocks(start, stop).select("shard", "start", "block").mapInArrow(cut, "at long, ids binary").collect()
+        return np.concatenate([np.frombuffer(r["ids"], "<u4") for r in sorted(rows, key=lambda r: r["at"])])
+
+    def get(self, position: int) -> int:
+        return int(self.read(position, position + 1)[0])
+
+    def lookup(self, positions: DataFrame) -> DataFrame:
+        """position and id of the different positions in a table (one long column); those beyond the file are left out. Positions meet
+        the directory of blocks by buckets of BLOCK places, and each block, of which only the asked ids are read, meets its own."""
+        shards = np.array(sorted(self.begins), np.int32)
+        firsts = np.array([self.begins[s] for s in shards.tolist()], np.int64)  # one number a shard
+        size = self.size
+
+        def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                p = b.column(0).cast(pa.int64()).drop_null().to_numpy(zero_copy_only=False)
+                p = np.unique(p[(p >= 0) & (p < size)])
+                at = np.searchsorted(firsts, p, "right") - 1
+                yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(shards[at]), pa.array(p - firsts[at])], ["position", "shard", "place"])
+
+        asked = positions.mapInArrow(placed, "position long, shard int, place long").distinct().withColumn("bucket", F.expr(f"place div {BLOCK}"))
+        table = self.blocks.select("shard", "start", "stop", F.explode(F.expr(f"sequence(start div {BLOCK}, (stop - 1) div {BLOCK})")).alias("bucket"))
+        met = asked.join(table, ["shard", "bucket"]).where("place >= start and place < stop")
+        own = met.groupBy("shard", "start").agg(F.collect_list(F.struct("position", (F.col("place") - F.col("start")).alias("i"))).alias("asked"))  # at most a block's ids
+
+        def got(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for r in b.to_pylist():
+                    block = Block(r["block"])
+                    yield pa.RecordBatch.from_arrays([pa.array([x["position"] for x in r["asked"]], pa.int64()), pa.array([block.get(x["i"]) for x in r["asked"]], pa.int64())], ["position", "id"])
+
+        return self.blocks.select("shard", "start", "block").join(own, ["shard", "start"]).select("block", "asked").mapInArrow(got, "position long, id long")
+
+
 def read_tokens(blocks: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the files."""
     begins = shard_starts(blocks)
@@ -201,7 +276,7 @@ def read_tokens(blocks: DataFrame) -> DataFrame:
                 ends = np.cumsum(sizes)
                 crcs = [zlib.crc32(block.read(int(e - n), int(e)).tobytes()) for n, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
                 starts = begins[r["shard"]] + r["start"] + ends - sizes
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r["doc_ids"], "<i8")), pa.array(starts), pa.array(sizes), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(docs := np.frombuffer(r["doc_ids"], "<i8"), mask=docs == NONE), pa.array(starts), pa.array(sizes), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return blocks.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

@@ -3,8 +3,10 @@
 import hashlib
 import zlib
 from dataclasses import replace
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -124,12 +126,50 @@ def test_queries_against_the_library(spark, folder, own):
         start += len(ids)
 
 
+def test_positions_lead_to_tokens(spark, folder, own, monkeypatch):
+    monkeypatch.setattr(token_file, "BLOCK", 400)
+    rng = np.random.default_rng(6)
+    rows = [(i * 3, " ".join(map(str, rng.integers(0, 10**6, int(rng.integers(0, 90)))))) for i in range(60)] + [(None, "no name"), (5, "y " * 2000)]
+    blocks = token_file.write_tokens(spark.read.parquet(folder(rows) + "/documents.parquet"), token_file._base.scratch(spark), shards=4)
+    want = [x for _, t in sorted(rows, key=lambda r: -1 if r[0] is None else r[0]) for x in [*own.tok.encode(t, add_special_tokens=False).ids, 0]]
+    file = token_file.TokenFile(blocks)
+    assert file.size == len(want) and len(file.begins) == 4 and blocks.count() > 10
+    assert [file.get(i) for i in (0, 777, len(want) - 1)] == [want[i] for i in (0, 777, len(want) - 1)]
+    for a, b in ((0, len(want)), (390, 410), (1234, 1234), (100, 3000)):
+        assert file.read(a, b).tolist() == want[a:b]
+    with pytest.raises(IndexError):
+        file.get(len(want))
+    asked = rng.integers(0, len(want), 300).tolist() + [7, 7, -1, len(want)]
+    got = {r["position"]: r["id"] for r in file.lookup(spark.createDataFrame([(i,) for i in asked], "p long")).collect()}
+    assert got == {i: want[i] for i in asked if 0 <= i < len(want)}
+    assert file._blocks(777, 778).count() == 1
+    told = file._blocks(777, 778)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [Or" in told or "PushedFilters: [And" in told or "LessThan(start" in told
+
+
+def test_cells_are_plain(spark, folder):
+    """Any byte of a block can be read where it stands: cells are not compressed, a row group holds few blocks."""
+    root = token_file._base.scratch(spark)
+    token_file.write_tokens(spark.read.parquet(folder([(i, f"w{i} " * 3000) for i in range(400)]) + "/documents.parquet"), root, shards=2)
+    files = list(Path(f"{root}/blocks".removeprefix("file://").removeprefix("file:")).glob("*.parquet"))
+    meta = [pq.ParquetFile(f).metadata for f in files]
+    groups = [m.row_group(i) for m in meta for i in range(m.num_row_groups)]
+    assert all(g.column(k).compression == "UNCOMPRESSED" for g in groups for k in range(g.num_columns))
+    assert len(groups) >= 2 and all(g.num_rows <= 8 for g in groups)
+
+
 def test_decoding_of_stored_ids(spark, folder):
     docs = spark.read.parquet(folder([(1, "a  b"), (2, None), (3, "é" * 600)]) + "/documents.parquet")
     coded = bpe.encode_documents(docs).withColumn("more", bpe.F.lit(1))
     assert sorted(map(tuple, bpe.decode_documents(coded).collect())) == [(1, 1, "a  b"), (2, 1, ""), (3, 1, "é" * 600)]
 
 
+def test_a_null_doc_id_comes_first(spark, folder, own):
+    got = [tuple(r)[:3] for r in token_file.op9(spark, folder([(4, "a"), (None, "b"), (-7, "")])).orderBy("start").collect()]
+    assert got == [(None, 0, 2), (-7, 2, 1), (4, 3, 2)]
+    assert {(r["doc_id"], r["n_tokens"]) for r in bpe.op10(spark, folder([(4, "a"), (None, "b")])).collect()} == {(4, 1), (None, 1)}
+
+
 def test_empty_table(spark, folder):
     d = folder([])
     assert bpe.op10(spark, d).count() == 0
