@@ -8,7 +8,7 @@ every symbol that may differ (the other three must be equal), which finds all pa
 the distance has mean 9.6 and deviation 2.8; MOST = 23 is missed by about three pairs in a million.
 
 Equal sets are one class before anything is compared: a class is a digest of 128 bits, and classes get numbers when their table
-is written. Words are hashed one by one with a cryptographic hash, so no family of words collides. Two classes are linked if
+is written. Words are hashed by steps without linear structure, so no family of words collides. Two classes are linked if
 their signatures differ in at most MOST symbols and their full sets are similar, in buckets of every size alike. Only the way
 pairs are listed depends on the bucket: of one with at most SMALL classes all pairs are; in a larger one those are left out
 that can't be similar, without looking at them: a similarity of at least 0.8 needs a common element among the first fifth of
@@ -58,8 +58,8 @@ STEP = 1 << 20
 
 #: Classes of a share of an element.
 SHARE = 512
-#: Words whose hashes a worker remembers, and how long such a word may be.
-WORDS, LONG = 1 << 16, 64
+#: Bytes of a word that are hashed eight at a time.
+LONG = 64
 
 SIGNED = "doc_id long, text_key long, n_shingles long, class binary, sig binary"
 
@@ -83,45 +83,65 @@ def _constants() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return odd(16), odd(SYMBOLS), odd(SYMBOLS)
 
 
-class Words(dict):
-    """64-bit hashes of words, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        found = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        if len(word) <= LONG:
-            if len(self) >= WORDS:
-                self.clear()
-            self[word] = found
-        return found
+BREAK = re.compile(rb"[ \t-\r]")
 
 
 @lru_cache(maxsize=1)
-def _known() -> Words:
-    return Words()
-
-
-BREAK = re.compile(rb"[ \t-\r]")
+def _bytes() -> tuple[np.ndarray, np.ndarray]:
+    """Which bytes are white space; masks for the first n bytes of eight."""
+    spaces = np.zeros(256, bool)
+    spaces[[32, *range(9, 14)]] = True
+    return spaces, np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def _hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin in lower-cased bytes, and their hashes: eight bytes at a time through a bijection, so that words of up to eight
+    bytes differ for certain if they are as long; words of more than LONG bytes by a cryptographic hash."""
+    spaces, masks = _bytes()
+    whole = b"\n" + raw + b"\n" + bytes(8)
+    space = spaces[np.frombuffer(whole, np.uint8, len(raw) + 2)]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    starts, size = edge[::2], edge[1::2] - edge[::2]
+    eight = np.ndarray((len(raw) + 2,), "<u8", buffer=whole, strides=(1,))
+    with np.errstate(over="ignore"):
+        out = mix(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+        for k in range(0, LONG, 8):
+            at = np.flatnonzero(size > k) if k else slice(None)
+            part = eight[starts[at] + k] & masks[np.minimum(size[at] - k, 8)]
+            if not len(part):
+                break
+            out[at] = mix(out[at] * np.uint64(0xD6E8FEB86659FD93) ^ part)
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(whole[starts[i] : starts[i] + size[i]], digest_size=8).digest(), "little")
+    return starts - 1, out
 
 
 def word_hashes(text: str | None) -> np.ndarray:
-    """The hashes of a text's words in order; A-Z count as a-z."""
-    raw, known, out, at = (text or "").encode("utf-8", "surrogatepass").lower(), _known(), [], 0
+    """The hashes of a text's words in order; A-Z count as a-z. A long text is cut at white space, a step at a time."""
+    raw, out, at = (text or "").encode("utf-8", "surrogatepass").lower(), [], 0
     while at < len(raw):
         end = len(raw)
         if end - at > STEP:
             cut = BREAK.search(raw, at + STEP)
             end = cut.start() if cut else end
-        words = raw[at:end].split()  # at the six characters of ASCII white space
-        out.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
+        out.append(_hashes(raw[at:end])[1])
         at = end
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def _words(texts: list[str]) -> tuple[np.ndarray, list[int]]:
+    """The hashes of all texts' words, and where each text's end."""
+    if sum(len(t or "") for t in texts) > 2 * STEP:
+        own = [word_hashes(t) for t in texts]
+        return np.concatenate(own), np.cumsum([len(x) for x in own]).tolist()
+    raw = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
+    starts, words = _hashes(b"\n".join(raw))
+    return words, np.searchsorted(starts, np.cumsum([len(r) + 1 for r in raw])).tolist()
+
+
 def shingle_sets(texts: list[str], shingle: int = SHINGLE) -> list[np.ndarray]:
     """The sorted 64-bit hashes of each text's distinct shingles."""
-    own = [word_hashes(t) for t in texts]
-    words = np.concatenate(own) if own else np.zeros(0, np.uint64)
-    ends = np.cumsum([len(x) for x in own]).tolist()
+    words, ends = _words(texts)
     factors = _constants()[0]
     with np.errstate(over="ignore"):
         n = max(0, len(words) - shingle + 1)
@@ -358,7 +378,7 @@ def find_links(docs: DataFrame, shingle: int = SHINGLE) -> Found:
         more = x.join(y, (F.col("x.item") == F.col("y.item")) & (F.col("x.share") == F.col("y.share")) & (F.col("x.cid") < F.col("y.cid")) & (F.col("x.part") != F.col("y.part")) & _possible("x", "y"))
         more = more.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
         apart = apart.unionByName(_near(more, classes).select("a", "b"))
-    rest = _base.written(apart.distinct().join(first, ["a", "b"], "left_anti"), f"{root}/apart")
+    rest = _base.written(apart.distinct().join(first.hint("merge"), ["a", "b"], "left_anti"), f"{root}/apart")
     links = _base.written(links.unionByName(verify(rest, sets)), f"{root}/links")
     return Found(signed, classes, links, root)
 

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 #: Bits of a key, and of a filter at least and at most.
 PER_KEY, LEAST, MOST = 16, 1 << 16, 1 << 28
-#: Bits of a slice, the part of a filter that one group makes.
-SLICE = 1 << 16
+#: Slices, the parts of a filter that one group each makes, and bits of a slice at least.
+SLICES, SLICE = 1 << 12, 1 << 10
 
 
 def bits_for(n: int) -> int:
@@ -49,21 +49,22 @@ def build(rows: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray] = _longs
     """The filter of the keys of `rows`, by default those of its one long column; a written table, as it is counted, then read.
     `keys` runs in the worker that finds the places, so that a task needs one worker only."""
     size = bits_for(rows.count())
+    part_bits = max(SLICE, size // SLICES)
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             where = np.unique(places(keys(b), size))
-            yield pa.RecordBatch.from_arrays([pa.array((where // SLICE).astype(np.int32)), pa.array((where % SLICE).astype(np.int32))], ["slice", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array((where // part_bits).astype(np.int32)), pa.array((where % part_bits).astype(np.int32))], ["slice", "at"])
 
     def merged(part: pa.Table) -> pa.Table:
-        mask = np.zeros(SLICE, np.uint8)
+        mask = np.zeros(part_bits, np.uint8)
         mask[part.column("at").to_numpy()] = 1
         return pa.table({"slice": part.column("slice")[:1], "bits": pa.array([np.packbits(mask, bitorder="little").tobytes()], pa.binary())})
 
     told = rows.mapInArrow(some, "slice int, at int")
     out = bytearray(size // 8)
     for r in told.groupBy("slice").applyInArrow(merged, "slice int, bits binary").collect():  # MOST / 8 bytes in all, at most
-        out[r["slice"] * SLICE // 8 : (r["slice"] + 1) * SLICE // 8] = r["bits"]
+        out[r["slice"] * part_bits // 8 : (r["slice"] + 1) * part_bits // 8] = r["bits"]
     return bytes(out)
 
 
