@@ -5,10 +5,15 @@ space) and mapped to the identifier of a known licence sentence. The identifiers
 ordered rules of the licences: a rule holds where its identifiers occur in order, other known sentences between them
 allowed. The text is cut in two ways, as licences come wrapped or not: every line end is a break, or only blank lines are.
 
+Rules are of two kinds: phrases that name a licence (made from names and phrases), and the sentences of notices and of whole
+licence texts in their order.
+
 Only DataFrame functions run on the main path, in one pass without shuffle; the tables of sentences and rules are literals.
+Whether a sentence is a known one is asked of a hash set, so the table may be long.
 
 Defined results: null and empty texts have no sentences and no licences (empty strings); repeated sentences repeat their
-identifier; rows that repeat are repeated; other columns are ignored.
+identifier; rows that repeat are repeated, and a null doc_id is one like any other; a text of any length is one row; U+0001 in a
+text ends a sentence; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +25,35 @@ from pyspark.sql import functions as F
 
 from corpuscle.llm import _base
 
+# Identifiers of SPDX and the names that licences go by.
+NAMES: dict[str, list[str]] = {
+    "MIT": ["MIT License", "MIT/Expat License"],
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0 License"],
+    "GPL-3.0": ["GNU General Public License, version 3", "GNU General Public License v3.0", "GPLv3"],
+    "GPL-3.0-or-later": ["GNU General Public License, version 3 or later", "GNU General Public License v3.0 or later", "GPLv3+"],
+    "GPL-2.0": ["GNU General Public License, version 2", "GNU General Public License v2.0", "GPLv2"],
+    "GPL-2.0-or-later": ["GNU General Public License, version 2 or later", "GNU General Public License v2.0 or later", "GPLv2+"],
+    "LGPL-2.1": ["GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v2.1", "LGPLv2.1"],
+    "LGPL-3.0": ["GNU Lesser General Public License, version 3", "GNU Lesser General Public License v3.0", "LGPLv3"],
+    "AGPL-3.0": ["GNU Affero General Public License, version 3", "GNU Affero General Public License v3.0", "AGPLv3"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "3-Clause BSD License", "New BSD License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License"],
+    "ISC": ["ISC License"],
+    "MPL-2.0": ["Mozilla Public License, Version 2.0", "Mozilla Public License 2.0", "MPL 2.0"],
+    "EPL-2.0": ["Eclipse Public License, Version 2.0", "Eclipse Public License 2.0"],
+    "BSL-1.0": ["Boost Software License, Version 1.0", "Boost Software License 1.0"],
+    "CC-BY-NC-4.0": ["CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"],
+    "CC-BY-4.0": ["CC BY 4.0", "Creative Commons Attribution 4.0 International License"],
+    "CC-BY-SA-4.0": ["CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"],
+    "CC0-1.0": ["CC0 1.0", "Creative Commons CC0 1.0 Universal"],
+    "Unlicense": ["Unlicense"],
+    "Zlib": ["zlib License"],
+    "WTFPL": ["WTFPL"],
+}
+PHRASES = ["Released under the {}", "Licensed under the {}", "Distributed under the {}", "This project is licensed under the {}", "This project is licensed under the terms of the {}", "This work is licensed under the {}"]
+#: Phrases for names that go without an article.
+BARE = ["Licensed under {}", "Released under {}", "This work is licensed under a {}", "This work is licensed under {}"]
+
 # Known sentences by licence; a rule is the order in which one licence lists them.
 RULES: dict[str, list[list[str]]] = {
     "MIT": [
@@ -99,11 +133,85 @@ RULES: dict[str, list[list[str]]] = {
     "All-Rights-Reserved": [["All rights reserved"]],
 }
 
+# Sentences of whole licence texts, in their order.
+TEXTS: dict[str, list[str]] = {
+    "MIT": [
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE",
+    ],
+    "Apache-2.0": [
+        "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+        '"License" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document',
+        '"Licensor" shall mean the copyright owner or entity authorized by the copyright owner that is granting the License',
+        '"You" (or "Your") shall mean an individual or Legal Entity exercising permissions granted by this License',
+        "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form",
+        "This License does not grant permission to use the trade names, trademarks, service marks, or product names of the Licensor, except as required for reasonable and customary use in describing the origin of the Work and reproducing the content of the NOTICE file",
+        "END OF TERMS AND CONDITIONS",
+    ],
+    "GPL-3.0": [
+        "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed",
+        "The GNU General Public License is a free, copyleft license for software and other kinds of works",
+        "The licenses for most software and other practical works are designed to take away your freedom to share and change the works",
+        '"This License" refers to version 3 of the GNU General Public License',
+    ],
+    "GPL-2.0": [
+        "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed",
+        "The licenses for most software are designed to take away your freedom to share and change it",
+        "By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users",
+        "This License applies to any program or other work which contains a notice placed by the copyright holder saying it may be distributed under the terms of this General Public License",
+    ],
+    "LGPL-3.0": [
+        "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed",
+        "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below",
+        'As used herein, "this License" refers to version 3 of the GNU Lesser General Public License, and the "GNU GPL" refers to version 3 of the GNU General Public License',
+    ],
+    "AGPL-3.0": [
+        "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed",
+        "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software",
+        '"This License" refers to version 3 of the GNU Affero General Public License',
+    ],
+    "MPL-2.0": [
+        '"Contributor" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software',
+        '"Covered Software" means Source Code Form to which the initial Contributor has attached the notice in Exhibit A, the Executable Form of such Source Code Form, and Modifications of such Source Code Form, in each case including portions thereof',
+        '"Larger Work" means a work that combines Covered Software with other material, in a separate file or files, that is not Covered Software',
+        '"License" means this document',
+    ],
+    "BSD-3-Clause": [
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED',
+    ],
+    "ISC": [
+        "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS',
+    ],
+    "BSL-1.0": [
+        'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:',
+        "The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor",
+    ],
+    "Unlicense": [
+        "This is free and unencumbered software released into the public domain",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means",
+    ],
+    "WTFPL": ["DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE", "You just DO WHAT THE FUCK YOU WANT TO"],
+}
+for _name in [*NAMES, *TEXTS]:
+    RULES.setdefault(_name, [])
+for _name, _own in NAMES.items():
+    RULES[_name] += [[f"SPDX-License-Identifier: {_name}"], *([p.format(n)] for n in _own for p in (*PHRASES, *BARE))]
+for _name, _text in TEXTS.items():
+    RULES[_name].append(_text)
+
 #: Marks a break between sentences.
 MARK = "\x01"
 #: Ends of sentences, with every line end, and with blank lines only; the same in Java and RE2.
 LINES = r"[.!?]+[ \t\r]*\n|[.!?]+[ \t\r]+|\n"
 FLOW = r"[.!?]+[ \t\r]*\n|[.!?]+[ \t\r]+|\n[ \t\r]*\n"
+#: In lower-cased text capitals are free: one stands for a break of FLOW, one for a line end. FLOW again, as Java finds it faster.
+BREAK, LINE = "Z", "Y"
+FLOW_JAVA = r"[.!?]+(?:[ \t\r]+\n?|\n)|\n[ \t\r]*\n"
 
 
 def normalise(sentence: str) -> str:
@@ -129,26 +237,32 @@ def license_pattern(name: str) -> str:
     return "|".join(rule_pattern(r) for r in RULES[name])
 
 
-def sentences(text: Column, breaks: str) -> Column:
-    """The normalised sentences of a text, empty ones left out."""
-    marked = F.regexp_replace(F.lower(text), breaks, MARK)
-    plain = F.regexp_replace(marked, f"[^a-z0-9{MARK}]+", " ")
-    return F.filter(F.transform(F.split(plain, MARK), lambda s: F.trim(s)), lambda s: s != "")
+def sentences(text: Column) -> tuple[Column, Column]:
+    """The normalised sentences of a text with breaks as in LINES, and as in FLOW; empty ones left out. FLOW's breaks are LINES'
+    without single line ends, so a text is marked once."""
+    plain = F.regexp_replace(F.lower(text), FLOW_JAVA, BREAK)
+    for sign, other in (("\n", LINE), (MARK, BREAK), ("_", " ")):
+        plain = F.replace(plain, F.lit(sign), F.lit(other))
+    plain = F.regexp_replace(plain, r"\W+", " ")  # ASCII, so letters and digits are all that is left
+    cut = lambda c, breaks: F.filter(F.transform(F.split(c, breaks), lambda s: F.trim(s)), lambda s: s != "")
+    return cut(plain, f"[{BREAK}{LINE}]"), cut(F.regexp_replace(plain, f" ?{LINE}[ {LINE}]*", " "), BREAK)
 
 
 def _ids(found: Column) -> Column:
     known = F.array(*(F.lit(s) for s in SENTENCES))
-    return F.filter(F.transform(found, lambda s: F.array_position(known, s)), lambda i: i > 0)
+    return F.transform(F.filter(found, lambda s: s.isin(SENTENCES)), lambda s: F.array_position(known, s))
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """doc_id, n_sentences, line_ids and flow_ids (identifiers in order) and licenses (names in table order)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), sentences(text, LINES).alias("lines"), sentences(text, FLOW).alias("flow"))
+    lines, flow = sentences(text)
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lines.alias("lines"), flow.alias("flow"))
     out = out.select("doc_id", F.size("lines").cast("long").alias("n_sentences"), _ids(F.col("lines")).alias("line_ids"), _ids(F.col("flow")).alias("flow_ids"))
     whole = lambda c: F.concat(F.lit(","), F.array_join(F.transform(c, lambda i: i.cast("string")), ","), F.lit(","))
     held = [F.when(whole(F.col("line_ids")).rlike(p) | whole(F.col("flow_ids")).rlike(p), F.lit(n)) for n, p in ((n, license_pattern(n)) for n in RULES)]
-    return out.select("*", F.array_compact(F.array(*held)).alias("licenses"))
+    any_known = (F.size("line_ids") > 0) | (F.size("flow_ids") > 0)
+    return out.select("*", F.when(any_known, F.array_compact(F.array(*held))).otherwise(F.array().cast("array<string>")).alias("licenses"))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

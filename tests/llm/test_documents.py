@@ -190,6 +190,44 @@ def test_licenses(spark, folder):
     assert licenses.op6(spark, folder([])).count() == 0
 
 
+def test_license_texts_and_names(spark, folder):
+    """Each name in each phrase, and each whole text with its sentences wrapped and numbered, is found; sentences out of order are not."""
+    rows, want = [], {}
+    for name, own in licenses.NAMES.items():
+        for n in own:
+            for p in (*licenses.PHRASES, *licenses.BARE):
+                rows.append((len(rows), f"Some words first.\n{p.format(n)}.\nAnd more of them."))
+                want[len(rows) - 1] = name
+    for name, text in licenses.TEXTS.items():
+        wrapped = "\n\n".join(f"{k}. " + re.sub(r"(.{40}\S*) ", r"\1\n   ", x) + ("" if x.endswith(":") else ".") + "\n\nwords between" for k, x in enumerate(text, 1))
+        rows += [(len(rows), wrapped), (len(rows) + 1, "\n\n".join(reversed(text)))]
+        want[len(rows) - 2] = name
+    got = {r["doc_id"]: r["licenses"].split(",") for r in licenses.op6(spark, folder(rows)).collect()}
+    assert all(name in got[i] for i, name in want.items())
+    for name, text in licenses.TEXTS.items():
+        if len(text) > 2:
+            back = next(i for i, t in rows if t == "\n\n".join(reversed(text)))
+            assert name not in got[back]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a", "B", ".", "!", " ", "\n", "\t", "\r", "-", "_", "\x01", "é", "İ", "\n\n", ".\n", "Released under the MIT License"]), max_size=30).map("".join))
+def test_one_marking_cuts_as_two_do(text):
+    plain = lambda t, breaks: [s for s in (x.strip(" ") for x in re.sub("[^a-z0-9\x01]+", " ", re.sub(breaks, "\x01", t.lower())).split("\x01")) if s]
+    assert re.sub(licenses.FLOW, "#", text) == re.sub(licenses.FLOW_JAVA, "#", text)
+    y, z = licenses.LINE, licenses.BREAK
+    marked = re.sub(r"\W+", " ", re.sub(licenses.FLOW_JAVA, z, text.lower()).replace("\n", y).replace("\x01", z).replace("_", " "), flags=re.ASCII)
+    cut = lambda t, breaks: [s for s in (x.strip(" ") for x in re.split(breaks, t)) if s]
+    assert cut(marked, f"[{z}{y}]") == plain(text, licenses.LINES)
+    assert cut(re.sub(f" ?{y}[ {y}]*", " ", marked), z) == plain(text, licenses.FLOW)
+
+
+def test_repeated_rows_and_marks_in_licences(spark, folder):
+    rows = [(1, "Released under the MIT License"), (1, "Released under the MIT License"), (None, "All rights\x01reserved. All rights reserved")]
+    got = sorted(((r["doc_id"], r["licenses"], r["n_sentences"]) for r in licenses.op6(spark, folder(rows)).collect()), key=str)
+    assert got == [(1, "MIT", 1), (1, "MIT", 1), (None, "All-Rights-Reserved", 3)]
+
+
 def test_license_query_equals_sql(spark):
     import duckdb
 
