@@ -11,7 +11,8 @@ starts with binary search, so a text with many parts costs n log n and gives eac
 Scale: documents are independent, no shuffle; each step holds about 4 MB of text.
 
 Defined results: null and empty texts have no spans; kinds may overlap one another, as the base rules say; weak parts that
-overlap a base span are left out; rows that repeat are repeated; other columns are ignored.
+overlap a base span are left out; rows that repeat are repeated, and a null doc_id is one like any other; a text of any length is
+scanned whole, in memory at once; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -5,13 +5,15 @@ packet with a 90 kHz timestamp on a private-data stream. Every sixteenth unit is
 the random-access flag and a clock reference, and the program tables (PAT, PMT) are repeated before it.
 
 Reading: program tables are found by PID and checked by their CRC, continuity counters are checked per PID, PES packets are
-put together again, and timestamps are stored with the random-access points. Whole columns of packet headers are parsed at
-once.
+put together again, and timestamps are stored with the random-access points. A packet may come twice in a row (alike but for its
+clock reference) and counts once; a jump of a counter that the discontinuity flag announces is none. Whole columns of packet
+headers are parsed at once.
 
 Scale: documents are independent, no shuffle; each step holds about 4 MB of text.
 
-Defined results: null and empty texts give one frame of 255s; equal texts give equal streams; rows that repeat are repeated;
-an empty table gives an empty result; other columns are ignored. A stream that is not whole packets with sync bytes, or has
+Defined results: null and empty texts give one frame of 255s; equal texts give equal streams; rows that repeat are repeated, and
+a null doc_id is one like any other; a text of any length is one stream, its timestamps start again after 2**33 ticks; an empty
+table gives an empty result; other columns are ignored. A stream that is not whole packets with sync bytes, or has
 no program, raises ValueError; lost packets are counted, and a unit with a gap is left out.
 """
 
@@ -146,6 +148,26 @@ def _programs(a: np.ndarray, pid: np.ndarray, start: np.ndarray) -> int:
     raise ValueError("no program")
 
 
+def _followed(a: np.ndarray, here: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The packets of one PID (their places) without second copies, and whether the counter jumps before each."""
+    p = a[here]
+    count = p[:, 3] & 15
+    again = np.flatnonzero(np.diff(count) == 0) + 1
+    if len(again):
+        alike = p[again] == p[again - 1]
+        clocked = (p[again, 3] & 0x20 > 0) & (p[again, 4] > 0) & (p[again, 5] & 0x10 > 0)
+        alike[clocked, 6:12] = True
+        copy = np.zeros(len(here), bool)
+        copy[again[alike.all(axis=1)]] = True
+        copy[1:] &= ~copy[:-1].copy()  # twice, not three times
+        here, p = here[~copy], p[~copy]
+        count = p[:, 3] & 15
+    jump = np.zeros(len(here), bool)
+    jump[1:] = np.diff(count) & 15 != 1
+    announced = (p[:, 3] & 0x20 > 0) & (p[:, 4] > 0) & (p[:, 5] & 0x80 > 0)
+    return here, jump & ~announced
+
+
 def demux(stream: bytes) -> tuple[bytes, list[tuple[int, int, int, bool]], int]:
     """The samples, (offset, size, timestamp, random access) of each unit, and how often a counter jumps."""
     a = np.frombuffer(stream, np.uint8)
@@ -158,15 +180,13 @@ def demux(stream: bytes) -> tuple[bytes, list[tuple[int, int, int, bool]], int]:
     if not (pid == PAT_PID).any():
         raise ValueError("no program")
     data = _programs(a, pid, start)
-    bad = 0
+    bad, here, gap = 0, np.zeros(0, np.int64), np.zeros(0, bool)
     for own in np.unique(pid).tolist():
-        here = (pid == own) & (control & 1 > 0)
-        jumps = np.diff(a[here, 3] & 15) & 15 != 1
+        kept, jumps = _followed(a, np.flatnonzero((pid == own) & (control & 1 > 0)))
         bad += int(jumps.sum())
-    here = np.flatnonzero((pid == data) & (control & 1 > 0))
+        if own == data:
+            here, gap = kept, jumps
     p, at = a[here], start[here]
-    gap = np.zeros(len(here), bool)
-    gap[1:] = np.diff(p[:, 3] & 15) & 15 != 1
     body = p[np.arange(PACKET) >= at[:, None]].tobytes()
     ends = np.cumsum(PACKET - at)
     first = np.flatnonzero(p[:, 1] & 0x40)

@@ -269,6 +269,93 @@ def test_stream_errors():
     assert ts.section_crc(b"123456789") == 0x0376E6E7
 
 
+def plain_parse(stream):
+    """ISO/IEC 13818-1 packet by packet, bit by bit: samples, (timestamp, random access) of each unit, PIDs of the program."""
+    bits = lambda raw: "".join(f"{x:08b}" for x in raw)
+    packets, sections = [], {}
+    for i in range(0, len(stream), 188):
+        p = stream[i : i + 188]
+        head = bits(p[:4])
+        assert p[0] == 0x47 and head[24:26] == "00" and head[8] == "0"  # in sync, not scrambled, no error
+        at, field = 4, b""
+        if head[26] == "1":
+            field = p[5 : 5 + p[4]]
+            at += 1 + p[4]
+        if head[27] == "1":
+            packets.append((int(head[11:24], 2), head[9] == "1", int(head[28:], 2), field, p[at:]))
+    for pid, begins, _, _, body in packets:
+        if begins and pid in (0, 0x1000):
+            table = body[1 + body[0] :]
+            sections.setdefault(pid, table[: 3 + (int(bits(table[1:3])[4:], 2))])
+    for table in sections.values():  # the CRC's own division, over the whole section
+        left = bits(table[:4])
+        left = int(left, 2) ^ 0xFFFFFFFF
+        number = [int(x) for x in bits(table)]
+        register = [1] * 32
+        for bit in number:
+            out = register.pop(0) ^ bit
+            register.append(0)
+            if out:
+                register = [a ^ int(b) for a, b in zip(register, f"{0x04C11DB7:032b}", strict=True)]
+        assert not any(register)
+    program = int(bits(sections[0][8:12])[19:], 2)
+    stream_type, data = sections[program][12], int(bits(sections[program][13:15])[3:], 2)
+    assert stream_type == 6
+    counters, units = {}, []
+    for pid, begins, count, field, body in packets:
+        assert count == (counters.get(pid, count - 1) + 1) % 16
+        counters[pid] = count
+        if pid == data:
+            if begins:
+                units.append((field[:1] and bits(field[:1])[1] == "1", b""))
+            units[-1] = (units[-1][0], units[-1][1] + body)
+    samples, told = b"", []
+    for rap, pes in units:
+        assert pes[:4] == b"\0\0\x01\xbd" and int.from_bytes(pes[4:6], "big") == len(pes) - 6
+        stamp = bits(pes[9:14])
+        assert stamp[:4] == "0010" and stamp[7] == stamp[23] == stamp[39] == "1"
+        told.append((int(stamp[4:7] + stamp[8:23] + stamp[24:39], 2), bool(rap)))
+        samples += pes[9 + pes[8] :]
+    return samples, told
+
+
+@pytest.mark.parametrize("raw", [b"", b"a", "é".encode() * 300, bytes(range(256)) * 20, bytes(i * i % 251 for i in range(ts.UNIT * 18 + 77))])
+def test_streams_by_a_plain_parser(raw):
+    samples, told = plain_parse(ts.mux(raw))
+    assert samples == ts.payload_of(raw)
+    assert told == [(k * 8 * ts.TICKS, k % ts.RAP_EVERY == 0) for k in range(len(told))]
+    got, units, jumps = ts.demux(ts.mux(raw))
+    assert got == samples and [(u[2], u[3]) for u in units] == told and jumps == 0
+
+
+def test_packets_may_come_twice_and_counters_may_jump_when_told():
+    raw = bytes(range(256)) * 300
+    stream = ts.mux(raw)
+    packets = [stream[i : i + ts.PACKET] for i in range(0, len(stream), ts.PACKET)]
+    want = ts.demux(stream)
+    twice = b"".join(p + p if i % 7 == 3 else p for i, p in enumerate(packets))
+    assert ts.demux(twice) == want
+    clock = bytearray(packets[2])
+    assert clock[5] & 0x10  # a clock reference, which a second copy may have of its own
+    clock[11] ^= 1
+    assert ts.demux(b"".join([*packets[:3], bytes(clock), *packets[3:]])) == want
+    assert ts.demux(b"".join([*packets[:9], packets[8], packets[8], *packets[9:]]))[2] == 1  # three times is a loss
+    other = bytearray(packets[8])
+    other[100] ^= 1
+    assert ts.demux(b"".join([*packets[:9], bytes(other), *packets[9:]]))[2] == 1  # not a copy
+    marked, shift = [], 0
+    for p in packets:
+        q = bytearray(p)
+        if q[1] & 0x1F == ts.DATA_PID >> 8 and q[2] == ts.DATA_PID & 255:
+            if q[1] & 0x40 and q[3] & 0x20 and q[4] and marked:
+                q[5] |= 0x80
+                shift += 5
+            q[3] = q[3] & 0xF0 | (q[3] + shift) & 15
+        marked.append(bytes(q))
+    assert shift
+    assert ts.demux(b"".join(marked)) == want
+
+
 def test_stream_query(spark, folder):
     rows = [(1, None), (2, ""), (3, "é" * 288), (4, "é" * 288), (5, "x" * 300_000), (3, "é" * 288)]
     got = {}
