@@ -10,8 +10,8 @@ to one, or with whole=True taken or left at random.
 
 Only DataFrame functions run. Scale: one pass over the texts gives narrow rows; a level shuffles one row in BLOCK of the
 level before, and blocks are dealt by a hash of the row (doc_id, text, and a number among rows that repeat both), so a source of any
-size, and a row that repeats without end, spread over many tasks. The table of sources is one row a source (its order and its
-cap need all of them). Draws are hashes of rows: reruns agree.
+size, and a row that repeats without end, spread over many tasks. Sources are put in order by ranges, whose sums are added up,
+so that any number of them spreads too. Draws are hashes of rows: reruns agree.
 
 Defined results: a text without words (also null and empty) has size 0 and taken 0; a null source is a source of its own,
 the last; rows that repeat are mixed one by one, and a null doc_id is one like any other; a text of any length is one document, taken
@@ -41,22 +41,38 @@ def sizes(docs: DataFrame) -> DataFrame:
     return counted.select("doc_id", "text_key", "source", "size", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("nth"))
 
 
-def targets(rows: DataFrame) -> DataFrame:
+def _running(rows: DataFrame, order: list[str], sums: list[str], root: str) -> tuple[DataFrame, dict[str, float]]:
+    """Adds before_<c>, the sum of c over all rows before in the order, without one task that sees all rows: rows are dealt by ranges,
+    summed within them, and the sums of the ranges before are added. And the sums over all."""
+    dealt = rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    dealt = _base.written(dealt, root)
+    parts = {r["part"]: r for r in dealt.groupBy("part").agg(*(F.sum(c).alias(c) for c in sums)).collect()}  # one row a range
+    starts, total = [], dict.fromkeys(sums, 0.0)
+    for part in sorted(parts):
+        starts.append((part, *total.values()))
+        total = {c: total[c] + parts[part][c] for c in sums}
+    begin = rows.sparkSession.createDataFrame(starts, ", ".join(["part int", *(f"start_{c} double" for c in sums)]))
+    own = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    within = dealt.select("*", *(F.coalesce(F.sum(c).over(own), F.lit(0.0)).alias(f"before_{c}") for c in sums))
+    out = within.join(F.broadcast(begin), "part")  # one row a range
+    for c in sums:
+        out = out.withColumn(f"before_{c}", F.col(f"before_{c}") + F.col(f"start_{c}"))
+    return out.drop("part", *(f"start_{c}" for c in sums)), total
+
+
+def targets(rows: DataFrame, root: str) -> DataFrame:
     """source, source_size, target and n of each source."""
     own = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    every = Window.orderBy(F.col("source").asc_nulls_last())
-    place = (F.row_number().over(every) - 1) % len(WEIGHTS)
-    weight = F.element_at(F.array(*(F.lit(float(w)) for w in WEIGHTS)), (place + 1).cast("int"))
-    own = own.withColumn("weight", weight).withColumn("most", F.col("source_size") * CAP)
-    # sources reach their caps in the order of cap / weight; level: words a unit of weight if all before stand at their caps
-    order = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
-    before, whole = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    left = BUDGET * F.sum("source_size").over(whole) - F.coalesce(F.sum("most").over(before), F.lit(0.0))
-    level = left / (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    own = own.withColumn("level", level)
-    free = F.min(F.when(F.col("level") <= F.col("most") / F.col("weight"), F.struct(F.col("most") / F.col("weight"), "level"))).over(whole)
-    target = F.when(free.isNull(), F.col("most")).otherwise(F.least(F.col("most"), free["level"] * F.col("weight")))
-    return own.select("source", "source_size", target.alias("target"), "n")
+    own = own.withColumn("none", F.col("source").isNull())
+    placed, _ = _running(own.withColumn("one", F.lit(1.0)), ["none", "source"], ["one"], f"{root}/places")
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in WEIGHTS)), (F.col("before_one").cast("long") % len(WEIGHTS) + 1).cast("int"))
+    own = placed.withColumn("weight", weight).withColumn("most", F.col("source_size") * CAP).withColumn("reach", F.col("most") / F.col("weight"))
+    # sources reach their caps in the order of reach; level: words a unit of weight if all before stand at their caps
+    ranked, total = _running(own.drop("one", "before_one"), ["reach", "none", "source"], ["most", "weight"], f"{root}/reaches")
+    level = (F.lit(BUDGET / CAP * total["most"]) - F.col("before_most")) / (F.lit(total["weight"]) - F.col("before_weight"))
+    free = ranked.withColumn("level", level).where("level <= reach").agg(F.min(F.struct("reach", "none", "source", "level")).alias("f")).first()["f"]
+    target = F.col("most") if free is None else F.least(F.col("most"), F.lit(free["level"]) * F.col("weight"))
+    return ranked.select("source", "source_size", target.alias("target"), "n")
 
 
 ROW = ("doc_id", "text_key", "nth")
@@ -108,7 +124,7 @@ def mix(docs: DataFrame, *, whole: bool = False) -> DataFrame:
     spark = docs.sparkSession
     root = _base.scratch(spark)
     rows = _base.written(sizes(docs), f"{root}/sizes")
-    own = _base.written(targets(rows), f"{root}/sources")
+    own = _base.written(targets(rows, root), f"{root}/sources")
     mean = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     # a null-safe join on source; the table of sources is broadcast only below Spark's own size threshold
     base = rows.join(own.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("mean", mean)

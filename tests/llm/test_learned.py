@@ -10,6 +10,8 @@ import pyarrow.parquet as pq
 import pytest
 import xxhash
 import zstandard
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from corpuscle.llm import languages, mixing, quality, sieve
 
@@ -194,6 +196,72 @@ def test_mix(spark, folder, seed):
     assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.op5(spark, d).collect()))
 
 
+def test_documents_keep_their_chances(spark, folder):
+    """Over many sources of one make, each document is taken as often in the mean as its source's target says, whatever its size; and
+    the words of a source are its target, to one document."""
+    lengths = [1, 2, 3, 5, 8, 13]
+    rows, source = [], []
+    for s in range(900):
+        for n in lengths:
+            rows.append((len(rows), "w " * n))
+            source.append(f"s{s:04}")
+    docs = spark.read.parquet(folder(rows, source=source) + "/documents.parquet")
+    got = mixing.mix(docs, whole=True).collect()
+    by = {}
+    for r in got:
+        assert r["copies"] in (0, 1, 2)
+        mean = round(r["target"] / r["source_size"], 6)
+        by.setdefault((mean, r["size"]), []).append(r["copies"])
+    means = {m for m, _ in by}
+    assert sorted(means) == [pytest.approx(5 / 6), pytest.approx(5 / 3), 2]  # weight 5 stands at the cap, the rest is shared 2 to 1
+    for (mean, _), copies in by.items():
+        part = mean % 1
+        assert np.mean(copies) == pytest.approx(mean, abs=4.5 * np.sqrt(part * (1 - part) / len(copies)))
+    words = Counter()
+    for r in got:
+        words[r["source"], r["target"]] += r["copies"] * r["size"]
+    assert all(abs(n - target) <= 13 for (_, target), n in words.items())
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(1, 50), st.integers(1, 50), st.floats(0.001, 0.999), st.floats(0.001, 0.999), st.floats(0, 0.999999))
+def test_exchange(size, other, p, q, draw):
+    """The rule of an exchange by itself: mass stays, one settles, and over all draws both keep their chance."""
+    ratio = other / size
+    up, down = min(1 - p, ratio * q), min(p, ratio * (1 - q))
+    ends = [(p + up, q - up / ratio), (p - down, q + down / ratio)]
+    rise = down / (up + down)
+    for a, b in ends:
+        assert a * size + b * other == pytest.approx(p * size + q * other)
+        assert min(abs(a), abs(1 - a), abs(b), abs(1 - b)) < 1e-9
+    assert rise * ends[0][0] + (1 - rise) * ends[1][0] == pytest.approx(p)
+    assert rise * ends[0][1] + (1 - rise) * ends[1][1] == pytest.approx(q)
+
+
+@pytest.mark.parametrize(("items", "level"), [([(3, 1, 0.4), (4, 2, 0.7)], 0), ([(1, 5, 0.25), (9, 6, 0.5), (30, 7, 0.9)], 1), ([(7, i, 0.3) for i in range(20)], 2)])
+def test_rounds_follow_the_rule(spark, items, level):
+    """A block of the tree against the rule, with the draws that Spark's hash gives."""
+    data = [("s", doc, 11, 1, size, p, 0) for size, doc, p in items]
+    rows = spark.createDataFrame(data, "source string, doc_id long, text_key long, nth long, size long, p double, block long")
+    got = {r["doc_id"]: r["p"] for r in mixing._round(rows, level).collect()}
+    cur, want = items[0], {}
+    for e in items[1:]:
+        (size, doc, p), (other, second, q) = cur, e
+        if p <= 0 or p >= 1:
+            want[doc], cur = p, e
+            continue
+        ratio = other / size
+        up, down = min(1 - p, ratio * q), min(p, ratio * (1 - q))
+        h = draw(("q", doc), ("q", 11), ("q", 1), ("q", second), ("q", 11), ("q", 1), ("i", level), ("i", mixing.SEED)) % (1 << 40) / (1 << 40)
+        a, b = (p + up, q - up / ratio) if h * (up + down) < down else (p - down, q + down / ratio)
+        if min(abs(a), abs(1 - a)) < 1e-12:
+            want[doc], cur = a, (other, second, b)
+        else:
+            want[second], cur = b, (size, doc, a)
+    want[cur[1]] = cur[2]
+    assert got == {k: pytest.approx(v, abs=1e-9) for k, v in want.items()}
+
+
 def test_mix_edges(spark, folder):
     assert mixing.op5(spark, folder([])).count() == 0
     got = mixing.op5(spark, folder([(1, None), (2, "")], source=["a", None])).collect()
