@@ -375,7 +375,7 @@ def find_links(docs: DataFrame, shingle: int = SHINGLE) -> Found:
         dealt = _base.written(_base.attach(dealt, facts, "item", dealt.count()), f"{root}/between")
         x = dealt.withColumn("share", F.pmod(F.xxhash64("cid"), F.col("shares")).cast("int")).alias("x")
         y = dealt.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).alias("y")
-        more = x.join(y, (F.col("x.item") == F.col("y.item")) & (F.col("x.share") == F.col("y.share")) & (F.col("x.cid") < F.col("y.cid")) & (F.col("x.part") != F.col("y.part")) & _possible("x", "y"))
+        more = x.join(y.hint("merge"), (F.col("x.item") == F.col("y.item")) & (F.col("x.share") == F.col("y.share")) & (F.col("x.cid") < F.col("y.cid")) & (F.col("x.part") != F.col("y.part")) & _possible("x", "y"))
         more = more.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
         apart = apart.unionByName(_near(more, classes).select("a", "b"))
     rest = _base.written(apart.distinct().join(first.hint("merge"), ["a", "b"], "left_anti"), f"{root}/apart")
