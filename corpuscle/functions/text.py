@@ -8,46 +8,51 @@ from pyspark.sql import functions as F
 #: White space that strip() takes here: ASCII only (the scripts' own strip() also takes a few rare separators).
 SPACE = " \t\n\r\x0b\x0c"
 
-_LEVELS = {
-    "asm": ("assembly code", "Analyze the assembly instructions, registers, memory operations, and control flow to produce functional and compilable C source code.", "Assembly code"),
-    "llil": ("LLIL code", None, "LLIL code"),
-    "mlil": ("MLIL code", None, "MLIL code"),
-    "hlil": ("HLIL code", None, "HLIL code"),
+# The prompts before and after the code, by representation.
+PROLOGUES = {
+    "asm": """You are an expert reverse engineer. Decompile the following assembly code to equivalent C source code.
+Analyze the assembly instructions, registers, memory operations, and control flow to produce functional and compilable C source code.
+Assembly code to decompile:
+
+```""",
+    "llil": """You are an expert reverse engineer. Decompile the following LLIL code to equivalent C source code.
+LLIL is Binary Ninja's low-level IR that abstracts away architecture-specific details while preserving low-level semantics.
+Analyze the LLIL operations, memory accesses, and control structures to produce functional and compilable C source code.
+LLIL code to decompile:
+
+```""",
+    "mlil": """You are an expert reverse engineer. Decompile the following MLIL code to equivalent C source code.
+MLIL is Binary Ninja's medium-level IR that performs data flow analysis and eliminates many low-level artifacts.
+Analyze the MLIL operations, variables, and control flow to produce functional and compilable C source code.
+MLIL code to decompile:
+
+```""",
+    "hlil": """You are an expert reverse engineer. Decompile the following HLIL code to equivalent C source code.
+HLIL is Binary Ninja's highest-level IR that recovers high-level constructs like loops, conditionals, and function calls.
+Analyze the HLIL operations and structures to produce functional and compilable C source code.
+HLIL code to decompile:
+
+```""",
 }
-# The lines of the prompts that differ by representation.
-_ABOUT = {
-    "llil": (
-        "LLIL is Binary Ninja's low-level IR that abstracts away architecture-specific details while preserving low-level semantics.",
-        "Analyze the LLIL operations, memory accesses, and control structures to produce functional and compilable C source code.",
-    ),
-    "mlil": (
-        "MLIL is Binary Ninja's medium-level IR that performs data flow analysis and eliminates many low-level artifacts.",
-        "Analyze the MLIL operations, variables, and control flow to produce functional and compilable C source code.",
-    ),
-    "hlil": (
-        "HLIL is Binary Ninja's highest-level IR that recovers high-level constructs like loops, conditionals, and function calls.",
-        "Analyze the HLIL operations and structures to produce functional and compilable C source code.",
-    ),
-}
-_EPILOGUE = [
-    "```",
-    "",
-    "Output format: Only C code, no explanations, no markdown formatting.",
-    "Function name: func0",
-    "Variable names: var0, var1, var2, etc.",
-    "Include necessary headers (#include) if needed.",
-    "Do not include ```c or ``` markers.",
-]
+EPILOGUE = """```
+
+Output format: Only C code, no explanations, no markdown formatting.
+Function name: func0
+Variable names: var0, var1, var2, etc.
+Include necessary headers (#include) if needed.
+Do not include ```c or ``` markers."""
+
+# Includes of generated sources in a test harness.
+SOURCE_INCLUDES = (
+    r'extern\s+"C"\s*\{\s*#include\s+"[^"]*\.c"\s*\}',
+    r'#include\s+"[^"]*\.c"',
+    r'#include\s+"[^"]*(/tmp/[^"]*)"',
+)
 
 
 def prompts() -> dict[str, tuple[str, str]]:
     """Prologue and epilogue by representation."""
-    out = {}
-    for ir, (what, analyze, title) in _LEVELS.items():
-        first = f"You are an expert reverse engineer. Decompile the following {what} to equivalent C source code."
-        about = [analyze] if analyze else list(_ABOUT[ir])
-        out[ir] = ("\n".join([first, *about, f"{title} to decompile:", "", "```"]), "\n".join(_EPILOGUE))
-    return out
+    return {ir: (prologue, EPILOGUE) for ir, prologue in PROLOGUES.items()}
 
 
 def prompt_table(spark) -> DataFrame:  # noqa: ANN001
@@ -128,7 +133,7 @@ def with_extension(path: Column, extension: str) -> Column:
 
 def strip_source_includes(c: Column) -> Column:
     """A harness without the includes of generated sources."""
-    for pattern in (r'extern\s+"C"\s*\{\s*#include\s+"[^"]*\.c"\s*\}', r'#include\s+"[^"]*\.c"', r'#include\s+"[^"]*(/tmp/[^"]*)"'):
+    for pattern in SOURCE_INCLUDES:
         c = F.regexp_replace(c, pattern, "")
     return c
 

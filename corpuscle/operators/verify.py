@@ -6,10 +6,12 @@ import json
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpuscle.session import ship
+
 
 def same_value(observed: object, expected: object) -> bool:
     """Deep comparison: types must be the same, floats may differ by 1e-9 of their size, and only the observed keys of an object
@@ -43,6 +45,8 @@ def same_series(observed: pd.Series, expected: pd.Series) -> pd.Series:
 def same_json(observed: Column | str, expected: Column | str) -> Column:
     """Whether two JSON texts hold the same value; null if either is none. Arrow batches, as the recursion over values of any
     shape is no column expression."""
+    if SparkSession.getActiveSession():
+        ship(SparkSession.getActiveSession())
     return F.pandas_udf(same_series, T.BooleanType())(observed, expected)
 
 

@@ -13,6 +13,7 @@ from corpuscle.plans import views as v
 from corpuscle.sources import disassembly, readers, sinks
 from corpuscle.sources.readers import parse_log_lines
 from corpuscle.sources.shared import scratch
+from corpuscle.streaming import ingest
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -627,6 +628,137 @@ def last_of_each_id(spark: SparkSession, sf: str) -> DataFrame:
     return readers.last_by(rows, "id", "line_num").select("id", "func_def")
 
 
+_NATION_FILES = {
+    "tree": "concat('iteration_', 1 + n_nationkey % 5, '/m', n_nationkey % 3, '/', element_at(array('asm', 'llil'), cast(1 + n_nationkey % 2 as int)), '/O', n_nationkey % 4, '/', n_nationkey, if(n_nationkey % 6 = 5, '.other', '.error'))",
+    "numeric": "concat('a/', if(n_nationkey % 3 = 0, 'x', '00'), n_nationkey, '.c')",
+    "forms": "concat('b', n_regionkey, '/', n_nationkey, '.', element_at(array('asm', 'LLIL', 'mlil', 'Hlil', 'c', 'txt'), cast(1 + n_nationkey % 6 as int)))",
+    "logs": "concat('w', n_regionkey, '/0x', n_nationkey, if(n_nationkey % 4 = 0, '.txt', '.log'))",
+    "errors": "concat(n_nationkey, '.error')",
+}
+
+
+def _nation_files(spark: SparkSession, sf: str, kind: str, content: Column | None = None) -> str:
+    """A folder with a file for each nation, its name as content."""
+    root = f"{scratch(spark)}/{kind}"
+    named = v.read(spark, sf, "nation").select(F.expr(_NATION_FILES[kind]).alias("path"), (F.col("n_name") if content is None else content).alias("content"))
+    sinks.write_files(named, root)
+    return root
+
+
+@query("""SELECT 'iteration_' || (1 + n_nationkey % 5) AS iteration, 'm' || n_nationkey % 3 AS model, ['asm', 'llil'][n_nationkey % 2 + 1] AS ir, 'O' || n_nationkey % 4 AS opt, n_nationkey || '.error' AS file, n_name AS content
+FROM nation WHERE n_nationkey % 6 <> 5""")
+def tree_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return readers.read_tree(spark, _nation_files(spark, sf, "tree"), ".error")
+
+
+@query("SELECT n_nationkey::BIGINT AS id, n_name AS content FROM nation WHERE n_nationkey % 3 <> 0")
+def numeric_files(spark: SparkSession, sf: str) -> DataFrame:
+    return readers.read_numeric_files(spark, _nation_files(spark, sf, "numeric"), ".c").select("id", "content")
+
+
+@query("SELECT ['asm', 'llil', 'mlil', 'hlil'][n_nationkey % 6 + 1] AS ir, n_name AS content FROM nation WHERE n_nationkey % 6 < 4")
+def representation_files(spark: SparkSession, sf: str) -> DataFrame:
+    return readers.read_representations(spark, _nation_files(spark, sf, "forms")).select("ir", "content")
+
+
+@query("SELECT '0x' || n_nationkey AS identifier, n_name AS content FROM nation WHERE n_nationkey % 4 <> 0")
+def log_files(spark: SparkSession, sf: str) -> DataFrame:
+    return readers.read_logs(spark, _nation_files(spark, sf, "logs"))
+
+
+@query("SELECT '0x' || n_nationkey || CASE WHEN n_nationkey % 4 = 0 THEN '.txt' ELSE '.log' END AS file, strlen(n_name)::BIGINT AS length FROM nation")
+def binary_listing(spark: SparkSession, sf: str) -> DataFrame:
+    return readers.list_binaries(spark, _nation_files(spark, sf, "logs")).select(F.regexp_extract("path", "([^/]*)$", 1).alias("file"), "length")
+
+
+@query("SELECT n_name AS name, '0x' || lower(to_hex(n_nationkey)) AS addr FROM nation")
+def map_from_json_array(spark: SparkSession, sf: str) -> DataFrame:
+    entries = v.read(spark, sf, "nation").select(F.col("n_name").alias("name"), F.concat(F.lit("0x"), F.lower(F.hex("n_nationkey"))).alias("addr"))
+    root = scratch(spark)
+    sinks.write_files(spark.createDataFrame([("map.json", sinks.json_array(entries))], "path string, content string"), root)
+    return readers.read_json_array(spark, f"{root}/map.json")
+
+
+@query(f"SELECT iteration, model, ir, opt, category, subcategory, file FROM {_sql_compile()}")
+def organised_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels below folders of their configuration, read back."""
+    levels = ["iteration", *rollup.CONFIG, *rollup.LABEL]
+    rows, path = _compile_labels(spark, sf).select(*levels, "file"), f"{scratch(spark)}/tree"
+    sinks.write_tree(rows, path, levels)
+    return spark.read.schema(rows.schema).parquet(path).select(*rows.columns)
+
+
+@query("SELECT n_regionkey::VARCHAR AS region, n_nationkey::VARCHAR || '.txt' AS file, n_name || chr(10) AS value FROM nation")
+def label_files(spark: SparkSession, sf: str) -> DataFrame:
+    """A text file for each document and label, read back."""
+    rows = v.read(spark, sf, "nation").select(F.col("n_regionkey").cast("string").alias("region"), F.concat(F.col("n_nationkey").cast("string"), F.lit(".txt")).alias("file"), F.col("n_name").alias("content"))
+    path = f"{scratch(spark)}/files"
+    sinks.write_label_files(rows, path, ["region"])
+    return spark.read.schema("value string, region string, file string").text(path, wholetext=True).select("region", "file", "value")
+
+
+@query("""SELECT split_part(value, '|', 1) AS status, split_part(value, '|', 2) AS type, split_part(value, '|', 3) AS file, split_part(value, '|', 5) AS timestamp, CASE WHEN value LIKE '%left|right' THEN 'left|right' ELSE 'done' END AS details FROM v_log_lines""")
+def streamed_log_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Event log lines as a stream of files, worked off to Parquet."""
+    root = scratch(spark)
+    v.log_lines(spark, sf).write.text(f"{root}/in")
+    events = ingest.log_stream(spark, f"{root}/in").select("status", "type", "file", "timestamp", "details")
+    ingest.run_available(events, f"{root}/out", f"{root}/at").awaitTermination()
+    return spark.read.schema(events.schema).parquet(f"{root}/out")
+
+
+@query(f"SELECT file, l.category AS category, l.subcategory AS subcategory FROM (SELECT file, unnest({taxonomy.sql_labels('content', taxonomy.COMPILE['detailed'])}) AS l FROM (SELECT n_nationkey || '.error' AS file, {v._list(v.ERRORS)}[n_nationkey % {len(v.ERRORS)} + 1] AS content FROM nation))")
+def streamed_labels(spark: SparkSession, sf: str) -> DataFrame:
+    root = _nation_files(spark, sf, "errors", v._pick(v.ERRORS, f"n_nationkey % {len(v.ERRORS)}"))
+    labels = ingest.label_stream(spark, root)
+    ingest.run_available(labels, f"{root}-out", f"{root}-at").awaitTermination()
+    return spark.read.schema(labels.schema).parquet(f"{root}-out").select(F.regexp_extract("path", "([^/]*)$", 1).alias("file"), "category", "subcategory")
+
+
+# what scripts leave out, and texts that they put together
+
+
+@query("SELECT event_id FROM events WHERE coalesce(CASE WHEN event_id % 7 <> 0 THEN event_id % 5 = 0 END, false) = false AND event_id % 11 <> 0")
+def own_functions(spark: SparkSession, sf: str) -> DataFrame:
+    e = v.read(spark, sf, "events").select("event_id", F.expr("if(event_id % 7 <> 0, event_id % 5 = 0, null)").alias("is_plt"), F.expr("event_id % 11 = 0").alias("is_simprocedure"))
+    return disassembly.own_functions(e).select("event_id")
+
+
+@query("SELECT line_num, 'empty func_def' AS error FROM v_corpus_lines WHERE func_def = ''")
+def undefined_functions(spark: SparkSession, sf: str) -> DataFrame:
+    return disassembly.split_undefined(v.corpus_lines(spark, sf))[1].select("line_num", "error")
+
+
+@query("SELECT line_num, length(func_def) AS n_chars FROM v_corpus_lines WHERE func_def <> ''")
+def files_with_content(spark: SparkSession, sf: str) -> DataFrame:
+    return disassembly.split_empty(v.corpus_lines(spark, sf), "func_def")[0].select("line_num", F.length("func_def").cast("long").alias("n_chars"))
+
+
+@query("""SELECT 'f' || l_orderkey AS name, string_agg('block ' || l_linenumber || ' ' || l_partkey, chr(10) ORDER BY l_linenumber * 7919 % 8191, 'block ' || l_linenumber || ' ' || l_partkey) AS content FROM lineitem GROUP BY l_orderkey""")
+def function_listings(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.col("l_linenumber").cast("string")
+    start = F.concat(F.lit("0x"), F.lower(F.hex(F.expr("l_linenumber * 7919 % 8191"))))
+    blocks = v.read(spark, sf, "lineitem").select(F.concat(F.lit("f"), F.col("l_orderkey").cast("string")).alias("name"), start.alias("start"), F.concat(F.lit("block "), n, F.lit(" "), F.col("l_partkey").cast("string")).alias("text"))
+    return disassembly.listing(blocks)
+
+
+@query("""SELECT url, left(url, length(url) - length(ext)) || '_m' || '_response' || ext AS path FROM (SELECT url, regexp_extract(url, '[^/](\.[^./]*)$', 1) AS ext FROM pages)""")
+def legacy_paths(spark: SparkSession, sf: str) -> DataFrame:
+    return v.read(spark, sf, "pages").select("url", text.legacy_path(F.col("url"), F.lit("m")).alias("path"))
+
+
+_HARNESS = ['extern "C" {' + chr(10) + '#include "/tmp/x', '.c"' + chr(10) + '}' + chr(10) + '#include "f', '.c"' + chr(10) + '#include <stdio.h>' + chr(10) + 'int main() { return ', '; }']
+
+
+@query(f"""SELECT event_id, coalesce(CASE WHEN event_id % 3 <> 0 THEN event_type END, '') || chr(10) || chr(10) || regexp_replace(regexp_replace(regexp_replace(h, {v._q(text.SOURCE_INCLUDES[0])}, '', 'g'), {v._q(text.SOURCE_INCLUDES[1])}, '', 'g'), {v._q(text.SOURCE_INCLUDES[2])}, '', 'g') AS source
+FROM (SELECT event_id, event_type, {v._q(_HARNESS[0])} || event_id || {v._q(_HARNESS[1])} || event_id || {v._q(_HARNESS[2])} || event_id || {v._q(_HARNESS[3])} AS h FROM events)""")
+def harness_sources(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.col("event_id").cast("string")
+    harness = F.concat(F.lit(_HARNESS[0]), n, F.lit(_HARNESS[1]), n, F.lit(_HARNESS[2]), n, F.lit(_HARNESS[3]))
+    deps = F.when(F.expr("event_id % 3 <> 0"), F.col("event_type"))
+    return v.read(spark, sf, "events").select("event_id", text.assemble_source(deps, text.strip_source_includes(harness)).alias("source"))
+
+
 def exact_picks(sizes: dict, cap: int = sampling.CAP, seed: int = sampling.SEED) -> dict:
     """Places per bucket as the sampler draws them; for tests."""
     generator = random.Random(seed)

@@ -35,8 +35,30 @@ def nested_report(stats: DataFrame, levels: list[str], values: list[str], most:
     return out
 
 
+def write_files(rows: DataFrame, root: str, most: int = 10_000) -> None:
+    """One file for each row (path below root, content), for tables that are known to be small; a larger one raises."""
+    files = rows.select("path", "content").limit(most + 1).collect()
+    if len(files) > most:
+        raise ValueError(f"more than {most} files; use write_tree")
+    context = rows.sparkSession.sparkContext
+    for r in files:
+        where = context._jvm.org.apache.hadoop.fs.Path(f"{root}/{r['path']}")
+        out = where.getFileSystem(context._jsc.hadoopConfiguration()).create(where, True)
+        try:
+            out.write(bytearray((r["content"] or "").encode()))
+        finally:
+            out.close()
+
+
+def write_label_files(labelled: DataFrame, path: str, levels: list[str], name: str = "file", content: str = "content") -> None:
+    """One text file for each document and label, below folders of the levels and of its name, ended by a line end; what was there
+    before goes."""
+    folders = [*levels, name]
+    labelled.select(*folders, F.col(content).alias("value")).repartition(*folders).write.mode("overwrite").partitionBy(*folders).text(path)
+
+
 def write_tree(labelled: DataFrame, path: str, levels: list[str]) -> None:
-    """One file per label of a document, below folders of the levels; what was there before goes."""
+    """Rows below folders of the levels, for trees of any size; what was there before goes."""
     labelled.write.mode("overwrite").partitionBy(*levels).parquet(path)
 
 
