@@ -10,23 +10,13 @@ import pyarrow.compute  # noqa: F401  steps() needs it loaded
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuscle.session import prepare, ship  # noqa: F401  prepare: stages take it from here
 from corpuscle.sources.shared import remove, scratch, shared_dir  # noqa: F401  the operators take them from here
 
 #: Text bytes that one Python step holds at once; longer batches are cut, a single longer text stands alone.
 STEP_BYTES = 4 << 20
 
 
-#: Rows of an Arrow batch between the JVM and a Python worker, at most; Spark's own limit of bytes holds as well.
-BATCH_ROWS = 1000
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """Lowers the session's rows per Arrow batch to BATCH_ROWS: either side holds whole batches, and texts can be long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
-
-
 _HOLDER = [""]
 
 
@@ -55,7 +45,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, text and the named columns only, so that extra columns of a caller can't clash; a null text is empty."""
-    bound_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),

@@ -169,7 +169,7 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = TRAIN, most: int = TR
 def score_quality(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the named columns, and score of every row."""
     given = docs.select("doc_id", *keep, F.col("text").cast("string").alias("text")) if "text" not in keep else docs.select("doc_id", *keep)
-    _base.bound_batches(docs.sparkSession)
+    _base.ship(docs.sparkSession)
     told = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of DICTIONARY bytes
     names = [c for c in given.columns if c != "text" or "text" in keep]
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if f.name in names)
@@ -193,7 +193,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows that score at least `threshold`, with all their columns; only the text goes through Python."""
-    _base.bound_batches(docs.sparkSession)
+    _base.ship(docs.sparkSession)
     told = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of DICTIONARY bytes
 
     @F.pandas_udf("double")

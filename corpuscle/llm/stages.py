@@ -3,17 +3,31 @@
 A row is known by its doc_id and a hash of its text, so rows that repeat a doc_id with other texts are judged one by one, and a
 null doc_id is one like any other. Of rows that repeat both, the dedup stages keep one if it has a group (documents without
 words, which link with nothing, all stay in near_stage); the mix takes such rows alike. Null and empty texts pass by each
-operator's own rules; an empty table stays empty; further columns are carried whatever their names.
+operator's own rules; an empty table stays empty; further columns are carried whatever their names. A stage prepares the session
+that it is given (session.prepare).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscle.llm import _base, bpe, exact_dedup, mixing, near_dedup, quality, sieve
 
 
+def _stage(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    @wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str, **more: object) -> DataFrame:
+        _base.prepare(spark)
+        return f(spark, docs, sf_dir, **more)
+
+    return run
+
+
+@_stage
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier does not reject."""
     return quality.keep_good(docs, quality.learn(docs, _base.table(spark, sf_dir, "labels")))
@@ -57,6 +71,7 @@ def _left(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return clear.unionByName(maybe)
 
 
+@_stage
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
     found = exact_dedup.exact_dedup(docs)
@@ -64,12 +79,14 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _left(docs, found.select("doc_id", "text_key", group.alias("group"), "kept", (-F.col("n_cp")).alias("less")))
 
 
+@_stage
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, shingle: int = near_dedup.SHINGLE) -> DataFrame:
     """One document of each group of near-duplicates, by shingles of so many words."""
     found = near_dedup.near_duplicates(docs, shingle)
     return _left(docs, found.select("doc_id", "text_key", "group", "kept", F.lit(0).alias("less")))
 
 
+@_stage
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; whole documents only. Rows that repeat doc_id, text and source come as often as
     all of them are taken."""
@@ -91,6 +108,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return out.unionByName(taken(once, repeated))
 
 
+@_stage
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and the digest of the decoded text."""
     return bpe.encode_and_decode(docs).select("doc_id", "n_tokens", "ids", "decoded_sha256")
