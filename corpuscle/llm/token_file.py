@@ -41,7 +41,7 @@ MAGIC = b"DAC1"
 #: Bits between entries of a rank directory.
 RANK = 512
 
-#: Characters of a shard, about.
+#: Bytes of input that make a shard, about, by Spark's estimate of the plan.
 SHARD = 1 << 28
 #: Bytes of a row group, about; stands for a null doc_id.
 GROUP = 1 << 20
@@ -129,12 +129,12 @@ class Block:
 
 
 def _bounds(docs: DataFrame, least: int) -> list[int]:
-    """Ascending bounds between shards of about equal rows: `least` shards, or as many as SHARD characters each make."""
-    told = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length(F.col("text").cast("string")).alias("n"))
-    size = told.agg(F.sum("n").alias("n")).first()["n"] or 0
-    n = max(least, -(-size // SHARD))
+    """Ascending bounds between shards of about equal rows: `least` shards, or as many as SHARD bytes each make."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    n = max(least, -(-size // SHARD) if size < 1 << 60 else 0)  # more stands for unknown
     if n < 2:
         return []
+    told = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     found = told.select(F.col("doc_id").cast("double").alias("doc_id")).approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n)
     return sorted({int(x) for x in found})
 
