@@ -581,21 +581,15 @@ def work_distribution(spark: SparkSession, sf: str) -> DataFrame:
     return distribution.shares(rows, "path", 8).select("doc_id", "worker")
 
 
-def _worker_outputs(spark: SparkSession, sf: str, body: Column) -> DataFrame:
+def _worker_outputs(spark: SparkSession, sf: str) -> DataFrame:
     """Files of three workers, one document each: path, worker, content."""
     d = v.read(spark, sf, "documents")
-    return d.select(F.concat(F.lit("d/"), F.expr("doc_id div 3").cast("string"), F.lit(".txt")).alias("path"), F.expr("cast(doc_id % 3 as int)").alias("worker"), F.concat(F.col("doc_id").cast("string"), F.lit(":"), body, F.lit("\n")).alias("content"))
-
-
-@query("""SELECT path, string_agg(content, '' ORDER BY worker, content) AS content, count(*)::INTEGER AS n_workers FROM (SELECT 'd/' || doc_id // 3 || '.txt' AS path, (doc_id % 3)::INTEGER AS worker, doc_id || ':' || left(text, 20) || chr(10) AS content FROM documents) GROUP BY path""")
-def merge_worker_outputs(spark: SparkSession, sf: str) -> DataFrame:
-    # the first 20 characters of each text only, as its SQL says; merge_worker_outputs_whole merges whole texts
-    return distribution.merge_outputs(_worker_outputs(spark, sf, F.left("text", F.lit(20))))
+    return d.select(F.concat(F.lit("d/"), F.expr("doc_id div 3").cast("string"), F.lit(".txt")).alias("path"), F.expr("cast(doc_id % 3 as int)").alias("worker"), F.concat(F.col("doc_id").cast("string"), F.lit(":"), "text", F.lit("\n")).alias("content"))
 
 
 @query("""SELECT path, string_agg(content, '' ORDER BY worker, content) AS content, count(*)::INTEGER AS n_workers FROM (SELECT 'd/' || doc_id // 3 || '.txt' AS path, (doc_id % 3)::INTEGER AS worker, doc_id || ':' || text || chr(10) AS content FROM documents) GROUP BY path""")
-def merge_worker_outputs_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return distribution.merge_outputs(_worker_outputs(spark, sf, F.col("text")))
+def merge_worker_outputs(spark: SparkSession, sf: str) -> DataFrame:
+    return distribution.merge_outputs(_worker_outputs(spark, sf))
 
 
 @query("SELECT url, regexp_replace(url, '\\.[^./]*$', '.txt') AS result_path, replace(replace(url, '/', '_'), chr(92), '_') AS safe FROM pages")

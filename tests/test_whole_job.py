@@ -15,7 +15,7 @@ def test_whole_texts_are_merged(spark):
     for r in pq.read_table(f"{SF}/documents.parquet", columns=["doc_id", "text"]).to_pylist():
         held[f"d/{r['doc_id'] // 3}.txt"].append((r["doc_id"] % 3, f"{r['doc_id']}:{r['text']}\n"))
     want = {path: ("".join(c for _, c in sorted(parts)), len(parts)) for path, parts in held.items()}
-    got = {r["path"]: (r["content"], r["n_workers"]) for r in catalogue.QUERIES["merge_worker_outputs_whole"](spark, SF).collect()}
+    got = {r["path"]: (r["content"], r["n_workers"]) for r in catalogue.QUERIES["merge_worker_outputs"](spark, SF).collect()}
     assert got == want
     assert max(len(c) for c, _ in want.values()) > 3 * 32
 
