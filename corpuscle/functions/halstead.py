@@ -28,8 +28,13 @@ RUN = r"[\p{L}\p{N}_]+"
 BEFORE, AFTER = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 IDENTIFIER = "^[A-Za-z_][A-Za-z0-9_]*$"
 NUMBER = r"\b[0-9]+(?:\.[0-9]+)?\b"
+#: NUMBER with letters and digits of any script as parts of words; it looks around at digits only.
+NUMBER_JAVA = r"(?=[0-9])(?<![\p{L}\p{N}_])[0-9]+(?:\.[0-9]+)?(?![\p{L}\p{N}_])"
 LITERALS = [('""', "string_literal"), ("''", "char_literal")]
 
+#: Runs without a sign of an operator or a literal; one space for each leaves a short text with the same counts of signs.
+OTHER = r"""[^-+*/%=!<>&|^~?:;,(){}\[\]"']+"""
+
 COUNTS = ["n1_distinct", "n1_total", "n2_distinct", "n2_total"]
 
 
@@ -40,8 +45,8 @@ def clean_code(code: Column) -> Column:
 
 
 def _occurrences(text: Column, literal: str) -> Column:
-    cut = F.length(F.replace(text, F.lit(literal), F.lit("")))
-    return ((F.length(text) - cut) / len(literal)).cast("int")
+    cut = F.octet_length(F.replace(text, F.lit(literal), F.lit("")))  # literals are ASCII, and a count of bytes is at hand
+    return ((F.octet_length(text) - cut) / len(literal)).cast("int")
 
 
 def with_counts(df: DataFrame, code: str) -> DataFrame:
@@ -49,13 +54,14 @@ def with_counts(df: DataFrame, code: str) -> DataFrame:
     step is a column of its own, and the counts come out of a generator, below which no later filter is pushed, so no
     expression is evaluated twice."""
     words = df.withColumn("_clean", clean_code(F.nullif(F.col(code), F.lit(""))))
+    words = words.withColumn("_signs", F.regexp_replace("_clean", OTHER, " "))
     words = words.select(
         "*", F.regexp_extract_all("_clean", F.lit(f"{BEFORE}[A-Za-z_][A-Za-z0-9_]*{AFTER}"), 0).alias("_words"),
-        F.regexp_extract_all(F.regexp_replace("_clean", r"[\p{L}_]", "z"), F.lit(NUMBER), 0).alias("_numbers"),
-        F.regexp_count("_clean", F.lit(f"{BEFORE}(?:{'|'.join(KEYWORDS)}){AFTER}")).alias("_keywords"),
-        F.array(*(_occurrences(F.col("_clean"), op) for op in OPERATORS)).alias("_ops"),
-        F.array(*(_occurrences(F.col("_clean"), lit) for lit, _ in LITERALS)).alias("_literals"),
+        F.regexp_extract_all("_clean", F.lit(NUMBER_JAVA), 0).alias("_numbers"),
+        F.array(*(_occurrences(F.col("_signs"), op) for op in OPERATORS)).alias("_ops"),
+        F.array(*(_occurrences(F.col("_signs"), lit) for lit, _ in LITERALS)).alias("_literals"),
     )
+    words = words.withColumn("_keywords", F.size(F.filter("_words", lambda w: w.isin(KEYWORDS))))
     keywords = F.array(*(F.lit(k) for k in KEYWORDS))
     n1 = F.size(F.filter("_ops", lambda x: x > 0)) + F.size(F.array_intersect("_words", keywords))
     total1 = F.aggregate("_ops", F.lit(0), lambda a, x: a + x) + F.col("_keywords")
