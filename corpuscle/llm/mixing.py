@@ -48,10 +48,10 @@ def _running(rows: DataFrame, order: list[str], sums: list[str], root: str) -> t
     dealt = _base.written(dealt, root)
     parts = {r["part"]: r for r in dealt.groupBy("part").agg(*(F.sum(c).alias(c) for c in sums)).collect()}  # one row a range
     starts, total = [], dict.fromkeys(sums, 0.0)
-    for part in sorted(parts):
-        starts.append((part, *total.values()))
-        total = {c: total[c] + parts[part][c] for c in sums}
-    begin = rows.sparkSession.createDataFrame(starts, ", ".join(["part int", *(f"start_{c} double" for c in sums)]))
+    for part in sorted(parts) or [-1]:
+        starts.append(F.struct(F.lit(part).alias("part"), *(F.lit(float(total[c])).alias(f"start_{c}") for c in sums)))
+        total = {c: total[c] + parts[part][c] for c in sums} if parts else total
+    begin = rows.sparkSession.range(1).select(F.inline(F.array(*starts)))  # literals: a table made from Python rows would need Python workers
     own = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     within = dealt.select("*", *(F.coalesce(F.sum(c).over(own), F.lit(0.0)).alias(f"before_{c}") for c in sums))
     out = within.join(F.broadcast(begin), "part")  # one row a range

@@ -132,7 +132,6 @@ def fitting(sizes: list[tuple[int, int, int]], most: int) -> list[int]:
 
 def learn(docs: DataFrame, labels: DataFrame, bound: int = TRAIN, most: int = TRAIN_BYTES) -> Model:
     """A model of labelled rows outside the held-out fold."""
-    spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     known = known.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (fold(F.col("doc_id"), FOLDS) != HELD_OUT))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other").drop("other")
@@ -141,8 +140,8 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = TRAIN, most: int = TR
     rows = _base.texts(docs).join(F.broadcast(picked), "doc_id")
 
     sizes = rows.where("half = 0").groupBy("doc_id", "quality").agg(F.sum(F.octet_length("text")).alias("n")).collect()  # about bound rows
-    ids = spark.createDataFrame([(i,) for i in fitting([tuple(r) for r in sizes], most)], "doc_id long")
-    found = rows.where("half = 0").join(F.broadcast(ids), "doc_id").select("doc_id", "quality", "text").collect()  # 2 * most bytes
+    ids = fitting([tuple(r) for r in sizes], most)
+    found = rows.where((F.col("half") == 0) & F.col("doc_id").isin(ids)).select("doc_id", "quality", "text").collect()  # 2 * most bytes
     samples: dict[int, list[bytes]] = {0: [], 1: []}
     for r in sorted(found, key=lambda r: (_order(r["doc_id"]), r["text"])):
         samples[r["quality"]] += pieces(r["text"].encode("utf-8", "surrogatepass"))
