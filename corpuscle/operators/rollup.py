@@ -70,7 +70,10 @@ def first_values(stats: DataFrame, keys: list[str], limits: dict[str, int]) -> D
     """Rows within the first values of some columns, each within those before it in `keys`; for displays that show a few."""
     out = stats
     for i, key in enumerate(keys):
-        if key in limits:
-            rank = F.dense_rank().over(Window.partitionBy(*[F.lit(0), *keys[:i]]).orderBy(key))
+        if key in limits and not i:
+            first = out.select(key).distinct().orderBy(key).limit(limits[key])
+            out = out.join(F.broadcast(first), key, "left_semi")  # limits[key] rows
+        elif key in limits:
+            rank = F.dense_rank().over(Window.partitionBy(*keys[:i]).orderBy(key))
             out = out.withColumn("_rank", rank).where(F.col("_rank") <= limits[key]).drop("_rank")
     return out

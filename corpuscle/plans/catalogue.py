@@ -675,9 +675,9 @@ def map_from_json_array(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT iteration, model, ir, opt, category, subcategory, file FROM {_sql_compile()}")
 def organised_tree(spark: SparkSession, sf: str) -> DataFrame:
-    """Labels below folders of their configuration, read back."""
-    levels = ["iteration", *rollup.CONFIG, *rollup.LABEL]
-    rows, path = _compile_labels(spark, sf).select(*levels, "file"), f"{scratch(spark)}/tree"
+    """Labels below folders of iteration, category and subcategory, read back."""
+    levels = ["iteration", *rollup.LABEL]
+    rows, path = _compile_labels(spark, sf).select(*levels, *rollup.CONFIG, "file"), f"{scratch(spark)}/tree"
     sinks.write_tree(rows, path, levels)
     return spark.read.schema(rows.schema).parquet(path).select(*rows.columns)
 
@@ -736,7 +736,7 @@ def function_listings(spark: SparkSession, sf: str) -> DataFrame:
     return disassembly.listing(blocks)
 
 
-@query("""SELECT url, left(url, length(url) - length(ext)) || '_m' || '_response' || ext AS path FROM (SELECT url, regexp_extract(url, '[^/](\.[^./]*)$', 1) AS ext FROM pages)""")
+@query("""SELECT url, left(url, length(url) - length(ext)) || '_m' || '_response' || ext AS path FROM (SELECT url, regexp_extract(url, '[^/]([.][^./]*)$', 1) AS ext FROM pages)""")
 def legacy_paths(spark: SparkSession, sf: str) -> DataFrame:
     return v.read(spark, sf, "pages").select("url", text.legacy_path(F.col("url"), F.lit("m")).alias("path"))
 
