@@ -59,7 +59,8 @@ def write_label_files(labelled: DataFrame, path: str, levels: list[str], name: s
 
 def write_tree(labelled: DataFrame, path: str, levels: list[str]) -> None:
     """Rows below folders of the levels, for trees of any size; what was there before goes."""
-    labelled.repartition(*levels).write.mode("overwrite").partitionBy(*levels).parquet(path)  # one writer a folder
+    dealt = labelled.hint("rebalance", *levels)  # few writers a folder; adaptive execution splits a folder with very many rows
+    dealt.write.mode("overwrite").partitionBy(*levels).parquet(path)
 
 
 def error_log(head: list[str], errors: DataFrame, counts: dict[str, Column], trailer: list[str]) -> DataFrame:
