@@ -3,8 +3,8 @@
 A rolling (gear) hash over the bytes cuts a text into chunks of about CHUNK bytes at places that depend on the content only, so
 that a passage which many documents share falls into the same chunks in each. Chunks that occur more than once anywhere are
 encoded once for all documents: one pass over the texts gives the digests of their chunks, which are counted; a second sends on
-one copy of each shared chunk, which is encoded and written; then each text meets the ids of its shared chunks, and encodes the
-others itself.
+one copy of each shared chunk, which is encoded and written; then each text meets the ids of its shared chunks, and encodes what
+stands between them itself.
 
 What stands at a chunk's ends can encode differently next to other text. A chunk's ids are therefore kept from its first to its
 last inner unit, where units are cut at spaces before non-spaces, and the join of two chunks is repaired: the text from the last
@@ -31,6 +31,7 @@ from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -201,7 +202,22 @@ class Encoder:
         fits = len(got) >= a + b and (not a or got[:a] == left.ids[-a:]) and (not b or got[-b:] == right.ids[:b])
         return got[a : len(got) - b] if fits else None
 
-    def encode_chunked(self, text: str, known: dict[bytes, Coded | None] | None = None) -> bytes:
+    def parts(self, text: str, known: dict[bytes, Coded] | None) -> Iterator[tuple[bytes, Coded | None]]:
+        """The chunks that are known, and what stands between them, coded by itself: a text without known chunks is one part."""
+        raw, run = text.encode("utf-8", "surrogatepass"), []
+        for part in chunks(raw) if known else [raw]:
+            found = known.get(digest(part)) if known else None
+            if found is None:
+                run.append(part)
+                continue
+            if run:
+                yield (own := b"".join(run)), self.chunk(own)
+                run = []
+            yield part, found
+        if run:
+            yield (own := b"".join(run)), self.chunk(own)
+
+    def encode_chunked(self, text: str, known: dict[bytes, Coded] | None = None) -> bytes:
         """Ids by chunks, those in `known` (by digest) as they are, and repaired joins."""
         if not text:
             return b""
@@ -209,13 +225,10 @@ class Encoder:
             return self.library(text)
         held: list[tuple[bytes, bytes, Coded, bytes]] = []  # what stands before a chunk and its ids, the chunk, its bytes
         gap = b""
-        for raw in [*chunks(text.encode("utf-8", "surrogatepass")), None]:
-            right = None
-            if raw is not None:
-                right = known[d] if known and (d := digest(raw)) in known else self.chunk(raw)
-                if right is None:
-                    gap += raw
-                    continue
+        for raw, right in chain(self.parts(text, known), [(None, None)]):
+            if raw is not None and right is None:
+                gap += raw
+                continue
             got = self.join(held[-1][2] if held else None, gap.decode("utf-8", "surrogatepass"), right)
             while got is None:  # the window takes in both chunks
                 if right:

@@ -42,8 +42,12 @@ def test_units_equal_the_library(text):
 def test_chunks_of_long_texts_equal_the_library(parts, times):
     own = bpe.encoder(bpe.default_vocabulary())
     text = ("".join(parts) * times).encode("utf-8", "ignore").decode()
-    assert b"".join(bpe.chunks(text.encode())) == text.encode()
-    assert ids_of(own, own.encode_chunked(text)) == own.tok.encode(text, add_special_tokens=False).ids
+    cut = bpe.chunks(text.encode())
+    assert b"".join(cut) == text.encode()
+    want = own.tok.encode(text, add_special_tokens=False).ids
+    every = {bpe.digest(c): found for c in cut if (found := own.chunk(c))}
+    for known in (None, every, dict(list(every.items())[::2]), dict(list(every.items())[:1])):
+        assert ids_of(own, own.encode_chunked(text, known)) == want
 
 
 def test_shared_passages_share_chunks():
