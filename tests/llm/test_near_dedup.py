@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -66,6 +67,23 @@ def test_query_equals_brute_force(spark, folder):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize(("small", "share", "heavy"), [(1, 2, 8), (10**6, 512, 1000)])
+def test_buckets_of_any_size_follow_one_rule(spark, folder, monkeypatch, small, share, heavy):
+    """All buckets taken as large ones, with shared elements split and broadcast, or all as small ones: the same components."""
+    monkeypatch.setattr(nd, "SMALL", small)
+    monkeypatch.setattr(nd, "SHARE", share)
+    monkeypatch.setattr(nd._base, "HEAVY", heavy)
+    rng = random.Random(8)
+    vocabulary = [f"v{i}" for i in range(300)]
+    words = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    passage = words(80)
+    texts = [*near_copies(rng, words(120), 25, 12), *(" ".join(passage + words(rng.randint(10, 60))) for _ in range(25))]
+    for _ in range(12):
+        texts += near_copies(rng, words(rng.randint(4, 90)), rng.randint(1, 4), 5)
+    rows = list(enumerate(texts))
+    assert {tuple(r) for r in nd.op2(spark, folder(rows)).collect()} == brute(rows)
+
+
 def test_repeated_rows_and_empty_table(spark, folder):
     rows = [(3, "a b c d e"), (3, "a b c d e"), (7, "a b c d e")]
     assert sorted(map(tuple, nd.op2(spark, folder(rows)).collect())) == [(3, 2, 3, True), (3, 2, 3, True), (7, 2, 3, False)]
