@@ -34,6 +34,8 @@ PIECE = 256
 #: Labelled rows of each class that are learned from, about, and bytes of those for a dictionary, at most.
 TRAIN, TRAIN_BYTES = 4000, 16 << 20
 DICTIONARY = 112 << 10
+#: Bytes of a segment that the dictionary trainer picks.
+SEGMENT = 50
 LEVEL = 3
 #: Rows with this remainder of crc32(doc_id as text) modulo 4 are never learned from.
 FOLDS, HELD_OUT = 4, 2
@@ -89,7 +91,7 @@ def _dictionary(samples: list[bytes]) -> bytes:
     import zstandard
 
     try:
-        return zstandard.train_dictionary(DICTIONARY, samples).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY, samples, k=SEGMENT, d=8).as_bytes()
     except zstandard.ZstdError:  # too few samples to train: their own bytes
         return b"".join(samples)[:DICTIONARY]
 
