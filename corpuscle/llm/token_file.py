@@ -273,8 +273,8 @@ def read_tokens(blocks: DataFrame) -> DataFrame:
         for b in batches:
             for r in b.to_pylist():
                 block, sizes = Block(r["block"]), np.frombuffer(r["lengths"], "<i8")
-                ends = np.cumsum(sizes)
-                crcs = [zlib.crc32(block.read(int(e - n), int(e)).tobytes()) for n, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
+                ends, ids = np.cumsum(sizes), block.read(0, len(block))  # all of it is wanted here, so its levels are put together once
+                crcs = [zlib.crc32(ids[e - n : e]) for n, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
                 starts = begins[r["shard"]] + r["start"] + ends - sizes
                 yield pa.RecordBatch.from_arrays([pa.array(docs := np.frombuffer(r["doc_ids"], "<i8"), mask=docs == NONE), pa.array(starts), pa.array(sizes), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
