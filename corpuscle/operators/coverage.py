@@ -11,6 +11,11 @@ from corpuscle.operators.distribution import global_index
 OPT_LEVELS = ["O0", "O1", "O2", "O3"]
 REPRESENTATIONS = ["asm", "hlil", "llil", "mlil"]
 
+# Messages of lines that can't be built.
+UNREADABLE = "Error parsing JSON at line %s: %s"
+NO_ID = "Line %s: 'id' field not found"
+NO_DEFINITION = "Line %s (ID=%s): func_def not found"
+
 
 def usable(functions: DataFrame, files: DataFrame) -> DataFrame:
     """Functions whose address has a file."""
@@ -93,11 +98,10 @@ def funnel(lines: DataFrame, levels: list[str] = OPT_LEVELS) -> DataFrame:
     """Corpus lines × levels with their outcome. lines: line_num, id, func_def, fault (why a line could not be read, or null). A
     line that can't be read, or lacks an id or a definition, is one row with no level and its message; other lines are a row for
     each level, not yet compiled."""
-    place = F.col("line_num").cast("string")
+    line, own = F.col("line_num").cast("string"), F.col("id").cast("string")
     message = (
-        F.when(F.col("fault").isNotNull(), F.concat(F.lit("Error parsing JSON at line "), place, F.lit(": "), F.col("fault")))
-        .when(F.col("id").isNull(), F.concat(F.lit("Line "), place, F.lit(": 'id' field not found")))
-        .when(F.coalesce("func_def", F.lit("")) == "", F.concat(F.lit("Line "), place, F.lit(" (ID="), F.col("id").cast("string"), F.lit("): func_def not found")))
+        F.when(F.col("fault").isNotNull(), F.format_string(UNREADABLE, line, "fault")).when(F.col("id").isNull(), F.format_string(NO_ID, line))
+        .when(F.coalesce("func_def", F.lit("")) == "", F.format_string(NO_DEFINITION, line, own))
     )
     told = lines.withColumn("message", message)
     every = F.when(F.col("message").isNull(), F.array(*(F.lit(x) for x in levels))).otherwise(F.array(F.lit(None).cast("string")))

@@ -312,6 +312,7 @@ def level_accounting(spark: SparkSession, sf: str) -> DataFrame:
     return coverage.level_counts(_funnel(spark, sf))
 
 
+# Lines around the messages of an error log.
 _LOG_HEAD = ["File processed: documents", "Optimization levels: O0, O1, O2, O3", ""]
 _LOG_TRAILER = [
     "", "=== Summary ===", "Total function compilations attempted: %(attempted)d", "Total compilations successful: %(compiled)d", "Total compilation errors: %(errors)d", "",
