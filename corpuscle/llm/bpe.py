@@ -51,10 +51,10 @@ SEEN = 1 << 16
 
 SAFE = re.compile(r" (?=\S)")
 #: White space other than the space and the four common ones, as Python sees it.
-ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Signs that are a pre-token of their own after a word.
 SIGNS = frozenset(".,;:!?|")
-FAR = re.compile("[^\x00-ɏ]")
+FAR = re.compile("[^\x00-\u024f]")
 
 
 def default_vocabulary() -> str:
