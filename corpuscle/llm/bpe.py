@@ -13,7 +13,7 @@ chunk has for its unit and ends with those of the other. If not, the window grow
 until both sides agree, at last over the whole text. Texts that name a special token, and units with characters above U+024F (whose class may differ
 between regex engines), go to the tokenizer as they are.
 
-Memory: a worker remembers the ids of units in two bounded generations. Scale: digests of 16 bytes a chunk are shuffled, then the
+Memory: a worker remembers the ids of a bounded number of units. Scale: digests of 16 bytes a chunk are shuffled, then the
 shared chunks (once a task), their ids, and the texts that have some, which a broadcast filter of at most sieve.MOST bits finds;
 the other texts are encoded where they are read. A chunk that very many texts have is broadcast with its ids (_base.attach).
 
@@ -44,8 +44,8 @@ from corpuscle.llm import _base, sieve
 CHUNK, LEAST = 1024, 256
 #: Bytes of a chunk that is worth sharing, at least.
 WORTH = 128
-#: Entries of a generation of units.
-UNITS = 100_000
+#: Units whose ids a worker remembers.
+UNITS = 200_000
 #: Digests that a task remembers to send a chunk once.
 SEEN = 1 << 16
 
@@ -88,20 +88,24 @@ CODED = "head string, first string, last string, tail string, ids binary, n_firs
 
 
 class Units(dict):
-    """Ids (as little-endian bytes) of " " + unit by unit."""
+    """Ids (as little-endian bytes) of " " + unit by unit. The first units that come stay, as common ones come early; after STALE times
+    as many as it holds were not among them, the store starts anew."""
+
+    STALE = 4
 
     def __init__(self, encoder: Encoder):
         super().__init__()
-        self.encoder, self.old = encoder, {}
+        self.encoder, self.lost = encoder, 0
 
     def __missing__(self, unit: str) -> bytes:
-        found = self.old.get(unit)
-        if found is None:
-            found = self.encoder.unit(unit)
-        if len(self) >= self.encoder.most:
-            self.old = dict(self)
-            self.clear()
-        self[unit] = found
+        found = self.encoder.unit(unit)
+        if len(self) < self.encoder.most:
+            self[unit] = found
+        else:
+            self.lost += 1
+            if self.lost >= self.STALE * self.encoder.most:
+                self.clear()
+                self.lost = 0
         return found
 
 

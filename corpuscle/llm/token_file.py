@@ -35,8 +35,8 @@ from corpuscle.llm import _base, bpe
 #: Ids of a block; a document is never split, so a longer one makes a longer block.
 BLOCK = 1 << 18
 END_ID = 0
-#: Entries of a generation of the encoder's store; no chunks are kept here, so there is room for more.
-UNITS = 400_000
+#: Units that the encoder remembers; nothing else is kept here, so there is room for more.
+UNITS = 800_000
 MAGIC = b"DAC1"
 #: Bits between entries of a rank directory.
 RANK = 512

@@ -50,6 +50,14 @@ def test_chunks_of_long_texts_equal_the_library(parts, times):
         assert ids_of(own, own.encode_chunked(text, known)) == want
 
 
+def test_a_full_store_changes_nothing():
+    own, few = bpe.encoder(bpe.default_vocabulary()), bpe.Encoder(bpe.default_vocabulary(), 3)
+    for k in range(40):
+        text = " ".join(f"w{(i * k) % 17}x{'abc'[i % 3]}," for i in range(30))
+        assert few.encode(text) == own.encode(text) == few.encode_chunked(text)
+        assert len(few.units) <= 3
+
+
 def test_shared_passages_share_chunks():
     rng = np.random.default_rng(0)
     words = lambda n: " ".join("".join(map(chr, rng.integers(97, 123, 6))) for _ in range(n))
