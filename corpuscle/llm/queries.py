@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpuscle.llm import bpe, decontamination, exact_dedup, languages, licenses, mixing, near_dedup, periodic_runs, quality, secrets, token_file, transport_stream
+from corpuscle.llm import alignment, bpe, decontamination, exact_dedup, languages, licenses, mixing, near_dedup, periodic_runs, quality, secrets, token_file, transport_stream
 
 QUERIES = {
     "op1_secret_scan": secrets.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_transport_stream": transport_stream.op8,
     "op9_addressable_token_file": token_file.op9,
     "op10_bpe_chunk_reuse": bpe.op10,
+    "op11_token_alignment": alignment.op11,
     "op12_suffix_automaton": decontamination.op12,
     "op13_periodic_runs": periodic_runs.op13,
 }
