@@ -5,15 +5,15 @@ space) and mapped to the identifier of a known licence sentence. The identifiers
 ordered rules of the licences: a rule holds where its identifiers occur in order, other known sentences between them
 allowed. The text is cut in two ways, as licences come wrapped or not: every line end is a break, or only blank lines are.
 
-Rules are of two kinds: phrases that name a licence (made from names and phrases), and the sentences of notices and of whole
-licence texts in their order.
+Rules are of two kinds: phrases that name a licence (made from names and phrases), and the sentences of notices and of excerpts
+of licence texts in their order. Of short licences all sentences are known, and whether a text has them all is told beside.
 
 Only DataFrame functions run on the main path, in one pass without shuffle; the tables of sentences and rules are literals.
 Whether a sentence is a known one is asked of a hash set, so the table may be long.
 
 Defined results: null and empty texts have no sentences and no licences (empty strings); repeated sentences repeat their
 identifier; rows that repeat are repeated, and a null doc_id is one like any other; a text of any length is one row; U+0001 in a
-text ends a sentence; an empty table gives an empty result; other columns are ignored.
+text ends a sentence; a text of signs alone, or with a million known sentences or none that ends, takes linear time; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -133,8 +133,8 @@ RULES: dict[str, list[list[str]]] = {
     "All-Rights-Reserved": [["All rights reserved"]],
 }
 
-# Sentences of whole licence texts, in their order.
-TEXTS: dict[str, list[str]] = {
+# Excerpts of licence texts, sentences that stand in this order and tell one licence from another.
+EXCERPTS: dict[str, list[str]] = {
     "MIT": [
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
@@ -197,11 +197,65 @@ TEXTS: dict[str, list[str]] = {
     ],
     "WTFPL": ["DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE", "You just DO WHAT THE FUCK YOU WANT TO"],
 }
-for _name in [*NAMES, *TEXTS]:
+
+# All sentences of short licences, from the grant to the end, in their order.
+WHOLE: dict[str, list[str]] = {
+    "MIT": [
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT',
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE",
+    ],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS',
+        "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE",
+    ],
+    "BSD-2-Clause": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED',
+        "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE",
+    ],
+    "Zlib": [
+        "This software is provided 'as-is', without any express or implied warranty",
+        "In no event will the authors be held liable for any damages arising from the use of this software",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+        "The origin of this software must not be misrepresented; you must not claim that you wrote the original software",
+        "If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required",
+        "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software",
+        "This notice may not be removed or altered from any source distribution",
+    ],
+    "BSL-1.0": [
+        'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:',
+        "The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT',
+        "IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE",
+    ],
+    "Unlicense": [
+        "This is free and unencumbered software released into the public domain",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means",
+        "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain",
+        "We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors",
+        "We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT',
+        "IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE",
+    ],
+    "WTFPL": [
+        "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE",
+        "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed",
+        "TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION",
+        "You just DO WHAT THE FUCK YOU WANT TO",
+    ],
+}
+WHOLE["BSD-3-Clause"] = [*WHOLE["BSD-2-Clause"][:3], "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", *WHOLE["BSD-2-Clause"][3:]]
+
+for _name in [*NAMES, *EXCERPTS]:
     RULES.setdefault(_name, [])
 for _name, _own in NAMES.items():
     RULES[_name] += [[f"SPDX-License-Identifier: {_name}"], *([p.format(n)] for n in _own for p in (*PHRASES, *BARE))]
-for _name, _text in TEXTS.items():
+for _name, _text in EXCERPTS.items():
     RULES[_name].append(_text)
 
 #: Marks a break between sentences.
@@ -211,7 +265,8 @@ LINES = r"[.!?]+[ \t\r]*\n|[.!?]+[ \t\r]+|\n"
 FLOW = r"[.!?]+[ \t\r]*\n|[.!?]+[ \t\r]+|\n[ \t\r]*\n"
 #: In lower-cased text capitals are free: one stands for a break of FLOW, one for a line end. FLOW again, as Java finds it faster.
 BREAK, LINE = "Z", "Y"
-FLOW_JAVA = r"[.!?]+(?:[ \t\r]+\n?|\n)|\n[ \t\r]*\n"
+#: A run of signs is tried once, at its first sign, so a text of any signs takes linear time.
+FLOW_JAVA = r"(?<![.!?])[.!?]++(?:[ \t\r]+\n?|\n)|\n[ \t\r]*\n"
 
 
 def normalise(sentence: str) -> str:
@@ -224,17 +279,31 @@ def _pieces(sentence: str) -> list[str]:
 
 
 #: Known sentences; the identifier is the place, from 1.
-SENTENCES: list[str] = list(dict.fromkeys(p for rules in RULES.values() for rule in rules for s in rule for p in _pieces(s)))
+SENTENCES: list[str] = list(dict.fromkeys(p for rules in (*RULES.values(), list(WHOLE.values())) for rule in rules for s in rule for p in _pieces(s)))
+
+
+def rule_ids(rule: list[str]) -> list[int]:
+    return [SENTENCES.index(p) + 1 for s in rule for p in _pieces(s)]
+
+
+def license_pattern(rules: list[list[str]]) -> str:
+    """For RE2: matches a sequence ",1,5,7," that has the identifiers of one of the rules in order."""
+    return "|".join("(?:,[0-9]+)*".join(f",{i}" for i in rule_ids(r)) + "," for r in rules)
 
 
-def rule_pattern(rule: list[str]) -> str:
-    """Matches a sequence ",1,5,7," that has the rule's identifiers in order."""
-    ids = [SENTENCES.index(p) + 1 for s in rule for p in _pieces(s)]
-    return "(?:,[0-9]+)*".join(f",{i}" for i in ids) + ","
+def holds(ids: Column, rules: list[list[str]]) -> Column:
+    """Whether identifiers in text order have those of one of the rules in order. A rule of several is followed by a fold that counts
+    how many it has met, only where all occur; a regular expression over the identifiers would recurse in Java."""
+    known = [rule_ids(r) for r in rules]
+    out = F.arrays_overlap(ids, F.array(*(F.lit(r[0]).cast("long") for r in known if len(r) == 1)).cast("array<bigint>"))
+    for r in (r for r in known if len(r) > 1):
+        wanted = F.array(*(F.lit(i).cast("long") for i in r))
+        out = out | F.when(F.size(F.array_except(wanted, ids)) == 0, _met(ids, wanted) == len(r)).otherwise(False)
+    return out
 
 
-def license_pattern(name: str) -> str:
-    return "|".join(rule_pattern(r) for r in RULES[name])
+def _met(ids: Column, wanted: Column) -> Column:
+    return F.aggregate(ids, F.lit(0), lambda n, i: F.when(i == F.get(wanted, n), n + 1).otherwise(n))
 
 
 def sentences(text: Column) -> tuple[Column, Column]:
@@ -254,15 +323,16 @@ def _ids(found: Column) -> Column:
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
-    """doc_id, n_sentences, line_ids and flow_ids (identifiers in order) and licenses (names in table order)."""
+    """doc_id, n_sentences, line_ids and flow_ids (identifiers in order), licenses (names in table order), and whole_texts (those of
+    them that stand there with all their sentences)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lines, flow = sentences(text)
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lines.alias("lines"), flow.alias("flow"))
     out = out.select("doc_id", F.size("lines").cast("long").alias("n_sentences"), _ids(F.col("lines")).alias("line_ids"), _ids(F.col("flow")).alias("flow_ids"))
-    whole = lambda c: F.concat(F.lit(","), F.array_join(F.transform(c, lambda i: i.cast("string")), ","), F.lit(","))
-    held = [F.when(whole(F.col("line_ids")).rlike(p) | whole(F.col("flow_ids")).rlike(p), F.lit(n)) for n, p in ((n, license_pattern(n)) for n in RULES)]
+    held = lambda rules: F.array_compact(F.array(*(F.when(holds(F.col("line_ids"), r) | holds(F.col("flow_ids"), r), F.lit(n)) for n, r in rules.items())))
     any_known = (F.size("line_ids") > 0) | (F.size("flow_ids") > 0)
-    return out.select("*", F.when(any_known, F.array_compact(F.array(*held))).otherwise(F.array().cast("array<string>")).alias("licenses"))
+    names = lambda rules: F.when(any_known, held(rules)).otherwise(F.array().cast("array<string>"))
+    return out.select("*", names(RULES).alias("licenses"), names({n: [w] for n, w in WHOLE.items()}).alias("whole_texts"))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,6 +340,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_sentences", F.array_join(F.col("line_ids").cast("array<string>"), ",").alias("line_ids"),
         F.array_join(F.col("flow_ids").cast("array<string>"), ",").alias("flow_ids"), F.array_join("licenses", ",").alias("licenses"), F.size("licenses").cast("long").alias("n_licenses"),
+        F.array_join("whole_texts", ",").alias("whole_texts"),
     )
 
 
@@ -279,12 +350,12 @@ def _oracle() -> str:
     raw = lambda r: q(r)  # noqa: E731  RE2 reads the same escapes
     cut = lambda b: f"list_filter(list_transform(string_split(regexp_replace(regexp_replace(lower(coalesce(text, '')), {raw(b)}, chr(1), 'g'), '[^a-z0-9\\x01]+', ' ', 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: x <> '')"
     ids = lambda c: f"list_filter(list_transform({c}, lambda x: coalesce(list_position({known}, x), 0)), lambda x: x > 0)"
-    held = ", ".join(f"CASE WHEN regexp_matches(',' || line_ids || ',', {raw(p)}) OR regexp_matches(',' || flow_ids || ',', {raw(p)}) THEN {q(n)} END" for n, p in ((n, license_pattern(n)) for n in RULES))
+    held = lambda rules: ", ".join(f"CASE WHEN regexp_matches(',' || line_ids || ',', {raw(p)}) OR regexp_matches(',' || flow_ids || ',', {raw(p)}) THEN {q(n)} END" for n, p in ((n, license_pattern(r)) for n, r in rules.items()))
     return f"""
 WITH s AS (SELECT doc_id, {cut(LINES)} AS l, {cut(FLOW)} AS f FROM documents),
 i AS (SELECT doc_id, len(l) AS n_sentences, array_to_string({ids('l')}, ',') AS line_ids, array_to_string({ids('f')}, ',') AS flow_ids FROM s),
-h AS (SELECT *, list_filter([{held}], lambda x: x IS NOT NULL) AS held FROM i)
-SELECT doc_id, n_sentences, line_ids, flow_ids, array_to_string(held, ',') AS licenses, len(held) AS n_licenses FROM h
+h AS (SELECT *, list_filter([{held(RULES)}], lambda x: x IS NOT NULL) AS held, list_filter([{held({n: [w] for n, w in WHOLE.items()})}], lambda x: x IS NOT NULL) AS whole FROM i)
+SELECT doc_id, n_sentences, line_ids, flow_ids, array_to_string(held, ',') AS licenses, len(held) AS n_licenses, array_to_string(whole, ',') AS whole_texts FROM h
 """
 
 

@@ -191,25 +191,65 @@ def test_licenses(spark, folder):
 
 
 def test_license_texts_and_names(spark, folder):
-    """Each name in each phrase, and each whole text with its sentences wrapped and numbered, is found; sentences out of order are not."""
+    """Each name in each phrase, and each excerpt with its sentences wrapped and numbered, is found; sentences out of order are not."""
     rows, want = [], {}
     for name, own in licenses.NAMES.items():
         for n in own:
             for p in (*licenses.PHRASES, *licenses.BARE):
                 rows.append((len(rows), f"Some words first.\n{p.format(n)}.\nAnd more of them."))
                 want[len(rows) - 1] = name
-    for name, text in licenses.TEXTS.items():
+    for name, text in licenses.EXCERPTS.items():
         wrapped = "\n\n".join(f"{k}. " + re.sub(r"(.{40}\S*) ", r"\1\n   ", x) + ("" if x.endswith(":") else ".") + "\n\nwords between" for k, x in enumerate(text, 1))
         rows += [(len(rows), wrapped), (len(rows) + 1, "\n\n".join(reversed(text)))]
         want[len(rows) - 2] = name
     got = {r["doc_id"]: r["licenses"].split(",") for r in licenses.op6(spark, folder(rows)).collect()}
     assert all(name in got[i] for i, name in want.items())
-    for name, text in licenses.TEXTS.items():
+    for name, text in licenses.EXCERPTS.items():
         if len(text) > 2:
             back = next(i for i, t in rows if t == "\n\n".join(reversed(text)))
             assert name not in got[back]
 
 
+def test_whole_license_texts(spark, folder):
+    """All sentences in order, wrapped and with others between, are a whole text; without any one of them they are not."""
+    rows, want = [], {}
+    for name, text in licenses.WHOLE.items():
+        for k in range(-1, len(text)):
+            left = [x for i, x in enumerate(text) if i != k]
+            rows.append((len(rows), "Copyright someone\n\n" + "\n\n".join(re.sub(r"(.{40}\S*) ", r"\1\n   ", x) + ("" if x.endswith(":") else ".") + "\n\nWords between" for x in left)))
+            want[len(rows) - 1] = (name, k < 0)
+    got = {r["doc_id"]: r["whole_texts"].split(",") for r in licenses.op6(spark, folder(rows)).collect()}
+    assert all((name in got[i]) == whole for i, (name, whole) in want.items())
+
+
+def test_very_long_license_texts(spark, folder):
+    """A million signs, known sentences, line ends, blanks; and a sentence of a million words without an end."""
+    n, notice = 1_000_000, licenses.RULES["MIT"][4]
+    rows = [
+        (1, "." * n + "a"), (2, ".!?" * (n // 3) + " a"), (3, notice[0] + ".\n" + "All rights reserved.\n" * n + notice[1] + "."), (4, "word " * n), (5, "a.\n" + " " * n + "a"), (6, "\n " * n + "Released under the MIT License"),
+        (7, notice[1] + ".\n" + "All rights reserved.\n" * n + notice[0] + "."), (8, ". " * n),
+    ]
+    got = {r["doc_id"]: (r["licenses"], r["n_sentences"]) for r in licenses.op6(spark, folder(rows)).collect()}
+    both = {3: ("MIT,All-Rights-Reserved", n + 2), 7: ("All-Rights-Reserved", n + 2)}
+    assert got == {1: ("", 1), 2: ("", 1), 4: ("", 1), 5: ("", 2), 6: ("MIT", 1), 8: ("", 0)} | both
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.lists(st.integers(1, 4), max_size=12), min_size=1, max_size=40))
+def test_a_rule_is_a_subsequence(spark, cases):
+    from unittest.mock import patch
+
+    from pyspark.sql import functions as F
+
+    rules = [["1"], ["2", "3"], ["3", "1", "3"], ["4", "4", "2", "1"]]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, ids array<long>")
+    with patch.object(licenses, "rule_ids", lambda r: [int(x) for x in r]):
+        for own in (rules[:1], rules[1:2], rules[2:], rules):
+            got = {r["i"]: r["h"] for r in df.select("i", licenses.holds(F.col("ids"), own).alias("h")).collect()}
+            pattern = re.compile(licenses.license_pattern(own))
+            assert got == {i: bool(pattern.search("," + ",".join(map(str, c)) + ",")) for i, c in enumerate(cases)}
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(["a", "B", ".", "!", " ", "\n", "\t", "\r", "-", "_", "\x01", "é", "İ", "\n\n", ".\n", "Released under the MIT License"]), max_size=30).map("".join))
 def test_one_marking_cuts_as_two_do(text):
