@@ -291,19 +291,15 @@ def license_pattern(rules: list[list[str]]) -> str:
     return "|".join("(?:,[0-9]+)*".join(f",{i}" for i in rule_ids(r)) + "," for r in rules)
 
 
-def holds(ids: Column, rules: list[list[str]]) -> Column:
-    """Whether identifiers in text order have those of one of the rules in order. A rule of several is followed by a fold that counts
-    how many it has met, only where all occur; a regular expression over the identifiers would recurse in Java."""
+def holds(ids: str, rules: list[list[str]]) -> str:
+    """Spark SQL: whether the identifiers in column `ids`, in text order, have those of one of the rules in order. A rule of several is
+    followed by a fold that counts how many it has met, only where all occur; a regular expression over the identifiers would recurse in
+    Java. As text, since an expression of some thousand literals is parsed faster than it is put together."""
     known = [rule_ids(r) for r in rules]
-    out = F.arrays_overlap(ids, F.array(*(F.lit(r[0]).cast("long") for r in known if len(r) == 1)).cast("array<bigint>"))
-    for r in (r for r in known if len(r) > 1):
-        wanted = F.array(*(F.lit(i).cast("long") for i in r))
-        out = out | F.when(F.size(F.array_except(wanted, ids)) == 0, _met(ids, wanted) == len(r)).otherwise(False)
-    return out
-
-
-def _met(ids: Column, wanted: Column) -> Column:
-    return F.aggregate(ids, F.lit(0), lambda n, i: F.when(i == F.get(wanted, n), n + 1).otherwise(n))
+    listed = lambda r: f"array({', '.join(f'{i}L' for i in r)})"
+    met = [f"CASE WHEN size(array_except({listed(r)}, {ids})) = 0 THEN aggregate({ids}, 0, (n, i) -> if(i = get({listed(r)}, n), n + 1, n)) = {len(r)} ELSE false END" for r in known if len(r) > 1]
+    ones = [r[0] for r in known if len(r) == 1]
+    return " OR ".join([*([f"arrays_overlap({ids}, {listed(ones)})"] if ones else []), *met])
 
 
 def sentences(text: Column) -> tuple[Column, Column]:
@@ -317,9 +313,10 @@ def sentences(text: Column) -> tuple[Column, Column]:
     return cut(plain, f"[{BREAK}{LINE}]"), cut(F.regexp_replace(plain, f" ?{LINE}[ {LINE}]*", " "), BREAK)
 
 
-def _ids(found: Column) -> Column:
-    known = F.array(*(F.lit(s) for s in SENTENCES))
-    return F.transform(F.filter(found, lambda s: s.isin(SENTENCES)), lambda s: F.array_position(known, s))
+def _ids(found: str) -> Column:
+    """Identifiers of the known sentences in column `found`; these are of a-z, 0-9 and spaces."""
+    known = ", ".join(f"'{s}'" for s in SENTENCES)
+    return F.expr(f"transform(filter({found}, s -> s IN ({known})), s -> array_position(array({known}), s))")
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
@@ -328,10 +325,9 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lines, flow = sentences(text)
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lines.alias("lines"), flow.alias("flow"))
-    out = out.select("doc_id", F.size("lines").cast("long").alias("n_sentences"), _ids(F.col("lines")).alias("line_ids"), _ids(F.col("flow")).alias("flow_ids"))
-    held = lambda rules: F.array_compact(F.array(*(F.when(holds(F.col("line_ids"), r) | holds(F.col("flow_ids"), r), F.lit(n)) for n, r in rules.items())))
-    any_known = (F.size("line_ids") > 0) | (F.size("flow_ids") > 0)
-    names = lambda rules: F.when(any_known, held(rules)).otherwise(F.array().cast("array<string>"))
+    out = out.select("doc_id", F.size("lines").cast("long").alias("n_sentences"), _ids("lines").alias("line_ids"), _ids("flow").alias("flow_ids"))
+    held = lambda rules: ", ".join(f"if({holds('line_ids', r)} OR {holds('flow_ids', r)}, '{n}', null)" for n, r in rules.items())
+    names = lambda rules: F.expr(f"if(size(line_ids) > 0 OR size(flow_ids) > 0, array_compact(array({held(rules)})), cast(array() AS array<string>))")
     return out.select("*", names(RULES).alias("licenses"), names({n: [w] for n, w in WHOLE.items()}).alias("whole_texts"))
 
 
