@@ -54,9 +54,9 @@ def top_combinations(counts: DataFrame, key: str, k: int) -> DataFrame:
 
 def label_shares(counts: DataFrame, labels: DataFrame, k: int) -> DataFrame:
     """The k most common combinations over all, with their files per label: label_share divides files by the labels of all files, as
-    the printed summaries do; counts: combination, n_files."""
+    the printed summaries do. counts: combination, n_files; labels: counts of labels (n_labels)."""
     top = counts.orderBy(F.desc("n_files"), "combination").limit(k)
-    return top.crossJoin(labels.agg(F.count("*").alias("total_labels"))).withColumn("label_share", F.col("n_files") / F.col("total_labels"))  # one row
+    return top.crossJoin(labels.agg(F.coalesce(F.sum("n_labels"), F.lit(0)).alias("total_labels"))).withColumn("label_share", F.col("n_files") / F.col("total_labels"))  # one row
 
 
 def top_category(counts: DataFrame, keys: list[str]) -> DataFrame:

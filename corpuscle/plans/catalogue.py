@@ -9,28 +9,17 @@ from pyspark.sql import functions as F
 
 from corpuscle.functions import halstead, taxonomy, text
 from corpuscle.operators import asm_filter, batch, coverage, distribution, rollup, sampling, verify
+from corpuscle.plans import files, states  # noqa: F401  they register queries too
 from corpuscle.plans import views as v
+from corpuscle.plans.labels import CONFIG_STATS as _CONFIG_STATS
+from corpuscle.plans.labels import compile_labels as _compile_labels
+from corpuscle.plans.labels import sql_compile as _sql_compile
+from corpuscle.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401  the entry takes them from here
 from corpuscle.sources import disassembly, readers, sinks
 from corpuscle.sources.readers import parse_log_lines
 from corpuscle.sources.shared import scratch
 from corpuscle.streaming import ingest
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):  # noqa: ANN201
-    """Registers a query under its name, with its SQL."""
-
-    def keep(f):  # noqa: ANN001, ANN202
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = v.sql(sql)
-        return f
-
-    return keep
-
-
 # complexity, buckets, samples
 
 _COUNTS = halstead.sql_counts("v_functions", "id", "func_def")
@@ -97,20 +86,6 @@ def stratified_sample_exact(spark: SparkSession, sf: str) -> DataFrame:
 # taxonomies
 
 
-def _compile_labels(spark: SparkSession, sf: str, version: str = "detailed") -> DataFrame:
-    files = taxonomy.with_labels(v.compile_errors(spark, sf), "content", taxonomy.COMPILE[version]).drop("content")
-    return rollup.explode_labels(files, F.col("found")).drop("found")
-
-
-def _sql_compile(version: str = "detailed") -> str:
-    return f"(SELECT * EXCLUDE (content, l), l.category AS category, l.subcategory AS subcategory FROM (SELECT *, unnest({taxonomy.sql_labels('content', taxonomy.COMPILE[version])}) AS l FROM v_compile_errors))"
-
-
-_CONFIG_STATS = """SELECT *, sum(n_labels) OVER (PARTITION BY {keys})::BIGINT AS total_labels, sum(n_labels) OVER (PARTITION BY {keys}, category)::BIGINT AS n_category,
-sum(n_labels) OVER (PARTITION BY {keys}, category) / sum(n_labels) OVER (PARTITION BY {keys}) AS category_share, n_labels / sum(n_labels) OVER (PARTITION BY {keys}, category) AS share_of_category
-FROM (SELECT {keys}, category, subcategory, count(*) AS n_labels FROM {rows} GROUP BY ALL)"""
-
-
 @query(f"SELECT file, category, subcategory FROM {_sql_compile()}")
 def compile_taxonomy_labels(spark: SparkSession, sf: str) -> DataFrame:
     return _compile_labels(spark, sf).select("file", "category", "subcategory")
@@ -176,8 +151,8 @@ def exec_failure_type_by_config(spark: SparkSession, sf: str) -> DataFrame:
 FROM {_EXEC} WHERE found IS NOT NULL GROUP BY ALL ORDER BY n_files DESC, combination LIMIT 10), (SELECT count(*) AS total_labels FROM {_EXEC_ROWS})""")
 def exec_combination_label_shares(spark: SparkSession, sf: str) -> DataFrame:
     files = _exec(spark, sf)
-    labels = rollup.label_counts(rollup.explode_labels(files, F.col("found")), []).select(F.explode(F.sequence(F.lit(1), F.col("n_labels"))))
-    return rollup.label_shares(rollup.combinations(files, F.col("found"), []), labels, 10)
+    counts = rollup.label_counts(rollup.explode_labels(files, F.col("found")), [])
+    return rollup.label_shares(rollup.combinations(files, F.col("found"), []), counts, 10)
 
 
 _COMBOS = f"""(SELECT failure_type, array_to_string(list_sort(list_transform(found, lambda x: x.category || ':' || x.subcategory)), ',') AS combination, count(*) AS n_files
@@ -623,57 +598,6 @@ def last_of_each_id(spark: SparkSession, sf: str) -> DataFrame:
     return readers.last_by(rows, "id", "line_num").select("id", "func_def")
 
 
-_NATION_FILES = {
-    "tree": "concat('iteration_', 1 + n_nationkey % 5, '/m', n_nationkey % 3, '/', element_at(array('asm', 'llil'), cast(1 + n_nationkey % 2 as int)), '/O', n_nationkey % 4, '/', n_nationkey, if(n_nationkey % 6 = 5, '.other', '.error'))",
-    "numeric": "concat('a/', if(n_nationkey % 3 = 0, 'x', '00'), n_nationkey, '.c')",
-    "forms": "concat('b', n_regionkey, '/', n_nationkey, '.', element_at(array('asm', 'LLIL', 'mlil', 'Hlil', 'c', 'txt'), cast(1 + n_nationkey % 6 as int)))",
-    "logs": "concat('w', n_regionkey, '/0x', n_nationkey, if(n_nationkey % 4 = 0, '.txt', '.log'))",
-    "errors": "concat(n_nationkey, '.error')",
-}
-
-
-def _nation_files(spark: SparkSession, sf: str, kind: str, content: Column | None = None) -> str:
-    """A folder with a file for each nation, its name as content."""
-    root = f"{scratch(spark)}/{kind}"
-    named = v.read(spark, sf, "nation").select(F.expr(_NATION_FILES[kind]).alias("path"), (F.col("n_name") if content is None else content).alias("content"))
-    sinks.write_files(named, root)
-    return root
-
-
-@query("""SELECT 'iteration_' || (1 + n_nationkey % 5) AS iteration, 'm' || n_nationkey % 3 AS model, ['asm', 'llil'][n_nationkey % 2 + 1] AS ir, 'O' || n_nationkey % 4 AS opt, n_nationkey || '.error' AS file, n_name AS content
-FROM nation WHERE n_nationkey % 6 <> 5""")
-def tree_scan(spark: SparkSession, sf: str) -> DataFrame:
-    return readers.read_tree(spark, _nation_files(spark, sf, "tree"), ".error")
-
-
-@query("SELECT n_nationkey::BIGINT AS id, n_name AS content FROM nation WHERE n_nationkey % 3 <> 0")
-def numeric_files(spark: SparkSession, sf: str) -> DataFrame:
-    return readers.read_numeric_files(spark, _nation_files(spark, sf, "numeric"), ".c").select("id", "content")
-
-
-@query("SELECT ['asm', 'llil', 'mlil', 'hlil'][n_nationkey % 6 + 1] AS ir, n_name AS content FROM nation WHERE n_nationkey % 6 < 4")
-def representation_files(spark: SparkSession, sf: str) -> DataFrame:
-    return readers.read_representations(spark, _nation_files(spark, sf, "forms")).select("ir", "content")
-
-
-@query("SELECT '0x' || n_nationkey AS identifier, n_name AS content FROM nation WHERE n_nationkey % 4 <> 0")
-def log_files(spark: SparkSession, sf: str) -> DataFrame:
-    return readers.read_logs(spark, _nation_files(spark, sf, "logs"))
-
-
-@query("SELECT '0x' || n_nationkey || CASE WHEN n_nationkey % 4 = 0 THEN '.txt' ELSE '.log' END AS file, strlen(n_name)::BIGINT AS length FROM nation")
-def binary_listing(spark: SparkSession, sf: str) -> DataFrame:
-    return readers.list_binaries(spark, _nation_files(spark, sf, "logs")).select(F.regexp_extract("path", "([^/]*)$", 1).alias("file"), "length")
-
-
-@query("SELECT n_name AS name, '0x' || lower(to_hex(n_nationkey)) AS addr FROM nation")
-def map_from_json_array(spark: SparkSession, sf: str) -> DataFrame:
-    entries = v.read(spark, sf, "nation").select(F.col("n_name").alias("name"), F.concat(F.lit("0x"), F.lower(F.hex("n_nationkey"))).alias("addr"))
-    root = scratch(spark)
-    sinks.write_files(spark.createDataFrame([("map.json", sinks.json_array(entries))], "path string, content string"), root)
-    return readers.read_json_array(spark, f"{root}/map.json")
-
-
 @query(f"SELECT iteration, model, ir, opt, category, subcategory, file FROM {_sql_compile()}")
 def organised_tree(spark: SparkSession, sf: str) -> DataFrame:
     """Labels below folders of iteration, category and subcategory, read back."""
@@ -683,15 +607,6 @@ def organised_tree(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path).select(*rows.columns)
 
 
-@query("SELECT n_regionkey::VARCHAR AS region, n_nationkey::VARCHAR || '.txt' AS file, n_name || chr(10) AS value FROM nation")
-def label_files(spark: SparkSession, sf: str) -> DataFrame:
-    """A text file for each document and label, read back."""
-    rows = v.read(spark, sf, "nation").select(F.col("n_regionkey").cast("string").alias("region"), F.concat(F.col("n_nationkey").cast("string"), F.lit(".txt")).alias("file"), F.col("n_name").alias("content"))
-    path = f"{scratch(spark)}/files"
-    sinks.write_label_files(rows, path, ["region"])
-    return spark.read.schema("value string, region string, file string").text(path, wholetext=True).select("region", "file", "value")
-
-
 @query("""SELECT split_part(value, '|', 1) AS status, split_part(value, '|', 2) AS type, split_part(value, '|', 3) AS file, split_part(value, '|', 5) AS timestamp, CASE WHEN value LIKE '%left|right' THEN 'left|right' ELSE 'done' END AS details FROM v_log_lines""")
 def streamed_log_events(spark: SparkSession, sf: str) -> DataFrame:
     """Event log lines as a stream of files, worked off to Parquet."""
@@ -702,14 +617,6 @@ def streamed_log_events(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema(events.schema).parquet(f"{root}/out")
 
 
-@query(f"SELECT file, l.category AS category, l.subcategory AS subcategory FROM (SELECT file, unnest({taxonomy.sql_labels('content', taxonomy.COMPILE['detailed'])}) AS l FROM (SELECT n_nationkey || '.error' AS file, {v._list(v.ERRORS)}[n_nationkey % {len(v.ERRORS)} + 1] AS content FROM nation))")
-def streamed_labels(spark: SparkSession, sf: str) -> DataFrame:
-    root = _nation_files(spark, sf, "errors", v._pick(v.ERRORS, f"n_nationkey % {len(v.ERRORS)}"))
-    labels = ingest.label_stream(spark, root)
-    ingest.run_available(labels, f"{root}-out", f"{root}-at").awaitTermination()
-    return spark.read.schema(labels.schema).parquet(f"{root}-out").select(F.regexp_extract("path", "([^/]*)$", 1).alias("file"), "category", "subcategory")
-
-
 # what scripts leave out, and texts that they put together
 
 

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpuscle.session import ship
+from corpuscle.sources.named_files import listed
+
 #: A corpus function; test inputs and outputs keep their JSON text, as their shapes differ by row.
 FUNCTION = T.StructType(
     [
@@ -58,10 +62,23 @@ def last_by(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.where(F.col(key).isNotNull()).groupBy(key).agg(last).select(key, "r.*")
 
 
+def _decoded(content: pd.Series) -> pd.Series:
+    return content.map(lambda raw: raw.decode("utf-8", "ignore"), na_action="ignore")
+
+
+def valid_text(content: Column) -> Column:
+    """Bytes as text, without those that are no UTF-8. Only contents that have such bytes go to Python; a U+FFFD that stands there stays."""
+    text = content.cast("string")
+    decoded = F.pandas_udf(_decoded, T.StringType())
+    return F.when(F.is_valid_utf8(text), text).otherwise(decoded(F.when(~F.is_valid_utf8(text), content)))
+
+
 def _whole(spark: SparkSession, path: str, suffix: str = "", *, deep: bool = False) -> DataFrame:
-    """path and content of whole files, byte for byte but for invalid UTF-8, which is replaced."""
+    """path and content of whole files, empty ones too, byte for byte but for bytes that are no UTF-8, which are left out."""
+    ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", deep).load(path)
-    return files.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
+    empty = listed(files).where("length = 0").select("path", F.lit("").alias("content"))
+    return files.select("path", valid_text(F.col("content")).alias("content")).unionByName(empty)
 
 
 def read_tree(spark: SparkSession, root: str, suffix: str) -> DataFrame:
@@ -93,8 +110,8 @@ def read_logs(spark: SparkSession, root: str) -> DataFrame:
 
 
 def list_binaries(spark: SparkSession, root: str, *, hidden: bool = True) -> DataFrame:
-    """path and length of every file below root; the contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
+    """path and length of every file below root, empty ones too; the contents are not read."""
+    files = listed(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root))
     return files if hidden else files.where(~F.col("path").rlike(r"/\.[^/]*$"))
 
 

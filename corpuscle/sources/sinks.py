@@ -1,60 +1,24 @@
-"""Sinks: JSON lines, JSON arrays, nested reports, partitioned trees, text reports."""
+"""Sinks: JSON lines, partitioned trees, files of labels, text reports. Arrays and nested reports: `documents`; files by name: `named_files`."""
 
 from __future__ import annotations
 
-import json
 import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuscle.sources.named_files import write_files
+
 
 def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
-def json_array(df: DataFrame, most: int = 10_000) -> str:
-    """An indented array, for tables that are known to be small; a larger one raises."""
-    rows = df.limit(most + 1).toJSON().collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} rows; use write_jsonl")
-    return json.dumps([json.loads(r) for r in rows], indent=2)
-
-
-def nested_report(stats: DataFrame, levels: list[str], values: list[str], most: int = 100_000) -> dict:
-    """Nested dictionaries of a small table of statistics, keyed by the levels in order."""
-    out: dict = {}
-    rows = stats.orderBy(*levels).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} rows of statistics")
-    for r in rows:
-        at = out
-        for level in levels:
-            at = at.setdefault(r[level], {})
-        at.update({v: r[v] for v in values})
-    return out
-
-
-def write_files(rows: DataFrame, root: str, most: int = 10_000) -> None:
-    """One file for each row (path below root, content), for tables that are known to be small; a larger one raises."""
-    files = rows.select("path", "content").limit(most + 1).collect()
-    if len(files) > most:
-        raise ValueError(f"more than {most} files; use write_tree")
-    context = rows.sparkSession.sparkContext
-    for r in files:
-        where = context._jvm.org.apache.hadoop.fs.Path(f"{root}/{r['path']}")
-        out = where.getFileSystem(context._jsc.hadoopConfiguration()).create(where, True)
-        try:
-            out.write(bytearray((r["content"] or "").encode()))
-        finally:
-            out.close()
-
-
-def write_label_files(labelled: DataFrame, path: str, levels: list[str], name: str = "file", content: str = "content") -> None:
-    """One text file for each document and label, below folders of the levels and of its name, ended by a line end; what was there
-    before goes."""
-    folders = [*levels, name]
-    labelled.select(*folders, F.col(content).alias("value")).repartition(*folders).write.mode("overwrite").partitionBy(*folders).text(path)
+def write_label_files(labelled: DataFrame, root: str, levels: list[str], name: str = "file", content: str = "content") -> None:
+    """A copy of each document for each of its labels, under its own name below folders of the levels; what was at root before goes. A
+    slash in a value is written as _."""
+    parts = [F.translate(F.col(c).cast("string"), "/", "_") for c in (*levels, name)]
+    write_files(labelled.select(F.concat_ws("/", *parts).alias("path"), F.col(content).alias("content")), root)
 
 
 def write_tree(labelled: DataFrame, path: str, levels: list[str]) -> None:

@@ -31,3 +31,18 @@ def label_stream(spark: SparkSession, folder: str, version: str = "detailed") ->
 def run_available(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Works off what is there, to Parquet, and ends; a later call goes on from the checkpoint."""
     return df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def keep_label_counts(labels: DataFrame, keys: list[str], root: str, checkpoint: str) -> StreamingQuery:
+    """Counts of labels by the keys, kept up to date from a stream of labels, as far as it is there. Each batch writes its own counts to a
+    folder of its number, in one step, so a batch that runs again replaces what it wrote; `label_totals` adds the batches up."""
+
+    def add(rows: DataFrame, number: int) -> None:
+        rows.groupBy(*keys).agg(F.count("*").alias("n_labels")).write.mode("overwrite").parquet(f"{root}/batch={number}")
+
+    return labels.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def label_totals(spark: SparkSession, root: str, keys: list[str]) -> DataFrame:
+    """The counts of all batches so far; they feed the rollups as counts of files do."""
+    return spark.read.parquet(root).groupBy(*keys).agg(F.sum("n_labels").alias("n_labels"))
