@@ -2,8 +2,8 @@
 
 Base findings are kept always. Beside them a text has weak parts: access identifiers, secrets and endpoints that alone are
 no finding. Parts are intervals of a scope (a run of text without a blank line), and an interval join links each part with
-the parts of complementary roles that lie within WINDOW code points of it in the same scope; in a run of key-value lines
-(a configuration or JSON) it links over the whole run, however long. A weak part is reported only
+the parts of complementary roles in the same scope, however long that is (a caller may bound the distance by `window`, in code
+points). A weak part is reported only
 where complementary parts co-occur: a secret with an identifier or an endpoint, an identifier or an endpoint with a secret.
 Base findings take part in the join (access as an identifier, assign and hex as secrets). The join is a merge over sorted
 starts with binary search, so a text with many parts costs n log n and gives each part once, never all pairs.
@@ -18,6 +18,7 @@ scanned whole, in memory at once; an empty table gives an empty result; other co
 from __future__ import annotations
 
 import re
+import sys
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -40,8 +41,6 @@ LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 #: Kinds in the order in which spans with one start are listed.
 KINDS = ("assign", "access", "hex", "identifier", "weak_secret", "endpoint")
 BASE = KINDS[:3]
-#: Code points between a part and its complement at most.
-WINDOW = 300
 #: Bits a character that a bare token needs to be a weak secret.
 ENTROPY = 3.2
 
@@ -54,11 +53,6 @@ ENDPOINT = re.compile(
 NAMED_SECRET = re.compile(r"""(?<![A-Za-z0-9])(?:pass|pwd|pin|key|private[_-]?key|auth|credentials?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=!@#$%^&*-]{4,})""", re.IGNORECASE | re.ASCII)
 BARE_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 SCOPE_END = re.compile(r"\n[ \t\r]*\n")
-#: Runs of lines of a configuration: names with values, JSON, brackets, sections, comments, and lone values of a list.
-SETTINGS = re.compile(
-    r"""(?m)^(?:[ \t]*(?:(?:export[ \t]+|-[ \t]+)?(?:"[^"\n]*"|'[^'\n]*'|[\w.-]+)[ \t]*[:=].*|[{\[].*[}\]][,;]?|[\[\]{}(),;]+|(?:\#|;|//).*|(?:"[^"\n]*"|'[^'\n]*'),?|[\w.+-]+,|-[ \t]+\S+)[ \t\r]*(?:\n|\Z))++""",
-    re.ASCII,
-)
 
 Span = tuple[int, int, str]
 
@@ -106,16 +100,14 @@ class Role:
         for _, end, _ in spans:
             self.reach.append(max(end, self.reach[-1]) if self.reach else end)
 
-    def near(self, part: Span, breaks: list[int]) -> bool:
-        """Whether a span lies within WINDOW of the part, with no scope's end between."""
+    def near(self, part: Span, breaks: list[int], window: int | None) -> bool:
+        """Whether a span lies in the part's scope, and within `window` of the part if that is given."""
         k = bisect_right(breaks, part[0])
-        low = max(part[0] - WINDOW, breaks[k - 1] + 1 if k else 0)
+        low = breaks[k - 1] + 1 if k else 0
         k = bisect_left(breaks, part[1])
-        high = min(part[1] + WINDOW, breaks[k] - 1 if k < len(breaks) else part[1] + WINDOW)
-        return self.meets(low, high)
-
-    def meets(self, low: int, high: int) -> bool:
-        """Whether a span ends at `low` or later and starts at `high` or earlier."""
+        high = breaks[k] - 1 if k < len(breaks) else sys.maxsize
+        if window is not None:
+            low, high = max(low, part[0] - window), min(high, part[1] + window)
         first = bisect_left(self.reach, low)
         return first < len(self.starts) and self.starts[first] <= high
 
@@ -139,49 +131,27 @@ def complements(text: str, base: list[Span]) -> tuple[list[Span], dict[str, tupl
     return weak, {"weak_secret": (keys, points), "identifier": (secrets,), "endpoint": (secrets,)}
 
 
-def near_links(text: str, weak: list[Span], wanted: dict[str, tuple[Role, ...]]) -> set[Span]:
-    """The weak parts that have a complement within WINDOW."""
-    breaks = [m.start() for m in SCOPE_END.finditer(text)]
-    return {p for p in weak if any(role.near(p, breaks) for role in wanted[p[2]])}
-
-
-def settings(text: str) -> list[tuple[int, int]]:
-    """The runs of key-value lines that are longer than WINDOW; a single line counts if it is JSON."""
-    runs = [m.span() for m in SETTINGS.finditer(text) if m.end() - m.start() > WINDOW]
-    return [(s, e) for s, e in runs if text.find("\n", s, e - 1) >= 0 or text[s:e].lstrip()[0] in "{["]
-
-
-def run_links(text: str, weak: list[Span], wanted: dict[str, tuple[Role, ...]]) -> set[Span]:
-    """The weak parts that have a complement anywhere in their run of key-value lines."""
-    weak = sorted(weak)
-    out, starts = set(), [s for s, _, _ in weak]
-    for low, high in settings(text):
-        # no part reaches over the end of a line
-        out |= {p for p in weak[bisect_left(starts, low) : bisect_left(starts, high)] if any(role.meets(low + 1, high - 1) for role in wanted[p[2]])}
-    return out
-
-
-def link(text: str, base: list[Span]) -> list[Span]:
-    """The weak parts that have a complement within WINDOW."""
-    return list(near_links(text, *complements(text, base)))
+def link(text: str, base: list[Span], window: int | None = None) -> list[Span]:
+    """The weak parts that have a complement in their scope."""
+    weak, wanted = complements(text, base)
+    breaks = [m.start() for m in SCOPE_END.finditer(text)] if weak else []
+    return [p for p in weak if any(role.near(p, breaks, window) for role in wanted[p[2]])]
 
 
-def find(text: str | None) -> list[Span]:
+def find(text: str | None, window: int | None = None) -> list[Span]:
     """All spans, by start, then kind, then end."""
     text = text or ""
     base = base_spans(text)
-    weak, wanted = complements(text, base)
-    linked = near_links(text, weak, wanted) | run_links(text, weak, wanted) if weak else set()
-    return sorted([*base, *linked], key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
+    return sorted([*base, *set(link(text, base, window))], key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
-def scan_secrets(docs: DataFrame) -> DataFrame:
+def scan_secrets(docs: DataFrame, window: int | None = None) -> DataFrame:
     """doc_id and spans: array<struct<kind, start, end>> in code points, end exclusive."""
     cell = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _base.steps(batches):
-            got = [[{"kind": k, "start": s, "end": e} for s, e, k in find(t)] for t in b.column("text").to_pylist()]
+            got = [[{"kind": k, "start": s, "end": e} for s, e, k in find(t, window)] for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(got, pa.list_(cell))], ["doc_id", "spans"])
 
     return _base.texts(docs).mapInArrow(scan, "doc_id long, spans array<struct<kind: string, start: long, end: long>>")

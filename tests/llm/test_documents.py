@@ -39,8 +39,8 @@ def test_base_spans_are_exact_and_kept(text):
 
 
 @settings(max_examples=300, deadline=None)
-@given(texts)
-def test_links_equal_a_join_of_all_parts(text):
+@given(texts, st.sampled_from([None, None, 300, 20]))
+def test_links_equal_a_join_of_all_parts(text, window):
     own = secrets.base_spans(text)
     weak = secrets.weak_parts(text) + secrets.bare_secrets(text)
     weak = {w for w in weak if not any(w[0] < e and s < w[1] for s, e, _ in own)}
@@ -49,17 +49,18 @@ def test_links_equal_a_join_of_all_parts(text):
 
     def near(a, b):
         same = not any(min(a[1], b[1]) <= c < max(a[0], b[0]) for c in cuts)
-        return same and b[0] <= a[1] + secrets.WINDOW and b[1] >= a[0] - secrets.WINDOW
+        return same and (window is None or b[0] <= a[1] + window and b[1] >= a[0] - window)
 
     want = {a for a in weak for b in [*weak, *own] if (role[a[2]] == "secret") != (role[b[2]] == "secret") and near(a, b)}
-    assert set(secrets.link(text, own)) == want
+    assert set(secrets.link(text, own, window)) == want
 
 
 def test_weak_parts_need_a_complement():
     secret = "aZ09bY18cX27dW36eV45"
     assert secrets.find(f"key {secret} alone") == []
     assert [k for _, _, k in secrets.find(f"login: bob and {secret}")] == ["identifier", "weak_secret"]
-    assert secrets.find(f"login: bob{'. ' * 200}{secret}") == []
+    far = f"login: bob{'. ' * 200_000}{secret}"
+    assert [k for _, _, k in secrets.find(far)] == ["identifier", "weak_secret"] and secrets.find(far, window=300) == []
     assert secrets.find(f"login: bob\n\n{secret}") == []
     assert secrets.find("login: bob at https://example.com") == []
 
