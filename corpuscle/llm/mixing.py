@@ -10,7 +10,7 @@ to one, or with whole=True taken or left at random.
 
 Only DataFrame functions run. Scale: one pass over the texts gives narrow rows; a level shuffles one row in BLOCK of the
 level before, and blocks are dealt by a hash of the row (doc_id, text, and a number among rows that repeat both), so a source of any
-size, and a row that repeats without end, spread over many tasks. Sources are put in order by ranges, whose sums are added up,
+size, and the rows of one that repeats, spread over many tasks. Sources are put in order by ranges, whose sums are added up,
 so that any number of them spreads too. Draws are hashes of rows: reruns agree.
 
 Defined results: a text without words (also null and empty) has size 0 and taken 0; a null source is a source of its own,
@@ -30,15 +30,29 @@ BUDGET = 1.5
 CAP = 2.0
 BLOCK = 64
 SEED = 5
+#: Rows of a stretch of a row that repeats.
+REPEATS = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def sizes(docs: DataFrame) -> DataFrame:
+def sizes(docs: DataFrame, most: int = REPEATS) -> DataFrame:
     """doc_id, text_key (a hash of the text), nth (among rows that repeat all the rest), source and size, the number of words."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"))
     counted = every.groupBy("doc_id", "text_key", "source", "size").agg(F.count("*").alias("n"))
-    return counted.select("doc_id", "text_key", "source", "size", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("nth"))
+    return numbered(counted, most)
+
+
+def numbered(counted: DataFrame, most: int = REPEATS) -> DataFrame:
+    """A row for each of n, numbered by nth from 1. Rows that repeat more than `most` times are dealt out as stretches of `most` first."""
+    key = [c for c in counted.columns if c != "n"]
+    upto = lambda n: F.sequence(F.lit(1).cast("long"), n)
+    few = counted.where(F.col("n") <= most).select(*key, F.explode(upto(F.col("n"))).alias("nth"))
+    stretch = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(most).cast("long"))).alias("start")
+    tasks = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, since a stretch is small before it is dealt out
+    dealt = counted.where(F.col("n") > most).select(*key, "n", stretch).repartition(tasks, *key, "start")
+    many = dealt.select(*key, "start", F.explode(upto(F.least(F.lit(most), F.col("n") - F.col("start")))).alias("own"))
+    return few.unionByName(many.select(*key, (F.col("start") + F.col("own")).alias("nth")))
 
 
 def _running(rows: DataFrame, order: list[str], sums: list[str], root: str) -> tuple[DataFrame, dict[str, float]]:
