@@ -92,8 +92,8 @@ def _dictionary(samples: list[bytes]) -> bytes:
 
     try:
         return zstandard.train_dictionary(DICTIONARY, samples, k=SEGMENT, d=8).as_bytes()
-    except zstandard.ZstdError:  # too few samples to train: their own bytes
-        return b"".join(samples)[:DICTIONARY]
+    except zstandard.ZstdError:  # too few samples to train: all of their bytes
+        return b"".join(samples)
 
 
 def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -139,11 +139,13 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = TRAIN, most: int = TR
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other").drop("other")
     half = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(2)).alias("half")
     picked = chosen(known, "quality", bound, 1).select("doc_id", "quality", half)  # about 2 * bound rows
-    rows = _base.texts(docs).join(F.broadcast(picked), "doc_id")
+    # written, so that texts are scanned once: sizes, dictionaries and the curve read these rows alone
+    rows = _base.written(_base.texts(docs).join(F.broadcast(picked), "doc_id"), f"{_base.scratch(docs.sparkSession)}/rows")
 
     sizes = rows.where("half = 0").groupBy("doc_id", "quality").agg(F.sum(F.octet_length("text")).alias("n")).collect()  # about bound rows
     ids = fitting([tuple(r) for r in sizes], most)
-    found = rows.where((F.col("half") == 0) & F.col("doc_id").isin(ids)).select("doc_id", "quality", "text").collect()  # 2 * most bytes
+    wanted = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long"))
+    found = rows.where("half = 0").join(wanted, "doc_id").select("doc_id", "quality", "text").collect()  # 2 * most bytes
     samples: dict[int, list[bytes]] = {0: [], 1: []}
     for r in sorted(found, key=lambda r: (_order(r["doc_id"]), r["text"])):
         samples[r["quality"]] += pieces(r["text"].encode("utf-8", "surrogatepass"))

@@ -196,6 +196,27 @@ def test_mix(spark, folder, seed):
     assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.op5(spark, d).collect()))
 
 
+def test_rows_that_repeat_are_dealt_in_stretches(spark):
+    """The same rows with few and many in a stretch, and no array of a row's whole count."""
+    counts = spark.createDataFrame([("a", 1), ("b", 7), ("c", 8), ("d", 9), ("e", 100_000)], "k string, n long")
+    for most in (8, 4096):
+        got = mixing.numbered(counts, most).groupBy("k").agg(mixing.F.count("*").alias("n"), mixing.F.countDistinct("nth").alias("d"), mixing.F.min("nth").alias("a"), mixing.F.max("nth").alias("b")).collect()
+        assert {tuple(r) for r in got} == {(k, n, n, 1, n) for k, n in (("a", 1), ("b", 7), ("c", 8), ("d", 9), ("e", 100_000))}
+    tasks = mixing.numbered(counts.where("k = 'e'"), 8).select(mixing.F.spark_partition_id().alias("p")).groupBy("p").count().count()
+    assert tasks > 1
+
+
+def test_learning_scans_texts_once(spark, folder, monkeypatch):
+    """Documents are read for the training rows alone, which are written; what learns reads those."""
+    seen = []
+    real = quality._base.texts
+    monkeypatch.setattr(quality._base, "texts", lambda docs, *more: seen.append(1) or real(docs, *more))
+    rows = [(i, ("good words here " if i % 2 else "bad bad junk ") * 20) for i in range(200)]
+    docs = spark.read.parquet(folder(rows, labels=[(i, i % 2) for i in range(200)]) + "/documents.parquet")
+    model = quality.learn(docs, spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int"))
+    assert len(seen) == 1 and model.weight
+
+
 def test_documents_keep_their_chances(spark, folder):
     """Over many sources of one make, each document is taken as often in the mean as its source's target says, whatever its size; and
     the words of a source are its target, to one document."""
