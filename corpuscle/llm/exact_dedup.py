@@ -333,10 +333,12 @@ def _hit_texts(docs: DataFrame, mask: bytes) -> DataFrame:
 
 def verify(docs: DataFrame, hits: DataFrame) -> DataFrame:
     """The hits whose bytes differ from those of the row that stays: digest, doc_id, raw. Empty unless digests collide."""
-    rows = _hit_texts(docs, hit_filter(hits))
+    root = _base.scratch(docs.sparkSession)
+    # both written, as each is read several times; a digest that very many rows have gets its facts where its rows are
+    rows = _base.written(_hit_texts(docs, hit_filter(hits)), f"{root}/texts")
     copies = F.ceil(F.col("n") / SHARE).cast("int")
-    stay = hits.select("digest", F.col("doc_id").alias("stay_id"), copies.alias("copies"))
-    member = rows.join(stay, "digest")
+    stay = _base.written(hits.select("digest", F.col("n").alias("k"), F.col("doc_id").alias("stay_id"), copies.alias("copies")), f"{root}/stay")
+    member = _base.attach(rows, stay, "digest", rows.count()).drop("k")
     texts = (
         member.where("doc_id <=> stay_id").groupBy("digest", "copies").agg(F.first("raw").alias("stay_raw"))
         .select("digest", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "stay_raw")
