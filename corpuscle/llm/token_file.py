@@ -41,7 +41,7 @@ MAGIC = b"DAC1"
 #: Bits between entries of a rank directory.
 RANK = 512
 
-#: Bytes of input that make a shard, about, by Spark's estimate of the plan.
+#: Bytes of text that make a shard, about.
 SHARD = 1 << 28
 #: Bytes of a row group, about; stands for a null doc_id.
 GROUP = 1 << 20
@@ -129,9 +129,9 @@ class Block:
 
 
 def _bounds(docs: DataFrame, least: int) -> list[int]:
-    """Ascending bounds between shards of about equal rows: `least` shards, or as many as SHARD bytes each make."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    n = max(least, -(-size // SHARD) if size < 1 << 60 else 0)  # more stands for unknown
+    """Ascending bounds between shards of about equal rows: `least` shards, or as many as SHARD bytes of text each make."""
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    n = max(least, -(-size // SHARD))
     if n < 2:
         return []
     told = docs.select(F.col("doc_id").cast("long").alias("doc_id"))

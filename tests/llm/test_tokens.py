@@ -10,6 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from corpuscle.llm import bpe, token_file
 
@@ -159,6 +160,18 @@ def test_positions_lead_to_tokens(spark, folder, own, monkeypatch):
     assert "PushedFilters: [Or" in told or "PushedFilters: [And" in told or "LessThan(start" in told
 
 
+def test_shards_follow_the_texts(spark, folder, monkeypatch):
+    """Whatever plan texts come from: as a file, and as a join whose size Spark can't tell."""
+    docs = spark.read.parquet(folder([(i, "x" * 1000) for i in range(100)]) + "/documents.parquet")
+    more = docs.select("doc_id", F.lit(1).alias("a"))
+    joined = docs.join(more, "doc_id").join(more.select("doc_id", F.lit(2).alias("b")), "doc_id")
+    for size, most in ((1 << 28, 1), (10_000, 10)):
+        monkeypatch.setattr(token_file, "SHARD", size)
+        assert token_file._bounds(docs, 1) == token_file._bounds(joined, 1)
+        assert len(token_file._bounds(docs, 1)) == most - 1
+    assert token_file._bounds(docs.where("false"), 1) == []
+
+
 def test_cells_are_plain(spark, folder):
     """Any byte of a block can be read where it stands: cells are not compressed, a row group holds few blocks."""
     root = token_file._base.scratch(spark)
