@@ -10,7 +10,8 @@ What stands at a chunk's ends can encode differently next to other text. A chunk
 last inner unit, where units are cut at spaces before non-spaces, and the join of two chunks is repaired: the text from the last
 unit of one to the first unit of the other is encoded again by the tokenizer itself, and taken if it begins with the ids that one
 chunk has for its unit and ends with those of the other. If not, the window grows by both chunks and ends at their neighbours' units,
-until both sides agree, at last over the whole text. Texts that name a special token, and units with characters above U+024F (whose class may differ
+until both sides agree, at last over the whole text. Chunks of fewer than WORTH bytes (mostly texts or ends of texts) are not shared, since
+their digest, join and repair cost more than encoding them; their ids are the same either way. Texts that name a special token, and units with characters above U+024F (whose class may differ
 between regex engines), go to the tokenizer as they are.
 
 Memory: a worker remembers the ids of a bounded number of units. Scale: digests of 16 bytes a chunk are shuffled, then the
