@@ -211,10 +211,19 @@ def asm_filter_summary(spark: SparkSession, sf: str) -> DataFrame:
     return asm_filter.summary(asm_filter.with_verdict(v.asm(spark, sf)))
 
 
-@query(f"SELECT event_id, 'f' || event_id AS name FROM events WHERE 'f' || event_id IN (SELECT name FROM {_ASM} WHERE reason IS NULL)")
+_KNOWN = "(SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'n/f' || event_id WHEN event_id % 7 = 0 THEN 'f' || (event_id - 1) ELSE 'f' || event_id END AS name FROM events)"
+_STEMS = f"(SELECT CASE WHEN substr(name, 2)::BIGINT % 5 = 0 THEN 'n_' || name ELSE name END AS name, reason FROM {_ASM})"
+
+
+@query(f"SELECT event_id, name FROM {_KNOWN} WHERE name IN (SELECT name FROM {_STEMS} WHERE reason IS NULL)")
 def leaf_functions(spark: SparkSession, sf: str) -> DataFrame:
-    known = v.read(spark, sf, "events").select("event_id", F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("name"))
-    return asm_filter.passing_functions(known, asm_filter.with_verdict(v.asm(spark, sf)))
+    """Names with a slash, which no file's stem has, are never found; of names that two functions have, both are."""
+    n = F.col("event_id").cast("string")
+    name = F.when(F.expr("event_id % 5 = 0"), F.concat(F.lit("n/f"), n)).when(F.expr("event_id % 7 = 0"), F.concat(F.lit("f"), (F.col("event_id") - 1).cast("string"))).otherwise(F.concat(F.lit("f"), n))
+    known = v.read(spark, sf, "events").select("event_id", name.alias("name"))
+    listed = F.when(F.expr("cast(substring(name, 2) as long) % 5 = 0"), F.concat(F.lit("n/"), "name")).otherwise(F.col("name"))
+    files = v.asm(spark, sf).withColumn("name", text.safe_name(listed))
+    return asm_filter.passing_functions(known, asm_filter.with_verdict(files))
 
 
 # joins of artifacts
