@@ -32,7 +32,7 @@ DIM = 1024
 SEED = 20240229
 TRAIN = 2000
 WORKERS = 16
-#: Bits of a code point in the code of an n-gram; letters whose vectors a worker keeps.
+#: Bits of a code point in the code of an n-gram; letters whose vectors a worker keeps, at most (3 * DIM bytes each).
 BITS = 21
 LETTERS = 1 << 14
 #: Whole numbers per unit in sums of unit vectors.
@@ -48,7 +48,6 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(cp).isalpha() for cp in range(0x110000)), bool, 0x110000)
 
 
-@lru_cache(maxsize=LETTERS)
 def signs(symbol: int) -> np.ndarray:
     """The vector of a letter (its code point) or of the boundary (0)."""
     return np.random.default_rng([SEED, symbol]).integers(0, 2, DIM, dtype=np.int8) * 2 - 1
@@ -75,15 +74,30 @@ class Binder:
     def __init__(self) -> None:
         self.place: dict[int, int] = {}
         self.kept = np.empty((self.MOST, DIM), np.int8)
-
-    @staticmethod
-    def bind(codes: np.ndarray) -> np.ndarray:
+        #: Vectors of letters, rotated by two, one and no places, and where each letter's are.
+        self.table, self.letter = np.empty((3, 64, DIM), np.int8), {}
+
+    def rows(self, symbols: np.ndarray) -> np.ndarray:
+        """Where the symbols' vectors stand in the table of letters."""
+        found, at = np.unique(symbols, return_inverse=True)
+        new = [s for s in found.tolist() if s not in self.letter]
+        if len(self.letter) + len(new) > LETTERS:
+            self.letter, new = {}, found.tolist()
+        for s in new:
+            n = len(self.letter)
+            if n == self.table.shape[1]:
+                self.table = np.concatenate([self.table, np.empty_like(self.table)], axis=1)
+            self.table[:, n] = [np.roll(signs(s), k) for k in (2, 1, 0)]
+            self.letter[s] = n
+        return np.fromiter(map(self.letter.__getitem__, found.tolist()), np.int64, len(found))[at]
+
+    def bind(self, codes: np.ndarray) -> np.ndarray:
         """Products of the letters' vectors, rotated by two, one and no places."""
-        out = np.empty((len(codes), DIM), np.int8)
         low = (1 << BITS) - 1
-        for i, c in enumerate(codes.tolist()):
-            np.multiply(np.roll(signs(c >> 2 * BITS), 2), np.roll(signs(c >> BITS & low), 1), out=out[i])
-            out[i] *= signs(c & low)
+        at = self.rows(np.concatenate([codes >> 2 * BITS, codes >> BITS & low, codes & low])).reshape(3, -1)
+        out = self.table[0][at[0]]
+        for k in (1, 2):
+            out *= self.table[k][at[k]]
         return out
 
     def bundle(self, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
