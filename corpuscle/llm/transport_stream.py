@@ -126,13 +126,22 @@ def mux(raw: bytes) -> bytes:
 
 
 def _sections(packets: np.ndarray, starts: np.ndarray) -> bytes:
-    """The first section in packets of one PID that has a right CRC."""
+    """The first section in packets of one PID that has a right CRC. A section may go on over packets, and several may share one."""
+    held = None
     for p, at in zip(packets, starts, strict=True):
-        if p[1] & 0x40:
-            body = p[at + 1 + int(p[at]) :].tobytes()
-            section = body[: 3 + (int.from_bytes(body[1:3], "big") & 0xFFF)]
-            if len(section) > 8 and section_crc(section) == 0:
-                return section
+        body = p[at:].tobytes()
+        parts = [body] if held is not None else []
+        if p[1] & 0x40:  # a section begins after as many bytes as the pointer says; what stands before ends the last one
+            parts = [body[1 : 1 + body[0]] if held is not None else b"", body[1 + body[0] :]]
+        for k, part in enumerate(parts):
+            held = part if k or held is None else held + part
+            while len(held) > 2 and held[0] != 0xFF:
+                size = 3 + (int.from_bytes(held[1:3], "big") & 0xFFF)
+                if len(held) < size:
+                    break
+                section, held = held[:size], held[size:]
+                if size > 8 and section_crc(section) == 0:
+                    return section
     raise ValueError("no program table with a right CRC")
 
 

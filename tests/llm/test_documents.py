@@ -413,3 +413,20 @@ def test_stream_query(spark, folder):
         assert f"sum={int(np.frombuffer(payload, np.uint8).sum(dtype=np.int64))};" in r["feature"]
     assert got[3][0]["feature"] == got[4][0]["feature"]
     assert ts.op8(spark, folder([])).count() == 0
+
+
+def test_sections_over_packets():
+    """A table of many programs over several packets, after the end of another section in its first one."""
+    body = b"".join(i.to_bytes(2, "big") + (0xE000 | 0x100 + i).to_bytes(2, "big") for i in range(1, 130))
+    table, other = ts._section(0, 1, body), ts._section(3, 9, b"other")[:-1] + b"\0"  # a wrong CRC
+    raw, packets = other + table, []
+    while raw:
+        first = not packets
+        room = ts.PACKET - 4 - first
+        packets.append((bytes([0x47, 0x40 if first else 0, 0, 0x10]) + b"\0" * first + raw[:room]).ljust(ts.PACKET, b"\xff"))
+        raw = raw[room:]
+    a = np.frombuffer(b"".join(packets), np.uint8).reshape(-1, ts.PACKET)
+    assert len(a) == 3 and ts._sections(a, np.full(3, 4)) == table
+    lost = np.frombuffer(b"".join(packets[:2]), np.uint8).reshape(-1, ts.PACKET)
+    with pytest.raises(ValueError, match="right CRC"):
+        ts._sections(lost, np.full(2, 4))
