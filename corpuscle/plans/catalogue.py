@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuscle.functions import halstead, taxonomy, text
-from corpuscle.operators import asm_filter, batch, coverage, distribution, rollup, sampling, verify
+from corpuscle.operators import asm_filter, batch, coverage, deep_compare, distribution, rollup, sampling, verify
 from corpuscle.plans import files, states  # noqa: F401  they register queries too
 from corpuscle.plans import views as v
 from corpuscle.plans.labels import CONFIG_STATS as _CONFIG_STATS
@@ -472,10 +472,13 @@ def crafted_histories(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT conv_id, count(*) AS n_messages, array_to_string(list(role || ':' || length(text) ORDER BY turn, role, text), ' ') AS history FROM conversations GROUP BY conv_id""")
 def conversation_history(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts are put in order by a sort that can spill; arrays hold their lengths."""
     t = v.read(spark, sf, "conversations")
-    turns = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
-    told = F.transform("h", lambda x: F.concat(x["role"], F.lit(":"), F.length(x["content"]).cast("string")))
-    return t.groupBy("conv_id").agg(turns.alias("h")).select("conv_id", F.size("h").cast("long").alias("n_messages"), F.array_join(told, " ").alias("history"))
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    told = F.concat("role", F.lit(":"), F.length("text").cast("string"))
+    rows = t.select("conv_id", place.alias("place"), told.alias("told"))
+    turns = F.array_sort(F.collect_list(F.struct("place", "told")))
+    return rows.groupBy("conv_id").agg(F.count("*").alias("n_messages"), turns.alias("h")).select("conv_id", "n_messages", F.array_join(F.transform("h", lambda x: x["told"]), " ").alias("history"))
 
 
 # tests, logs, work
@@ -520,7 +523,7 @@ def deep_output_comparison(spark: SparkSession, sf: str) -> DataFrame:
     n = F.expr("cast(event_id + 1 as string)")
     given = lambda k: F.replace(v._pick([p[k] for p in _JSON_PAIRS], f"event_id % {len(_JSON_PAIRS)}"), F.lit("#"), n)
     e = v.read(spark, sf, "events").select("event_id", given(0).alias("o"), given(1).alias("x"))
-    return e.select("event_id", verify.same_json("o", "x").alias("same"))
+    return deep_compare.with_same(e, "o", "x").select("event_id", "same")
 
 
 _NL = "' || chr(10) || '"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from pathlib import Path
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpuscle.functions.text import strip
 from corpuscle.session import ship
 from corpuscle.sources.named_files import listed
 
@@ -23,8 +25,11 @@ FUNCTION = T.StructType(
 ADDRESS_MAP = "name string, addr string"
 #: Fields of an event log line.
 LOG_FIELDS = ["status", "type", "file", "relative_path", "timestamp", "details"]
-#: Integers as the scripts' int() takes them, ASCII only: a sign, underscores between digits, white space around.
-NUMERIC_STEM = r"^\s*[+-]?[0-9]+(_[0-9]+)*\s*$"
+#: Integers as the scripts' int() takes them: a sign, underscores between digits, white space around; digits of any script.
+NUMERIC_STEM = r"^[+-]?[0-9]+(_[0-9]+)*$"
+#: Decimal digits of other scripts than ASCII, and the digits that they stand for.
+OTHER_DIGITS = "".join(chr(c) for c in range(128, 0x110000) if unicodedata.decimal(chr(c), None) is not None)
+THEIR_DIGITS = "".join(str(unicodedata.decimal(c)) for c in OTHER_DIGITS)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = FUNCTION) -> DataFrame:
@@ -91,11 +96,13 @@ def read_tree(spark: SparkSession, root: str, suffix: str) -> DataFrame:
 def read_numeric_files(spark: SparkSession, root: str, suffix: str) -> DataFrame:
     """Files anywhere below root whose stem is an integer: relative_path, id, content."""
     rows = _whole(spark, root, suffix, deep=True).withColumn("stem", F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1))
-    return rows.where(is_numeric(F.col("stem"))).withColumn("id", F.regexp_replace(F.trim("stem"), "[_+]", "").cast("long"))
+    return rows.withColumn("id", integer(F.col("stem"))).where("id is not null")
 
 
-def is_numeric(stem: Column) -> Column:
-    return stem.rlike(NUMERIC_STEM)
+def integer(stem: Column) -> Column:
+    """The integer that a stem spells; null of others, and of those beyond 64 bits."""
+    plain = F.translate(strip(stem), OTHER_DIGITS, THEIR_DIGITS)
+    return F.when(plain.rlike(NUMERIC_STEM), F.regexp_replace(plain, "[_+]", "").try_cast("long"))
 
 
 def read_representations(spark: SparkSession, root: str) -> DataFrame:

@@ -146,9 +146,18 @@ def test_readers_and_sinks(spark, tmp_path):
     (leaf / "7.other").write_text("x")
     r = readers.read_tree(spark, str(tmp_path / "tree"), ".error").first()
     assert (r["iteration"], r["model"], r["ir"], r["opt"], r["file"], r["content"]) == ("i1", "m", "asm", "O0", "7.error", "undefined reference to `g'\n")
-    for name in ("12.c", "+7.c", "1_0.c", "x1.c", "0x1.c"):
-        (leaf / name).write_text(name)
-    assert sorted(r["id"] for r in readers.read_numeric_files(spark, str(tmp_path / "tree"), ".c").collect()) == [7, 10, 12]
+    stems = ["12", "+7", "1_0", "x1", "0x1", "-3", " 5 ", "٣٤", "𝟖", "1__0", "_1", "²", "1.5", "9" * 25]
+    for name in stems:
+        (leaf / f"{name}.c").write_text(name)
+
+    def integer(stem):
+        try:
+            return int(stem)
+        except ValueError:
+            return None
+
+    want = {s: integer(s) for s in stems if integer(s) is not None and abs(integer(s)) < 2**63}
+    assert {r["content"]: r["id"] for r in readers.read_numeric_files(spark, str(tmp_path / "tree"), ".c").collect()} == want and len(want) == 7
     (tmp_path / "secret").write_text("# c\nA = \"x=y\"\n\nB='z'\n")
     config = readers.Config(str(tmp_path / "secret"))
     assert (config["A"], config["B"], config["C"]) == ("x=y", "z", None)
