@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpuscle.sources.named_files import PIECE, list_files, read_pieces, write_pieces
+from corpuscle.sources.named_files import PIECE, deal, list_files, read_pieces, write_pieces
 from corpuscle.sources.shared import exists, scratch, written
 
 
@@ -66,7 +66,6 @@ def merge_trees(spark: SparkSession, source: str, target: str, rule: str = REPOR
     steps = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(piece).cast("long")))
     pieces = placed.select("path", "source", "start", "length", steps.alias("source_offset"))
     pieces = pieces.select("path", "source", "source_offset", (F.col("start") + F.col("source_offset")).alias("offset"), F.least(F.lit(piece), F.col("length") - F.col("source_offset")).cast("long").alias("n"))
-    dealt = pieces.repartitionByRange("path", "offset")
-    write_pieces(read_pieces(dealt), target)
+    write_pieces(read_pieces(deal(pieces, target)), target, dealt=True)
     told = F.format_string("CONFLICT: File '%s' already exists. Appending content from '%s/%s/%s'", "path", F.lit(source.rstrip("/")), "worker", "path")
     return placed.where((F.col("place") > 1) & F.lit(rule == REPORT)).select("path", "worker", told.alias("message"))

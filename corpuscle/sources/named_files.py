@@ -151,12 +151,18 @@ def write_files(rows: DataFrame, root: str) -> None:
     _write(files.repartition("path").sortWithinPartitions("path"), root, True)
 
 
-def write_pieces(rows: DataFrame, root: str) -> None:
-    """Files of pieces (path below root, offset, content: bytes); what was at root before goes."""
-    pieces = rows.select("path", F.col("offset").cast("long").alias("offset"), "content")
+def deal(pieces: DataFrame, root: str) -> DataFrame:
+    """Pieces (path, offset, and other columns) in the tasks and the order in which they are written below root."""
     local = isinstance(located(root)[0], pafs.LocalFileSystem)
     dealt = pieces.repartitionByRange("path", "offset") if local else pieces.repartition("path")
-    _write(dealt.sortWithinPartitions("path", "offset"), root, False)
+    return dealt.sortWithinPartitions("path", "offset")
+
+
+def write_pieces(rows: DataFrame, root: str, *, dealt: bool = False) -> None:
+    """Files of pieces (path below root, offset, content: bytes); what was at root before goes. dealt: `deal` has been called before
+    the contents were there, so that they are neither sampled nor moved."""
+    pieces = rows.select("path", F.col("offset").cast("long").alias("offset"), "content")
+    _write(pieces if dealt else deal(pieces, root), root, False)
 
 
 def listed(files: DataFrame) -> DataFrame:
