@@ -15,7 +15,7 @@ from collections.abc import Callable
 from contextlib import suppress
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -83,22 +83,32 @@ class RangeTable:
         """The ranges that are to be sent: neither completed nor out of tries."""
         return self.read().where((F.col("status") != "completed") & (F.col("retries") < batch.RETRIES))
 
-    def merge(self, outcomes: DataFrame, stream: str, number: int) -> bool:
+    def merge(self, outcomes: DataFrame, stream: str, number: int, order: str | None = None) -> bool:
         """Outcomes (model, start, status, batch_id) of one batch of a stream; False if it is merged already. Several outcomes of a
-        range are tries one after the other, of which a completed one is the last."""
+        range are tries one after the other, of which a completed one is the last. `order` names a column that cuts the outcomes into
+        parts: they are merged as if one came after the other, in one version however many there are. A range has a row for each part."""
         at = self.pointer()
         if number <= at.merged.get(stream, -1):
             return False
-        told = outcomes.groupBy("model", "start").agg(
+        part = F.lit(0) if order is None else F.col(order)
+        told = outcomes.select("*", part.alias("_part")).groupBy("model", "start", "_part").agg(
             F.count_if(F.col("status") == "completed").alias("_good"), F.count_if(F.col("status") == "failed").alias("_bad"),
             F.max_by("batch_id", F.struct(F.col("status") == "completed", "batch_id")).alias("_batch"),
         )
-        now = self.read().join(told, ["model", "start"], "left")
-        done = F.col("status") == "completed"
-        tries = F.least(F.col("retries") + F.coalesce("_bad", F.lit(0)), F.lit(batch.RETRIES))
-        good = F.coalesce(F.col("_good") > 0, F.lit(False)) & (tries < batch.RETRIES)
-        status = F.when(done | good, "completed").when(F.coalesce(F.col("_bad") > 0, F.lit(False)), F.when(tries >= batch.RETRIES, "failed").otherwise("pending")).otherwise(F.col("status"))
-        state = now.select("model", "start", "end", status.alias("status"), F.when(done, F.col("batch_id")).otherwise(F.coalesce("_batch", "batch_id")).alias("batch_id"), F.when(done, F.col("retries")).otherwise(tries).alias("retries"))
+        now = self.read()
+        so_far = F.sum("_bad").over(Window.partitionBy("model", "start").orderBy("_part").rowsBetween(Window.unboundedPreceding, 0))
+        tried = told.join(now.select("model", "start", "retries"), ["model", "start"]).withColumn("_tries", F.least(F.col("retries") + so_far, F.lit(batch.RETRIES)))
+        ends = (F.col("_good") > 0) & (F.col("_tries") < batch.RETRIES)
+        folded = tried.groupBy("model", "start").agg(
+            F.min_by(F.when(ends, F.struct("_batch", "_tries")), F.when(ends, F.col("_part"))).alias("_end"),
+            F.max_by("_batch", F.when(F.col("_batch").isNotNull(), F.col("_part"))).alias("_last"), F.max("_tries").alias("_tries"), (F.max("_bad") > 0).alias("_failed"),
+        )
+        rows = now.join(folded, ["model", "start"], "left")
+        done, good = F.col("status") == "completed", F.col("_end").isNotNull()
+        tries = F.coalesce("_end._tries", "_tries", "retries")
+        status = F.when(done | good, "completed").when(F.col("_failed"), F.when(tries >= batch.RETRIES, "failed").otherwise("pending")).otherwise(F.col("status"))
+        told_last = F.coalesce(F.when(good, F.col("_end._batch")).otherwise(F.col("_last")), "batch_id")
+        state = rows.select("model", "start", "end", status.alias("status"), F.when(done, F.col("batch_id")).otherwise(told_last).alias("batch_id"), F.when(done, F.col("retries")).otherwise(tries).alias("retries"))
         self._commit(state, at, at.session, {**at.merged, stream: number})
         return True
 

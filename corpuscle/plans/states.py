@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import timedelta
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,11 +14,13 @@ from corpuscle.plans import views as v
 from corpuscle.plans.files import written_files
 from corpuscle.plans.labels import CONFIG_STATS, sql_compile
 from corpuscle.plans.registry import query
-from corpuscle.sources.shared import scratch
+from corpuscle.sources.shared import exists, scratch
 from corpuscle.streaming import ingest, retries
 
 #: Events of a batch of outcomes, and of a range of requests.
 _BATCH, _RANGE = 4000, 100
+#: Sessions that the batches after the second one are spread over.
+_SESSIONS = 4
 _STATUS = "CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'completed' END"
 
 
@@ -45,19 +48,24 @@ SELECT model, start, start + {_RANGE} AS end, status, batch_id, retries FROM s W
 
 @query(_STATE_SQL)
 def durable_range_state(spark: SparkSession, sf: str) -> DataFrame:
-    """The states after all batches of outcomes, each merged from a stream. The first batch belongs to one session; a second one starts
-    after it; the others come in sessions that resume it, and each batch is offered twice."""
+    """The states after all batches of outcomes, merged from streams. The first batch belongs to one session; a second one starts after
+    it; the others come in sessions that resume it, a fixed number of them, each of which merges its batches in their order and in one
+    step. Each batch is offered twice."""
     root = scratch(spark)
-    _outcomes(spark, sf).write.partitionBy("part").parquet(f"{root}/in")
+    last = v.read(spark, sf, "events").agg(F.max(F.expr(f"event_id div {_BATCH}"))).first()[0]
+    count = 0 if last is None else last + 1
+    session = F.when(F.col("part") < 2, F.col("part")).otherwise(F.expr(f"2 + (part - 2) * {_SESSIONS} div {max(count - 2, 1)}"))
+    _outcomes(spark, sf).withColumn("session", session).write.partitionBy("session").parquet(f"{root}/in")
     n = F.explode(F.array(*(F.lit(f"m{i}") for i in range(5))))
     requests = v.read(spark, sf, "events").where(f"event_id < {_BATCH}").select(n.alias("model"), F.col("event_id").alias("index")).unionByName(spark.range(1).select(n.alias("model"), F.lit(_BATCH - 1).cast("long").alias("index")))
-    count = v.read(spark, sf, "events").agg(F.max(F.expr(f"event_id div {_BATCH}"))).first()[0] + 1
-    for part in range(count):  # a batch of work at a time, as its outcomes arrive
+    for own in range(min(count, 2 + _SESSIONS)):
         table = range_state.RangeTable(spark, f"{root}/state")
-        table.begin(requests, resume=part > 1, size=_RANGE)
-        stream = spark.readStream.schema(range_state.OUTCOMES).parquet(f"{root}/in/part={part}")
+        table.begin(requests, resume=own > 1, size=_RANGE)
+        if not exists(spark, f"{root}/in/session={own}"):
+            continue
+        stream = spark.readStream.schema(f"{range_state.OUTCOMES}, part long").parquet(f"{root}/in/session={own}")
         for k in range(2):  # the second one has a checkpoint of its own, so it offers batch 0 again
-            table.follow(stream, f"part{part}", f"{root}/at{part}-{k}").awaitTermination()
+            table.follow(stream, f"session{own}", f"{root}/at{own}-{k}", merge=partial(table.merge, order="part")).awaitTermination()
     return range_state.RangeTable(spark, f"{root}/state").read().withColumn("retries", F.col("retries").cast("long"))
 
 

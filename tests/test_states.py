@@ -44,6 +44,31 @@ def test_ranges_live_over_sessions(spark, tmp_path):
     assert len([p for p in (tmp_path / "state").iterdir() if p.name.startswith("v")]) == 2  # old versions go
 
 
+def test_many_batches_in_one_step(spark, tmp_path):
+    dice = random.Random(11)
+    requests = spark.range(1000).select(F.lit("m").alias("model"), F.col("id").alias("index"))
+    rows = [("m", dice.randrange(10) * 100, dice.choice(["failed", "failed", "completed", "running"]), f"b{i:03d}", i // 9) for i in range(90)]
+    one, all_ = (range_state.RangeTable(spark, f"file://{tmp_path}/{n}") for n in ("one", "all"))
+    for table in (one, all_):
+        table.begin(requests)
+    for part in range(10):
+        assert one.merge(outcomes(spark, *(r[:4] for r in rows if r[4] == part)), "s", part)
+    dealt = spark.createDataFrame(dice.sample(rows, len(rows)), f"{range_state.OUTCOMES}, part long")
+    assert all_.merge(dealt, "s", 0, "part") and not all_.merge(dealt, "s", 0, "part")
+    assert states(all_) == states(one) and {s[1] for s in states(one).values()} >= {"completed", "failed"}
+    assert all_.pointer().version == 2  # one version, however many batches
+
+
+def test_versions_do_not_grow_with_batches(spark, tmp_path, monkeypatch):
+    from corpuscle.plans import states as plans
+
+    spark.range(60000).selectExpr("id AS event_id", "id % 7 AS user_id", "CASE WHEN id % 5 = 0 THEN 'error' WHEN id % 31 = 0 THEN 'purchase' ELSE 'view' END AS event_type").write.parquet(f"{tmp_path}/events.parquet")
+    versions, commit = [], range_state.RangeTable._commit
+    monkeypatch.setattr(range_state.RangeTable, "_commit", lambda self, *a: (versions.append(1), commit(self, *a))[1])
+    assert plans.durable_range_state(spark, str(tmp_path)).count() == 200
+    assert len(versions) <= 2 * (2 + plans._SESSIONS)
+
+
 def test_a_crash_between_version_and_pointer(spark, tmp_path, monkeypatch):
     root = f"file://{tmp_path}/state"
     table = range_state.RangeTable(spark, root)
