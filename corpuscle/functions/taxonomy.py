@@ -121,26 +121,46 @@ def found_in(content: Column, low: Column, pattern: str) -> Column:
     return held if len(parts) == 1 else held & whole
 
 
-def labels(content: Column, table: dict[str, dict[str, list[str]]], default: tuple[str, str] | None = ("other", "unclassified"), low: Column | None = None) -> Column:
-    """array<struct<category, subcategory>>: the first subcategory of each category, in order; the default if there is none."""
-    found, low = [], F.lower(content) if low is None else low
+def _firsts(content: Column, low: Column, table: dict[str, dict[str, list[str]]]) -> dict[str, Column]:
+    """By category: its first subcategory that is found, or null."""
+    out = {}
+    for cat, subs in table.items():
+        first = F
+        for sub, patterns in subs.items():
+            first = first.when(reduce(or_, (found_in(content, low, p) for p in dict.fromkeys(patterns))), F.lit(sub))
+        out[cat] = first
+    return out
+
+
+def _gathered(firsts: dict[str, Column], default: tuple[str, str] | None) -> Column:
+    label = lambda cat, sub: F.struct(F.lit(cat).alias("category"), sub.alias("subcategory"))
+    out = F.array_compact(F.array(*(F.when(first.isNotNull(), label(cat, first)) for cat, first in firsts.items())))
+    return out if default is None else F.when(F.size(out) > 0, out).otherwise(F.array(label(default[0], F.lit(default[1]))))
+
+
+def labels(content: Column, table: dict[str, dict[str, list[str]]], default: tuple[str, str] | None = ("other", "unclassified")) -> Column:
+    """array<struct<category, subcategory>>: the first subcategory of each category, in order; the default if there is none. Spark
+    evaluates parts of it several times; `with_labels` has it once."""
+    return _gathered(_firsts(content, F.lower(content), table), default)
+
+
+def first_label(content: Column, table: dict[str, dict[str, list[str]]], default: tuple[str, str]) -> Column:
+    """The first of labels(), without a look at the patterns after it."""
+    out, low = F, F.lower(content)
     for cat, subs in table.items():
-        first = None
         for sub, patterns in subs.items():
             hit = reduce(or_, (found_in(content, low, p) for p in dict.fromkeys(patterns)))
-            first = F.when(hit, F.lit(sub)) if first is None else first.when(hit, F.lit(sub))
-        found.append(F.when(first.isNotNull(), F.struct(F.lit(cat).alias("category"), first.alias("subcategory"))))
-    out = F.array_compact(F.array(*found))
-    if default is None:
-        return out
-    none = F.array(F.struct(F.lit(default[0]).alias("category"), F.lit(default[1]).alias("subcategory")))
-    return F.when(F.size(out) > 0, out).otherwise(none)
+            out = out.when(hit, F.struct(F.lit(cat).alias("category"), F.lit(sub).alias("subcategory")))
+    return out.otherwise(F.struct(F.lit(default[0]).alias("category"), F.lit(default[1]).alias("subcategory")))
 
 
 def with_labels(files: DataFrame, content: str, table: dict[str, dict[str, list[str]]], name: str = "found") -> DataFrame:
-    """Adds labels(). The lower-case text comes out of a generator, so it is made once a row and not for every pattern."""
-    out = files.select("*", F.explode(F.array(F.lower(content))).alias("_low"))
-    return out.withColumn(name, labels(F.col(content), table, low=F.col("_low"))).drop("_low")
+    """Adds labels(). The lower-case text and the subcategories come out of generators, so they are made once a row: not once for every
+    pattern, and not again wherever the labels are named."""
+    low = files.select("*", F.explode(F.array(F.lower(content))).alias("_low"))
+    firsts = F.struct(*(c.alias(cat) for cat, c in _firsts(F.col(content), F.col("_low"), table).items()))
+    out = low.select("*", F.explode(F.array(firsts)).alias("_firsts"))
+    return out.withColumn(name, _gathered({cat: F.col("_firsts")[cat] for cat in table}, ("other", "unclassified"))).drop("_low", "_firsts")
 
 
 def test_lines(content: Column) -> Column:
@@ -148,17 +168,29 @@ def test_lines(content: Column) -> Column:
     return F.regexp_extract_all(content, F.lit("(?md)" + TEST_LINE), 1)
 
 
-def execution_labels(content: Column, *, whole: bool = False) -> Column:
-    """The set of labels of a report: per test line the first category that matches. Null if all tests passed, and for a report
-    without test lines, whose whole content is classified instead if `whole`."""
+def _line_labels(content: Column, whole: bool) -> Column:
     lines = test_lines(content)
     if whole:
         lines = F.when(F.size(lines) > 0, lines).otherwise(F.array(content))
-    label = lambda line: F.element_at(labels(line, EXECUTION, ("unclassified", "unclassified")), 1)
-    found = F.array_distinct(F.transform(lines, label))
+    return F.array_distinct(F.transform(lines, lambda line: first_label(line, EXECUTION, ("unclassified", "unclassified"))))
+
+
+def _of_failed(content: Column, found: Column) -> Column:
     return F.when(~F.contains(content, F.lit(PASSED)) & (F.size(found) > 0), found)
 
 
+def execution_labels(content: Column, *, whole: bool = False) -> Column:
+    """The set of labels of a report: per test line the first category that matches. Null if all tests passed, and for a report
+    without test lines, whose whole content is classified instead if `whole`."""
+    return _of_failed(content, _line_labels(content, whole))
+
+
+def with_execution_labels(reports: DataFrame, content: str, name: str = "found", *, whole: bool = False) -> DataFrame:
+    """Adds execution_labels(), which come out of a generator, so that they are found once a row."""
+    out = reports.select("*", F.explode(F.array(_line_labels(F.col(content), whole))).alias("_found"))
+    return out.withColumn(name, _of_failed(F.col(content), F.col("_found"))).drop("_found")
+
+
 def failure_type(content: Column, pairs: int = 10) -> Column:
     """allfailed if no test of `pairs` passed; a function with another number of tests counts as partialfailed."""
     return F.when(F.contains(content, F.lit(f"0/{pairs} passed (0.0%)")), F.lit("allfailed")).otherwise(F.lit("partialfailed"))

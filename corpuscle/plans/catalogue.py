@@ -121,7 +121,7 @@ _EXEC_ROWS = f"(SELECT * EXCLUDE (l), l.category AS category, l.subcategory AS s
 
 def _exec(spark: SparkSession, sf: str) -> DataFrame:
     c = F.col("content")
-    return v.exec_reports(spark, sf).select("*", taxonomy.failure_type(c).alias("failure_type"), taxonomy.execution_labels(c).alias("found")).drop("content")
+    return taxonomy.with_execution_labels(v.exec_reports(spark, sf).withColumn("failure_type", taxonomy.failure_type(c)), "content").drop("content")
 
 
 @query(f"SELECT file, failure_type, category, subcategory FROM {_EXEC_ROWS}")
@@ -176,8 +176,8 @@ _EXEC_ALL = f"(SELECT * EXCLUDE (l), l.category AS category, l.subcategory AS su
 SELECT model, ir, opt, category AS top_category FROM (SELECT *, row_number() OVER (PARTITION BY model, ir, opt ORDER BY n DESC, category) AS r FROM (
   SELECT model, ir, opt, category, count(*) AS n FROM {_EXEC_ALL} GROUP BY ALL)) WHERE r = 1) t USING (model, ir, opt)""")
 def exec_taxonomy_consolidated(spark: SparkSession, sf: str) -> DataFrame:
-    files = v.exec_reports(spark, sf)
-    rows = rollup.explode_labels(files, taxonomy.execution_labels(F.col("content"), whole=True))
+    files = taxonomy.with_execution_labels(v.exec_reports(spark, sf), "content", whole=True)
+    rows = rollup.explode_labels(files, F.col("found"))
     counts = rollup.label_counts(rows, rollup.CONFIG)
     top = rollup.top_category(counts, rollup.CONFIG).drop("n_category")
     return rollup.config_stats(counts, rollup.CONFIG).join(top, rollup.CONFIG)

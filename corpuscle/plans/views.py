@@ -57,6 +57,12 @@ def functions(spark: SparkSession, sf: str) -> DataFrame:
     return pages.unionByName(docs)
 
 
+def _event_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """The two numbers that artifacts of events are made of, dealt to all cores. A small file of them is one split, and makes texts that
+    are many times as large and looked at for long."""
+    return read(spark, sf, "events").select("event_id", "user_id").repartition(max(4 * spark.sparkContext.defaultParallelism, 32))
+
+
 def _config(events: DataFrame) -> list[Column]:
     return [
         F.concat(F.lit("iteration_"), F.expr("1 + event_id % 5")).alias("iteration"), _pick(MODELS, "user_id % 4").alias("model"),
@@ -65,7 +71,7 @@ def _config(events: DataFrame) -> list[Column]:
 
 
 def compile_errors(spark: SparkSession, sf: str) -> DataFrame:
-    e = read(spark, sf, "events")
+    e = _event_ids(spark, sf)
     n = F.col("event_id").cast("string")
     head = F.concat(F.lit("Compilation error for function ID "), n, F.lit("\nSource file: in/"), n, F.lit(".c\nTimestamp: 2024-01-01T00:00:00\nCommand: gcc -c\n\nSTDERR:\n"))
     second = F.when(F.expr("event_id % 3 = 0"), F.concat(F.lit("\n"), _pick(ERRORS, "event_id * 7 % 19"))).otherwise(F.lit(""))
@@ -73,7 +79,7 @@ def compile_errors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def exec_reports(spark: SparkSession, sf: str) -> DataFrame:
-    e = read(spark, sf, "events").withColumn("passed", F.expr("cast(event_id % 11 as int)"))
+    e = _event_ids(spark, sf).withColumn("passed", F.expr("cast(event_id % 11 as int)"))
     n = F.col("event_id").cast("string")
     messages = F.array(*(F.lit(m) for m in FAILURES))
     line = lambda k: F.concat(F.lit("  - Test "), k.cast("string"), F.lit(": "), F.element_at(messages, ((F.col("event_id") + k) % 4 + 1).cast("int")))
@@ -88,7 +94,7 @@ def exec_reports(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def asm(spark: SparkSession, sf: str) -> DataFrame:
-    e = read(spark, sf, "events")
+    e = _event_ids(spark, sf)
     n = F.col("event_id").cast("string")
     lines = [F.lit("; Function: f"), n, F.lit("\n; Address: 0x10\n; Size: 9\n\nblock_0x10:\n  mov eax, 1\n  "), _pick(INSTRUCTIONS, "event_id % 13"), F.lit("\n  "), _pick(INSTRUCTIONS, "event_id * 5 % 7 * 2 % 13"), F.lit("\n  ret\n")]
     return e.select(F.concat(F.lit("f"), n).alias("name"), F.concat(*lines).alias("content"))

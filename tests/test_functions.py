@@ -145,3 +145,32 @@ def test_paths_and_addresses(spark):
     assert r["src"] == "\n\nf"
     assert r["cpp"].strip() == "int a;"
     assert (r["p1"], r["p0"]) == ("33.3%", "0.0%")
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_patterns_are_looked_for_once_a_row(spark):
+    df = rows(spark, views.ERRORS)
+    for table in taxonomy.COMPILE.values():
+        text = plan(taxonomy.with_labels(df, "x", table, "l").withColumn("again", F.col("l")).where("size(again) > 0"))
+        assert text.count("no such file or directory)") <= 2 and text.count("missing ';')") == 1
+    text = plan(taxonomy.with_execution_labels(df, "x").where("size(found) > 0").withColumn("again", F.size("found")))
+    assert text.count("regexp_extract_all") == 1
+
+
+def test_labels_of_reports_once_a_row_are_the_same(spark):
+    df = rows(spark, [r[0] for r in REPORTS] + [None])
+    for whole in (False, True):
+        both = taxonomy.with_execution_labels(df, "x", whole=whole).select("found", taxonomy.execution_labels(F.col("x"), whole=whole).alias("own")).collect()
+        assert [r["found"] for r in both] == [r["own"] for r in both]
+    line = F.element_at(taxonomy.labels(F.col("x"), taxonomy.EXECUTION, ("unclassified", "unclassified")), 1)
+    both = df.select(taxonomy.first_label(F.col("x"), taxonomy.EXECUTION, ("unclassified", "unclassified")).alias("a"), line.alias("b")).collect()
+    assert [r["a"] for r in both] == [r["b"] for r in both]
+
+
+def test_artifacts_of_a_small_file_are_made_by_all_cores(spark, tmp_path):
+    spark.range(50).selectExpr("id AS event_id", "id % 7 AS user_id").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    for artifact in (views.compile_errors, views.exec_reports, views.asm):
+        assert artifact(spark, str(tmp_path)).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
