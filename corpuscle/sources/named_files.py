@@ -14,8 +14,8 @@ from __future__ import annotations
 import os
 import re
 import uuid
-from collections.abc import Iterator
-from urllib.parse import unquote
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -24,9 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from corpuscle.session import ship
+from corpuscle.sources.shared import scratch, written
 
 #: Bytes of a piece.
 PIECE = 8 << 20
+#: Bytes of contents that a task gathers before it hands them on; a piece may be larger.
+STEP = 4 << 20
 NAME = "corpuscle_named_files"
 
 
@@ -165,35 +168,100 @@ def write_pieces(rows: DataFrame, root: str, *, dealt: bool = False) -> None:
     _write(pieces if dealt else deal(pieces, root), root, False)
 
 
-def listed(files: DataFrame) -> DataFrame:
-    """path and length of all files of a scan of binary files, empty ones too, which Spark's scans leave out. The names are those of
-    Spark's own listing, which the driver holds in any case; contents are not read."""
-    names = [(re.sub("^file:/+", "file:/", unquote(p)),) for p in files.inputFiles()]
-    full = files.select("path", "length")
-    empty = files.sparkSession.createDataFrame(names, "path string").join(full, "path", "left_anti")
-    return full.unionByName(empty.withColumn("length", F.lit(0).cast("long")))
+def _skipped(name: str) -> bool:
+    """Names that Spark's scans of files leave out."""
+    return (name.startswith("_") and "=" not in name and not name.startswith(("_metadata", "_common_metadata"))) or name.startswith(".") or name.endswith("._COPYING_")
+
+
+def _entries(fs: pafs.FileSystem, folder: str) -> Iterator[tuple[str, bool, int]]:
+    """Name, whether it is a folder, and length of what is in a folder."""
+    if isinstance(fs, pafs.LocalFileSystem):
+        with os.scandir(folder) as found:
+            for e in found:
+                yield e.name, e.is_dir(), e.stat().st_size
+    else:
+        for e in fs.get_file_info(pafs.FileSelector(folder)):
+            yield e.base_name, e.type == pafs.FileType.Directory, e.size or 0
+
+
+def reachable(root: str) -> bool:
+    """Whether root is one folder that executors can list; if not, such as a pattern, it is left to Spark's scans."""
+    try:
+        fs, base = located(root)
+        return not re.search(r"[*?\[{]", root) and fs.get_file_info(base).type == pafs.FileType.Directory
+    except (pa.ArrowException, OSError):
+        return False
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """source (path), relative (below root) and length of every file below root, empty ones too; the contents are not read."""
-    files = listed(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)).withColumnRenamed("path", "source")
-    base = located(root)[1].rstrip("/") + "/"
-    return files.withColumn("relative", F.substring_index("source", base, -1))
+    """source (path), relative (below root) and length of every file below root, empty ones too; the contents are not read. Executors
+    list the folders, level by level, and write what they find, so the driver holds no names."""
+    ship(spark)
+    fs, base = located(root)
+    base = base.rstrip("/")
+    lead = "file:" if isinstance(fs, pafs.LocalFileSystem) else root.rstrip("/")[: -len(base)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, names = located(root)[0], ["relative", "folder", "length"]
+        for b in batches:
+            for folder in b.column("relative").to_pylist():
+                inside = ((f"{folder}{n}", d, size) for n, d, size in _entries(own, f"{base}/{folder}") if not _skipped(n))
+                while some := list(islice(inside, 10000)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*some, strict=True)], names)
+
+    at, level, folders = scratch(spark), 0, spark.createDataFrame([("",)], "relative string")
+    while level == 0 or not folders.isEmpty():
+        found = written(folders.mapInArrow(run, "relative string, folder boolean, length long"), f"{at}/{level}")
+        folders = found.where("folder").select(F.concat("relative", F.lit("/")).alias("relative")).repartition("relative")
+        level += 1
+    files = spark.read.schema(found.schema).parquet(*(f"{at}/{i}" for i in range(level))).where("not folder")
+    return files.select(F.concat(F.lit(f"{lead}{base}/"), "relative").alias("source"), "relative", "length")
 
 
-def read_pieces(parts: DataFrame) -> DataFrame:
-    """Adds content: the bytes of parts of files (source, source_offset, n, and other columns), read where they are needed."""
+def spread(files: DataFrame, length: str = "length", size: int = 64 << 20) -> DataFrame:
+    """Files dealt anew, as those of one folder were listed by one task: to all cores, and not much more than `size` bytes a task."""
+    total = files.agg(F.sum(length)).first()[0] or 0
+    return files.repartition(max(4 * files.sparkSession.sparkContext.defaultParallelism, 32, -(-total // size)))
+
+
+def _reader() -> Callable[[str, int, int], bytes]:
+    """Reads a part of a file by its path as listings give it."""
+
+    def read(source: str, at: int, n: int) -> bytes:
+        if source.startswith("file:") or "://" not in source:
+            with open(re.sub("^file:/+", "/", source), "rb") as f:
+                f.seek(at)
+                return f.read(n)
+        fs, path = located(source)
+        with fs.open_input_file(path) as f:
+            return f.read_at(n, at)
+
+    return read
+
+
+def read_pieces(parts: DataFrame, *, text: bool = False) -> DataFrame:
+    """Adds content: the bytes of parts of files (source, source_offset, n, and other columns), read where they are needed; some MB a
+    step. text: as text, without bytes that are no UTF-8."""
     ship(parts.sparkSession)
     names = parts.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = _reader()
         for b in batches:
-            for i in range(b.num_rows):  # a piece at a time
-                row = b.slice(i, 1)
-                fs, path = located(row.column("source")[0].as_py())
-                with fs.open_input_file(path) as f:
-                    content = f.read_at(row.column("n")[0].as_py(), row.column("source_offset")[0].as_py())
-                yield pa.RecordBatch.from_arrays([*(row.column(c) for c in names), pa.array([content], pa.binary())], [*names, "content"])
+            held, first, size = [], 0, 0
+            for i, (source, at, n) in enumerate(zip(*(b.column(c).to_pylist() for c in ("source", "source_offset", "n")), strict=True)):
+                held.append(read(source, at, n))
+                size += n
+                if size >= STEP or i + 1 == b.num_rows:
+                    content = pa.array([c.decode("utf-8", "ignore") for c in held], pa.string()) if text else pa.array(held, pa.binary())
+                    yield pa.RecordBatch.from_arrays([*(c.slice(first, len(held)) for c in b.columns), content], [*names, "content"])
+                    held, first, size = [], i + 1, 0
 
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema)
-    return parts.mapInArrow(run, f"{kind}, content binary")
+    return parts.mapInArrow(run, f"{kind}, content {'string' if text else 'binary'}")
+
+
+def read_files(files: DataFrame, *, text: bool = False) -> DataFrame:
+    """path and content of whole files (source, length), spread over all cores."""
+    whole = spread(files.select("source", "length")).select("source", F.lit(0).cast("long").alias("source_offset"), F.col("length").alias("n"))
+    return read_pieces(whole, text=text).select(F.col("source").alias("path"), "content")

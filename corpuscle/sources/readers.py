@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Callable
 from pathlib import Path
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +15,7 @@ from pyspark.sql import types as T
 
 from corpuscle.functions.text import strip
 from corpuscle.session import ship
-from corpuscle.sources.named_files import listed
+from corpuscle.sources import named_files
 
 #: A corpus function; test inputs and outputs keep their JSON text, as their shapes differ by row.
 FUNCTION = T.StructType(
@@ -78,25 +81,44 @@ def valid_text(content: Column) -> Column:
     return F.when(F.is_valid_utf8(text), text).otherwise(decoded(F.when(~F.is_valid_utf8(text), content)))
 
 
-def _whole(spark: SparkSession, path: str, suffix: str = "", *, deep: bool = False) -> DataFrame:
-    """path and content of whole files, empty ones too, byte for byte but for bytes that are no UTF-8, which are left out."""
+def _scanned(files: DataFrame) -> DataFrame:
+    """path and length of a scan of binary files, with empty ones, which Spark's scans leave out. The driver holds the names."""
+    names = [(re.sub("^file:/+", "file:/", unquote(p)),) for p in files.inputFiles()]
+    full = files.select("path", "length")
+    empty = files.sparkSession.createDataFrame(names, "path string").join(full, "path", "left_anti")
+    return full.unionByName(empty.withColumn("length", F.lit(0).cast("long")))
+
+
+def _whole(spark: SparkSession, root: str, suffix: str = "", *, levels: int | None = None, keep: Callable[[Column], Column] | None = None) -> DataFrame:
+    """path and content of whole files below root, empty ones too, byte for byte but for bytes that are no UTF-8, which are left out.
+    levels: only files that many levels below root. keep: a condition on the path, for which contents are not read.
+
+    Executors list a folder and read its files. What they cannot list, such as a pattern, is Spark's scan, whose names the driver holds."""
+    kept = keep or (lambda path: F.lit(True))  # noqa: ARG005
+    if named_files.reachable(root):
+        files = named_files.list_files(spark, root).where(F.endswith("source", F.lit(suffix)) & kept(F.col("source")))
+        if levels:
+            files = files.where(F.size(F.split("relative", "/")) == levels)
+        return named_files.read_files(files, text=True)
     ship(spark)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", deep).load(path)
-    empty = listed(files).where("length = 0").select("path", F.lit("").alias("content"))
-    return files.select("path", valid_text(F.col("content")).alias("content")).unionByName(empty)
+    path = root + "/*" * (levels - 1) if levels else root
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", not levels).load(path)
+    empty = _scanned(files).where("length = 0").select("path", F.lit("").alias("content"))
+    return files.select("path", valid_text(F.col("content")).alias("content")).unionByName(empty).where(kept(F.col("path")))
 
 
 def read_tree(spark: SparkSession, root: str, suffix: str) -> DataFrame:
     """root/iteration/model/ir/opt/*suffix: path parts as columns, and content."""
     parts = F.split("path", "/")
     names = ("iteration", "model", "ir", "opt", "file")
-    return _whole(spark, f"{root}/*/*/*/*", suffix).select(*(F.element_at(parts, i - 5).alias(n) for i, n in enumerate(names)), "content")
+    return _whole(spark, root, suffix, levels=5).select(*(F.element_at(parts, i - 5).alias(n) for i, n in enumerate(names)), "content")
 
 
 def read_numeric_files(spark: SparkSession, root: str, suffix: str) -> DataFrame:
     """Files anywhere below root whose stem is an integer: relative_path, id, content."""
-    rows = _whole(spark, root, suffix, deep=True).withColumn("stem", F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1))
-    return rows.withColumn("id", integer(F.col("stem"))).where("id is not null")
+    stem = lambda path: F.regexp_extract(path, r"([^/]*)\.[^./]*$", 1)
+    rows = _whole(spark, root, suffix, keep=lambda path: integer(stem(path)).isNotNull())
+    return rows.withColumn("stem", stem(F.col("path"))).withColumn("id", integer(F.col("stem")))
 
 
 def integer(stem: Column) -> Column:
@@ -107,18 +129,21 @@ def integer(stem: Column) -> Column:
 
 def read_representations(spark: SparkSession, root: str) -> DataFrame:
     """All files of the four representations, by lower-cased extension."""
-    ext = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
-    return _whole(spark, root, deep=True).select("path", F.substring(ext, 2, 10).alias("ir"), "content").where(F.col("ir").isin("asm", "llil", "mlil", "hlil"))
+    ir = lambda path: F.substring(F.lower(F.regexp_extract(path, r"(\.[^./]*)$", 1)), 2, 10)
+    return _whole(spark, root, keep=lambda path: ir(path).isin("asm", "llil", "mlil", "hlil")).select("path", ir(F.col("path")).alias("ir"), "content")
 
 
 def read_logs(spark: SparkSession, root: str) -> DataFrame:
     """identifier (file stem) and content of every .log below root."""
-    return _whole(spark, root, ".log", deep=True).select(F.regexp_extract("path", r"([^/]*)\.log$", 1).alias("identifier"), "content")
+    return _whole(spark, root, ".log").select(F.regexp_extract("path", r"([^/]*)\.log$", 1).alias("identifier"), "content")
 
 
 def list_binaries(spark: SparkSession, root: str, *, hidden: bool = True) -> DataFrame:
     """path and length of every file below root, empty ones too; the contents are not read."""
-    files = listed(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root))
+    if named_files.reachable(root):
+        files = named_files.list_files(spark, root).select(F.col("source").alias("path"), "length")
+    else:
+        files = _scanned(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root))
     return files if hidden else files.where(~F.col("path").rlike(r"/\.[^/]*$"))
 
 

@@ -115,6 +115,19 @@ def test_files_under_their_names(spark, tmp_path):
     assert tree(tmp_path) == {} and os.listdir(tmp_path) == ["out"]
 
 
+def test_names_stay_on_the_executors(spark, tmp_path, monkeypatch):
+    rows = [(f"it/m{i % 3}/asm/O1/é %20{i}.error", f"text {i}" * (i % 2)) for i in range(300)]
+    root = f"file://{tmp_path}/out"
+    named_files.write_files(spark.createDataFrame([*rows, ("it/m0/asm/O1/deep/x.error", "x"), ("it/x.error", "x"), ("it/m0/asm/O1/.x.error", "x")], "path string, content string"), root)
+    monkeypatch.setattr(type(spark.range(1)), "inputFiles", lambda _: pytest.fail("the driver lists files"))
+    found = readers.read_tree(spark, root, ".error")
+    assert {("/".join(r[:5]), r["content"]) for r in found.collect()} == set(rows) and found.rdd.getNumPartitions() >= 32
+    listed = {r["relative"]: (r["source"], r["length"]) for r in named_files.list_files(spark, root).collect()}
+    assert listed == {p: (f"file:{tmp_path}/out/{p}", len(c)) for p, c in [*rows, ("it/m0/asm/O1/deep/x.error", "x"), ("it/x.error", "x")]}
+    monkeypatch.undo()
+    assert readers.read_tree(spark, f"file://{tmp_path}/o*", ".error").count() == 300  # a pattern: Spark's scan
+
+
 def test_a_failed_write_leaves_what_was_there(spark, tmp_path):
     root = f"file://{tmp_path}/out"
     named_files.write_files(spark.createDataFrame([("a", "old")], "path string, content string"), root)
