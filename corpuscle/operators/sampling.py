@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscle.operators.distribution import global_index
+from corpuscle.sources.shared import scratch, written
 
 CAP, SEED = 25, 42
 
@@ -27,7 +28,8 @@ def hash_sample(rows: DataFrame, bucket: str, key: str, cap: int = CAP, seed: in
 def exact_sample(rows: DataFrame, bucket: str, order: str, cap: int = CAP, seed: int = SEED) -> DataFrame:
     """The rows that random.sample with one seeded generator takes, buckets ascending, rows by `order`. The generator depends on
     the buckets' sizes only, so the driver needs these (one row a bucket) and nothing else; the places that it draws, at most
-    `cap` a bucket, come back as a broadcast table."""
+    `cap` a bucket, come back as a broadcast table. Rows are written once, as sizes, ranges and places are all taken from them."""
+    rows = written(rows, f"{scratch(rows.sparkSession)}/rows")
     sizes = {r[bucket]: r["n"] for r in rows.groupBy(bucket).agg(F.count("*").alias("n")).collect()}
     generator, drawn, before = random.Random(seed), [], 0
     for b in sorted(sizes):
