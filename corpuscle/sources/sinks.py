@@ -8,17 +8,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscle.sources.named_files import write_files
+from corpuscle.sources.packed_files import write_packed
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
-def write_label_files(labelled: DataFrame, root: str, levels: list[str], name: str = "file", content: str = "content") -> None:
+def write_label_files(labelled: DataFrame, root: str, levels: list[str], name: str = "file", content: str = "content", *, packed: bool = False) -> None:
     """A copy of each document for each of its labels, under its own name below folders of the levels; what was at root before goes. A
-    slash in a value is written as _."""
+    slash in a value is written as _. packed: as members of archives, for trees of very many small files."""
     parts = [F.translate(F.col(c).cast("string"), "/", "_") for c in (*levels, name)]
-    write_files(labelled.select(F.concat_ws("/", *parts).alias("path"), F.col(content).alias("content")), root)
+    write = write_packed if packed else write_files
+    write(labelled.select(F.concat_ws("/", *parts).alias("path"), F.col(content).alias("content")), root)
 
 
 def write_tree(labelled: DataFrame, path: str, levels: list[str]) -> None:

@@ -3,12 +3,13 @@
 import json
 import os
 import random
+import tarfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from corpuscle.operators import distribution, log_runs
-from corpuscle.sources import documents, lines, named_files, readers, sinks
+from corpuscle.sources import documents, lines, named_files, packed_files, readers, sinks
 
 
 def small_splits(spark, size="1k"):
@@ -115,6 +116,23 @@ def test_files_under_their_names(spark, tmp_path):
     assert tree(tmp_path) == {} and os.listdir(tmp_path) == ["out"]
 
 
+def test_files_packed_in_archives(spark, tmp_path):
+    rows = [(f"i{i % 3}/cat {i % 5}/{'é' * 60}/{'long' * 30}{i}.txt", f"text {i}\r\n" * (i % 4)) for i in range(400)]
+    root = f"file://{tmp_path}/out"
+    packed_files.write_packed(spark.createDataFrame([*rows, ("none", None)], "path string, content string"), root, size=20000)
+    assert {r["path"]: bytes(r["content"]) for r in packed_files.read_packed(spark, root).collect()} == {p: c.encode() for p, c in rows} | {"none": b""}
+    archives = os.listdir(tmp_path / "out")
+    assert 8 < len(archives) < 60 and sum(os.path.getsize(tmp_path / "out" / a) for a in archives) < 400 * 300
+    for a in archives:  # any tar reader unpacks the tree
+        with tarfile.open(tmp_path / "out" / a) as t:
+            t.extractall(tmp_path / "tree", filter="data")
+    assert tree(tmp_path / "tree") == {p: c.encode() for p, c in rows} | {"none": b""}
+    with pytest.raises(Exception, match="two files of one name"):
+        packed_files.write_packed(spark.createDataFrame([("a", "x"), ("a", "y")], "path string, content string"), root)
+    packed_files.write_packed(spark.createDataFrame([], "path string, content string"), root)
+    assert packed_files.read_packed(spark, root).count() == 0
+
+
 def test_names_stay_on_the_executors(spark, tmp_path, monkeypatch):
     rows = [(f"it/m{i % 3}/asm/O1/é %20{i}.error", f"text {i}" * (i % 2)) for i in range(300)]
     root = f"file://{tmp_path}/out"
