@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from corpuscle.session import ship
-from corpuscle.sources.shared import scratch, written
+from corpuscle.sources.shared import exists, scratch, written
 
 #: Bytes of a piece.
 PIECE = 8 << 20
@@ -218,6 +218,19 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     return files.select(F.concat(F.lit(f"{lead}{base}/"), "relative").alias("source"), "relative", "length")
 
 
+#: Columns of a listing that is kept.
+LISTING = "source string, length long"
+
+
+def keep_listing(spark: SparkSession, root: str, listing: str) -> None:
+    """Adds the files below root that the table `listing` does not hold yet; one caller at a time. A call that broke off is made up for
+    by the next one, as what it added is held."""
+    files = list_files(spark, root).select("source", "length")
+    if exists(spark, listing):
+        files = files.join(spark.read.schema(LISTING).parquet(listing), "source", "left_anti")
+    files.write.mode("append").parquet(listing)
+
+
 def spread(files: DataFrame, length: str = "length", size: int = 64 << 20) -> DataFrame:
     """Files dealt anew, as those of one folder were listed by one task: to all cores, and not much more than `size` bytes a task."""
     total = files.agg(F.sum(length)).first()[0] or 0
