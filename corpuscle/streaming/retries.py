@@ -5,7 +5,9 @@ WAIT, three in all; a completed one is the end; the first outcome of a later ses
 retry is due when the clock passes: at the next outcome of its range, or when the stream's watermark passes, whichever comes first,
 so rows do not depend on how the stream is cut into batches. Outcomes of one key are taken in the order of their times.
 
-The state of a range is one small row, and timers are the state store's, so a lost executor costs a batch that runs again.
+Ranges are dealt into GROUPS groups by their key. What a group keeps is the small rows of its ranges, read and written once a batch, with
+one timer for its earliest retry; a call for each range would cost some milliseconds, and there are millions. States and timers are the
+state store's, so a lost executor costs a batch that runs again.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from corpuscle.operators.batch import RETRIES
@@ -22,7 +25,10 @@ from corpuscle.session import ship
 
 WAIT = timedelta(seconds=60)
 ACTIONS = "model string, start long, session long, action string, at timestamp, tries int"
-_STATE = "session long, tries int, done boolean, due long"
+#: Groups of ranges; a checkpoint holds states by them.
+GROUPS = 1024
+_STATE = "ranges array<struct<model: string, start: string, session: long, tries: int, done: boolean, due: long>>"
+_TOLD = "model string, start string, session long, action string, at long, tries int"
 #: The state store that keeps timers.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -52,50 +58,72 @@ def step(state: tuple[int, int, bool, int | None], session: int, status: str, at
 
 
 class Retry(StatefulProcessor):
+    """Of a group of ranges (model, start as text); times in microseconds."""
+
     def __init__(self, wait: timedelta):
         self.wait = wait // timedelta(microseconds=1)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("range", _STATE)
-
-    def _rows(self, key: tuple, out: list[tuple[int, str, int, int]]) -> pd.DataFrame:
-        rows = [(key[0], key[1], s, a, pd.Timestamp(at, unit="us"), n) for s, a, at, n in out]
-        return pd.DataFrame(rows, columns=["model", "start", "session", "action", "at", "tries"])
-
-    def _wait_for(self, due: int | None) -> None:
-        """One timer at most: that of the retry that waits. Timers count milliseconds."""
+        self.state = handle.getValueState("ranges", _STATE)
+
+    def _ranges(self) -> dict[tuple, tuple[int, int, bool, int | None]]:
+        return {(m, k): (own, tries, done, due) for m, k, own, tries, done, due in self.state.get()[0]} if self.state.exists() else {}
+
+    def _passed(self, ranges: dict, clock: int) -> list[tuple]:
+        """The retries that are due at the clock (milliseconds), which then wait no more."""
+        out = []
+        for key, (own, tries, done, due) in ranges.items():
+            if due is not None and _ms(due) <= clock:
+                out.append((*key, own, "retry", due, tries))
+                ranges[key] = (own, tries, done, None)
+        return out
+
+    def _keep(self, ranges: dict) -> None:
+        self.state.update(([(*key, *state) for key, state in ranges.items()],))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        if due is not None:
-            self.handle.registerTimer(-(-due // 1000))
+        waiting = [due for *_, due in ranges.values() if due is not None]
+        if waiting:
+            self.handle.registerTimer(_ms(min(waiting)))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: ARG002, N802, N803
-        state = tuple(self.state.get()) if self.state.exists() else (0, 0, False, None)
-        before, out = state[3], []
-        for r in pd.concat(rows).sort_values("at", kind="stable").itertuples(index=False):
-            state, more = step(state, int(r.session), r.status, r.at.value // 1000 if r.at.unit == "ns" else r.at.as_unit("us").value, self.wait)
-            out += more
-        self.state.update(state)
-        if state[3] != before:
-            self._wait_for(state[3])
-        yield self._rows(key, out)
+        ranges, out = self._ranges(), []
+        found = pd.concat(rows).sort_values("us", kind="stable")
+        for model, start, session, status, at in zip(*(found[c].tolist() for c in ("model", "start", "session", "status", "us")), strict=True):
+            ranges[model, start], more = step(ranges.get((model, start), (0, 0, False, None)), int(session), status, at, self.wait)
+            out += ((model, start, *row) for row in more)
+        out += self._passed(ranges, timerValues.getCurrentWatermarkInMs())
+        self._keep(ranges)
+        yield _rows(out)
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: ARG002, N802, N803
-        session, tries, done, due = tuple(self.state.get())
-        out = [] if due is None else [(session, "retry", due, tries)]
-        self.state.update((session, tries, done, None))
-        yield self._rows(key, out)
+        ranges = self._ranges()
+        out = self._passed(ranges, timerValues.getCurrentWatermarkInMs())
+        self._keep(ranges)
+        yield _rows(out)
 
     def close(self) -> None:
         pass
 
 
+def _ms(due: int) -> int:
+    """Timers and watermarks count milliseconds."""
+    return -(-due // 1000)
+
+
+def _rows(out: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(out, columns=["model", "start", "session", "action", "at", "tries"])
+
+
 def retries(outcomes: DataFrame, wait: timedelta = WAIT) -> DataFrame:
     """The actions of a stream of outcomes (model, start, session, status, at): retry (when it is due), completed, failed (after the last
     try). `at` needs a watermark, and the session the state store STORE."""
     ship(outcomes.sparkSession)
-    return outcomes.groupBy("model", "start").transformWithStateInPandas(Retry(wait), outputStructType=ACTIONS, outputMode="Append", timeMode="EventTime")
+    group = F.pmod(F.xxhash64("model", "start"), F.lit(GROUPS)).alias("group")
+    rows = outcomes.select(group, "model", F.col("start").cast("string").alias("start"), "session", "status", "at", F.unix_micros("at").alias("us"))
+    told = rows.groupBy("group").transformWithStateInPandas(Retry(wait), outputStructType=_TOLD, outputMode="Append", timeMode="EventTime")
+    return told.select("model", F.col("start").cast("long").alias("start"), "session", "action", F.timestamp_micros("at").alias("at"), "tries")
 
 
 def timer_session(spark: SparkSession) -> SparkSession:
